@@ -36,10 +36,17 @@ from .prepare import build_pools, event_pairs, kept_pairs, pooled_pairs, stage_c
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-MSG, REPLY = F.col("customer_msg"), F.col("support_reply")
 BRANDS = ("brand_0", "brand_1", "brand_3", "brand_9")
 
 
+def msg() -> Column:
+    return F.col("customer_msg")
+
+
+def reply() -> Column:
+    return F.col("support_reply")
+
+
 def query(name: str) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
         QUERIES[name] = fn
@@ -138,7 +145,7 @@ def _(spark, sf):
 
 @query("b5_other_class")
 def _(spark, sf):
-    return event_pairs(spark, sf).where(R.classify_intent(MSG) == R.DEFAULT_INTENT).select(
+    return event_pairs(spark, sf).where(R.classify_intent(msg()) == R.DEFAULT_INTENT).select(
         F.col("pair_seq").alias("event_id"), "customer_msg"
     )
 
@@ -166,7 +173,7 @@ def _(spark, sf):
 @query("c1_clean_messages")
 def _(spark, sf):
     return event_pairs(spark, sf).select(
-        F.col("pair_seq").alias("event_id"), X.clean_text(MSG).alias("cleaned")
+        F.col("pair_seq").alias("event_id"), X.clean_text(msg()).alias("cleaned")
     )
 
 
@@ -194,7 +201,7 @@ def _(spark, sf):
 @query("c5_intent_rules")
 def _(spark, sf):
     return event_pairs(spark, sf).select(
-        F.col("pair_seq").alias("event_id"), R.classify_intent(MSG).alias("intent")
+        F.col("pair_seq").alias("event_id"), R.classify_intent(msg()).alias("intent")
     )
 
 
@@ -211,10 +218,10 @@ def _(spark, sf):
 
 @query("c6_escalation")
 def _(spark, sf):
-    rows = event_pairs(spark, sf).withColumn("intent", R.classify_intent(MSG))
+    rows = event_pairs(spark, sf).withColumn("intent", R.classify_intent(msg()))
     return rows.select(
         F.col("pair_seq").alias("event_id"),
-        R.escalation_reason(MSG, F.col("intent")).alias("reason"),
+        R.escalation_reason(msg(), F.col("intent")).alias("reason"),
     ).withColumn("escalate", F.col("reason") != R.NO_ESCALATION)
 
 
@@ -227,13 +234,13 @@ def _(spark, sf):
     )
     return rows.select(
         "event_id",
-        R.escalation_reason(MSG, R.classify_intent(MSG), F.col("score")).alias("reason"),
+        R.escalation_reason(msg(), R.classify_intent(msg()), F.col("score")).alias("reason"),
     )
 
 
 @query("c7_rule_hits")
 def _(spark, sf):
-    hits = R.all_matches(MSG, R.INTENT_RULES)
+    hits = R.all_matches(msg(), R.INTENT_RULES)
     return event_pairs(spark, sf).select(
         F.col("pair_seq").alias("event_id"), F.array_join(hits, ",").alias("hits")
     )
@@ -242,14 +249,14 @@ def _(spark, sf):
 @query("c8_keyword_rules")
 def _(spark, sf):
     return event_pairs(spark, sf).select(
-        F.col("pair_seq").alias("event_id"), R.keyword_intent(MSG).alias("intent")
+        F.col("pair_seq").alias("event_id"), R.keyword_intent(msg()).alias("intent")
     )
 
 
 @query("c9_sign_off")
 def _(spark, sf):
     return event_pairs(spark, sf).select(
-        F.col("pair_seq").alias("event_id"), X.strip_sign_off(REPLY).alias("reply")
+        F.col("pair_seq").alias("event_id"), X.strip_sign_off(reply()).alias("reply")
     )
 
 
@@ -278,7 +285,7 @@ def _(spark, sf):
 @query("c12_char_ngrams_short_words")
 def _(spark, sf):
     msgs = kept_pairs(spark, sf).repartition("pair_id")
-    grams = msgs.select(F.explode(N.char_ngrams(MSG, (4, 6))).alias("term"))
+    grams = msgs.select(F.explode(N.char_ngrams(msg(), (4, 6))).alias("term"))
     return grams.groupBy("term").agg(_count())
 
 
@@ -294,7 +301,7 @@ def _(spark, sf):
 @query("c14_reply_length")
 def _(spark, sf):
     return P.pair_turns(read_table(spark, sf, "conversations")).select(
-        "conversation_id", "turn", X.reply_length_ok(REPLY).alias("length_ok")
+        "conversation_id", "turn", X.reply_length_ok(reply()).alias("length_ok")
     )
 
 
@@ -302,13 +309,13 @@ def _(spark, sf):
 def _(spark, sf):
     pairs = P.pair_turns(read_table(spark, sf, "conversations"))
     return pairs.select(
-        "conversation_id", "turn", F.round(X.overlap_score(REPLY, MSG), 6).alias("overlap")
+        "conversation_id", "turn", F.round(X.overlap_score(reply(), msg()), 6).alias("overlap")
     )
 
 
 @query("c16_unsupported_claims")
 def _(spark, sf):
-    claims = X.unsupported_claims(REPLY, MSG)
+    claims = X.unsupported_claims(reply(), msg())
     return event_pairs(spark, sf).select(
         F.col("pair_seq").alias("event_id"),
         F.array_join(F.array_sort(claims), "|").alias("claims"),
@@ -345,8 +352,8 @@ def _(spark, sf):
 def _(spark, sf):
     scored = _scored_golden(spark, sf)
     return scored.select(
-        "pair_id", D.reply_prompt(MSG, F.col("evidence")).alias("reply_prompt"),
-        D.review_prompt(MSG, F.col("draft_reply"), F.col("evidence")).alias("review_prompt"),
+        "pair_id", D.reply_prompt(msg(), F.col("evidence")).alias("reply_prompt"),
+        D.review_prompt(msg(), F.col("draft_reply"), F.col("evidence")).alias("review_prompt"),
     )
 
 
@@ -367,7 +374,7 @@ def _(spark, sf):
 def _(spark, sf):
     """The flagship: turns to cleaned pairs to counts per intent."""
     pairs = P.clean_and_filter(P.pair_turns(read_table(spark, sf, "conversations")))
-    return PF.class_counts(pairs.select(R.classify_intent(MSG).alias("intent")), "intent")
+    return PF.class_counts(pairs.select(R.classify_intent(msg()).alias("intent")), "intent")
 
 
 @query("d3_pairs_per_conversation")
@@ -436,7 +443,7 @@ def _(spark, sf):
 def _(spark, sf):
     return event_pairs(spark, sf).select(
         F.col("pair_seq").alias("event_id"),
-        D.canned_reply(R.keyword_intent(MSG)).alias("reply"),
+        D.canned_reply(R.keyword_intent(msg())).alias("reply"),
     )
 
 
@@ -450,7 +457,7 @@ def _(spark, sf):
     pools = build_pools(spark, sf)
     golden = pools.evaluation.select("pair_id", "customer_msg")
     found = None
-    for name, key in (("exact", MSG), ("near", X.near_duplicate_key(MSG))):
+    for name, key in (("exact", msg()), ("near", X.near_duplicate_key(msg()))):
         for pool, other in ((S.DEV, pools.dev), (S.RETRIEVAL, pools.retrieval)):
             rows = S.leaked_texts(golden, other, key).select(
                 F.lit(name).alias("kind"), F.lit(pool).alias("other_pool"), "pair_id"
@@ -483,14 +490,14 @@ def _(spark, sf):
 
 @query("f5_class_counts")
 def _(spark, sf):
-    labelled = kept_pairs(spark, sf).select(R.classify_intent(MSG).alias("intent"))
+    labelled = kept_pairs(spark, sf).select(R.classify_intent(msg()).alias("intent"))
     return PF.class_counts(labelled, "intent")
 
 
 @query("f6_flag_share")
 def _(spark, sf):
-    rows = event_pairs(spark, sf).withColumn("intent", R.classify_intent(MSG))
-    flag = R.escalation_reason(MSG, F.col("intent")) != R.NO_ESCALATION
+    rows = event_pairs(spark, sf).withColumn("intent", R.classify_intent(msg()))
+    flag = R.escalation_reason(msg(), F.col("intent")) != R.NO_ESCALATION
     return rows.select("intent", flag.alias("flag")).groupBy("intent").agg(
         F.count_if("flag").alias("escalated"), _count(),
         F.avg(F.col("flag").cast("int")).alias("share"),
@@ -510,7 +517,7 @@ def _(spark, sf):
 def _rule_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Rule intent (true) against keyword intent (predicted), whole events table."""
     rows = event_pairs(spark, sf).select(
-        R.classify_intent(MSG).alias("t"), R.keyword_intent(MSG).alias("p")
+        R.classify_intent(msg()).alias("t"), R.keyword_intent(msg()).alias("p")
     )
     return M.label_counts(rows, "t", "p")
 
@@ -535,9 +542,9 @@ def _(spark, sf):
 
 @query("f13_f14_escalation_metrics")
 def _(spark, sf):
-    rows = event_pairs(spark, sf).withColumn("intent", R.classify_intent(MSG)).select(
-        (R.escalation_reason(MSG, F.col("intent")) != R.NO_ESCALATION).alias("t"),
-        (R.keyword_escalation_reason(MSG) != R.NO_ESCALATION).alias("p"),
+    rows = event_pairs(spark, sf).withColumn("intent", R.classify_intent(msg())).select(
+        (R.escalation_reason(msg(), F.col("intent")) != R.NO_ESCALATION).alias("t"),
+        (R.keyword_escalation_reason(msg()) != R.NO_ESCALATION).alias("p"),
     )
     return M.escalation_metrics(rows, "t", "p")
 
@@ -573,7 +580,7 @@ def _(spark, sf):
 
 @query("f19_class_weights")
 def _(spark, sf):
-    docs = event_pairs(spark, sf).select(R.classify_intent(MSG).alias("label")).withColumn(
+    docs = event_pairs(spark, sf).select(R.classify_intent(msg()).alias("label")).withColumn(
         "copies", F.lit(1)
     )
     return ML.balanced_weights(docs).select(
@@ -583,7 +590,7 @@ def _(spark, sf):
 
 @query("f20_majority_class")
 def _(spark, sf):
-    labelled = event_pairs(spark, sf).select(R.classify_intent(MSG).alias("intent"))
+    labelled = event_pairs(spark, sf).select(R.classify_intent(msg()).alias("intent"))
     return PF.class_counts(labelled, "intent").limit(1)
 
 
@@ -643,7 +650,7 @@ def _(spark, sf):
 
 @query("i2_intersect")
 def _(spark, sf):
-    pairs = event_pairs(spark, sf).select("conversation_id", R.classify_intent(MSG).alias("intent"))
+    pairs = event_pairs(spark, sf).select("conversation_id", R.classify_intent(msg()).alias("intent"))
     billing = pairs.where(F.col("intent") == "billing_subscription")
     playback = pairs.where(F.col("intent") == "playback_technical")
     return S.shared_ids(billing, playback, "conversation_id")
@@ -667,7 +674,7 @@ def _(spark, sf):
 @query("j2_stratified_split")
 def _(spark, sf):
     rows = event_pairs(spark, sf).select(
-        F.col("pair_seq").alias("event_id"), R.classify_intent(MSG).alias("intent")
+        F.col("pair_seq").alias("event_id"), R.classify_intent(msg()).alias("intent")
     )
     return S.stratified_split(rows, "intent", "event_id")
 
@@ -694,7 +701,7 @@ def _(spark, sf):
 
 @query("k3_feature_union")
 def _(spark, sf):
-    docs = kept_pairs(spark, sf).select(F.col("pair_seq").alias("doc_id"), MSG.alias("text"))
+    docs = kept_pairs(spark, sf).select(F.col("pair_seq").alias("doc_id"), msg().alias("text"))
     _v, weights = TF.fit_transform(stage(docs, "docs"), Features((1, 2), (3, 5), 2))
     return weights.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
@@ -804,7 +811,7 @@ def _(spark, sf):
 
 def _score_rules(messages: DataFrame, index: RT.RetrievalIndex, **thresholds: float) -> DataFrame:
     return D.score_messages(
-        messages.withColumn("intent", R.classify_intent(MSG)), index, **thresholds
+        messages.withColumn("intent", R.classify_intent(msg())), index, **thresholds
     )
 
 
@@ -911,7 +918,7 @@ def _(spark, sf):
 
 @query("l9_other_bucket")
 def _(spark, sf):
-    other = kept_pairs(spark, sf).where(R.classify_intent(MSG) == R.DEFAULT_INTENT)
+    other = kept_pairs(spark, sf).where(R.classify_intent(msg()) == R.DEFAULT_INTENT)
     return PF.word_count_profile(other)
 
 

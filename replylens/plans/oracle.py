@@ -70,7 +70,7 @@ def tokens(x: str) -> str:
 
 
 def words(x: str) -> str:
-    return f"len(list_filter(string_split_regex({x}, {q(X.SPACES_PATTERN)}), w -> w <> ''))"
+    return f"len([w for w in string_split_regex({x}, {q(X.SPACES_PATTERN)}) if w <> ''])"
 
 
 def terms(src: str, key: str, text: str, low: int = 1, high: int = 2, prefix: str = "") -> str:
@@ -79,7 +79,7 @@ def terms(src: str, key: str, text: str, low: int = 1, high: int = 2, prefix: st
     for n in range(low, high + 1):
         gram = " || ' ' || ".join(f"t[i + {j}]" for j in range(n))
         parts.append(
-            f"SELECT {key}, {q(prefix)} || unnest(list_transform(range(1, len(t) - {n} + 2), i -> {gram})) AS term "
+            f"SELECT {key}, {q(prefix)} || unnest([{gram} for i in range(1, len(t) - {n} + 2)]) AS term "
             f"FROM (SELECT {key}, {tokens(text)} AS t FROM {src})"
         )
     return " UNION ALL ".join(parts)
@@ -209,7 +209,7 @@ def overlap(reply: str, evidence: str) -> str:
 def claims(reply: str, evidence: str) -> str:
     found = f"list_distinct(regexp_extract_all({reply}, {q(X.CLAIM_PATTERN)}))"
     return (
-        f"array_to_string(list_sort(list_filter({found}, c -> NOT contains(lower({evidence}), lower(c)))), '|')"
+        f"array_to_string(list_sort([c for c in {found} if NOT contains(lower({evidence}), lower(c))]), '|')"
     )
 
 
@@ -614,7 +614,7 @@ SELECT n, round(1 - seen / expected, 6) AS kappa, (SELECT round(corr(rq, rt), 6)
     diversity = f"""
 picked AS (SELECT company, conversation_id, conversation FROM tr
   QUALIFY row_number() OVER (PARTITION BY company ORDER BY md5('42:' || conversation_id), conversation_id) <= 2000),
-ws AS (SELECT company, unnest(list_filter(string_split_regex(lower(conversation), {q(X.SPACES_PATTERN)}), w -> w <> '')) AS word FROM picked),
+ws AS (SELECT company, unnest([w for w in string_split_regex(lower(conversation), {q(X.SPACES_PATTERN)}) if w <> '']) AS word FROM picked),
 div AS (SELECT company AS brand, round(count(DISTINCT word) / greatest(count(*), 1), 4) AS vocab_diversity FROM ws GROUP BY company)"""
     sql["f2_vocab_diversity"] = with_(f"{TRANSCRIPTS},{diversity}", "SELECT brand, vocab_diversity FROM div")
     volume = sql["f1_brand_profile"].split("tpairs AS", 1)[1]
