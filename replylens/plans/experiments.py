@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,6 +100,14 @@ def evaluate(tables: FeatureTables, learner: Learner, table: DataFrame | None =
     return int(row["n"]), row["accuracy"], row["macro_f1"], row["weighted_f1"]
 
 
+def side_by_side(spark: SparkSession, tasks: list[Callable[[], object]], parallelism: int = 6) -> list:
+    """Run independent fits from several threads, so that their many short jobs share
+    the cluster; results come back in order."""
+    wrap = inheritable_thread_target(spark)
+    with ThreadPool(min(parallelism, len(tasks))) as pool:
+        return pool.map(lambda task: task(), [wrap(task) for task in tasks])
+
+
 RESULT = "step int, grp string, config string, n bigint, accuracy double, macro_f1 double, weighted_f1 double"
 
 
@@ -120,24 +130,34 @@ def grid(
     penalties: tuple[float, ...] = LR_PENALTIES,
 ) -> DataFrame:
     """Sequential comparison: features, then LR settings, then other learners."""
-    rows: list[tuple] = []
-    best, best_tables = None, None
-    for name, features in feature_grid:
+
+
+    def try_features(features: Features) -> tuple[FeatureTables, tuple]:
         tables = feature_tables(universe, features)
-        row = (len(rows), "features", name, *evaluate(tables, BASE_LEARNER))
-        rows.append(row)
-        if best is None or row[5] > best[5]:
-            best, best_tables = row, tables
-    start, lr = len(rows), []
-    for balanced in (False, True):
-        for c in penalties:
-            learner = Learner("lr", c, balanced)
-            lr.append(learner)
-            rows.append((len(rows), "lr", learner.name, *evaluate(best_tables, learner)))
-    best_lr = lr[_best(rows[start:])]
-    for learner in (best_lr, Learner("svc", 1.0, True), Learner("nb", 1.0, False)):
-        rows.append((len(rows), "classifier", learner.name, *evaluate(best_tables, learner)))
-    return _results(spark, rows)
+        return tables, evaluate(tables, BASE_LEARNER)
+
+    tried = side_by_side(spark, [lambda f=f: try_features(f) for _name, f in feature_grid])
+    rows = [
+        (i, "features", name, *scores)
+        for i, ((name, _f), (_t, scores)) in enumerate(zip(feature_grid, tried))
+    ]
+    tables = tried[_best(rows)][0]
+    lr = [Learner("lr", c, balanced) for balanced in (False, True) for c in penalties]
+    lr_rows = _try_learners(spark, tables, lr, "lr", len(rows))
+    last = [lr[_best(lr_rows)], Learner("svc", 1.0, True), Learner("nb", 1.0, False)]
+    rows += lr_rows
+    return _results(
+        spark, rows + _try_learners(spark, tables, last, "classifier", len(rows))
+    )
+
+
+def _try_learners(
+    spark: SparkSession, tables: FeatureTables, learners: list[Learner], group: str, start: int
+) -> list[tuple]:
+    scores = side_by_side(spark, [lambda x=x: evaluate(tables, x) for x in learners])
+    return [
+        (start + i, group, x.name, *row) for i, (x, row) in enumerate(zip(learners, scores))
+    ]
 
 
 def svc_sweep(
@@ -146,20 +166,17 @@ def svc_sweep(
 ) -> DataFrame:
     tables = feature_tables(universe, features)
     learners = [Learner("svc", c, b) for b in (False, True) for c in penalties]
-    return _results(
-        spark,
-        [(i, "svc", x.name, *evaluate(tables, x)) for i, x in enumerate(learners)],
-    )
+    return _results(spark, _try_learners(spark, tables, learners, "svc", 0))
 
 
 def word_or_char(spark: SparkSession, universe: Universe) -> DataFrame:
     configs = [("word", WORD), ("word+char", WORD_CHAR)]
-    return _results(
+    scores = side_by_side(
         spark,
-        [
-            (i, "features", name, *evaluate(feature_tables(universe, f), BASE_LEARNER))
-            for i, (name, f) in enumerate(configs)
-        ],
+        [lambda f=f: evaluate(feature_tables(universe, f), BASE_LEARNER) for _n, f in configs],
+    )
+    return _results(
+        spark, [(i, "features", n, *row) for i, ((n, _f), row) in enumerate(zip(configs, scores))]
     )
 
 
@@ -170,13 +187,17 @@ def learning_curve(
     """Fit on nested prefixes of the seeded order. Vocabulary and document frequencies
     are fitted anew on every prefix."""
     marked = stage(S.with_prefix_share(universe.train, "row_key", fractions), "prefixes")
-    rows = []
-    for i, share in enumerate(sorted(fractions)):
+    shares = sorted(fractions)
+
+    def fit_on(share: float) -> tuple:
         part = Universe(marked.where(F.col("prefix_share") <= share), universe.held_out)
-        rows.append(
-            (i, "fraction", f"{share:.2f}", *evaluate(feature_tables(part, features), BASE_LEARNER))
-        )
-    return _results(spark, rows)
+        return evaluate(feature_tables(part, features), BASE_LEARNER)
+
+    scores = side_by_side(spark, [lambda s=s: fit_on(s) for s in shares])
+    return _results(
+        spark,
+        [(i, "fraction", f"{s:.2f}", *row) for i, (s, row) in enumerate(zip(shares, scores))],
+    )
 
 
 def gap_report(
