@@ -17,6 +17,8 @@ WORD = r"\p{L}\p{N}_"
 URL_PATTERN = rf"https?://[^{SPACE}]+"
 HANDLE_PATTERN = rf"@[{WORD}]+"
 SPACES_PATTERN = rf"[{SPACE}]+"
+# the runs that collapsing changes; a single blank is already right
+UNEVEN_SPACES = rf"[{SPACE}]{{2,}}|[{SPACE.replace(' ', '')}]"
 TURN_LINE = rf"(?m)(?d)^[{BLANK}]*(Customer|Support):[{BLANK}]?(.*?)[{BLANK}]*$"
 TURN_COUNT = r"(?m)(?d)^(?:Customer|Support):"
 SIGN_OFF = rf"[{SPACE}]?[\^/][A-Z]{{2,3}}\.?$"
@@ -36,7 +38,7 @@ def clean_text(text: Column) -> Column:
     a handle inside an e-mail address goes too."""
     no_links = F.regexp_replace(text, URL_PATTERN, "")
     no_handles = F.regexp_replace(no_links, HANDLE_PATTERN, "")
-    return F.trim(F.regexp_replace(no_handles, SPACES_PATTERN, " "))
+    return F.trim(F.regexp_replace(no_handles, UNEVEN_SPACES, " "))
 
 
 def transcript_turns(conversation: Column) -> Column:

@@ -19,15 +19,22 @@ BOILERPLATE_REPLIES = (
 def clean_and_filter(
     pairs: DataFrame, min_message: int = MIN_MESSAGE, min_reply: int = MIN_REPLY
 ) -> DataFrame:
-    """Clean both texts, then keep pairs that are long enough after cleaning."""
-    return pairs.withColumns(
-        {
-            "customer_msg": X.clean_text(F.col("customer_msg")),
-            "support_reply": X.clean_text(F.col("support_reply")),
-        }
-    ).where(
-        (F.length("customer_msg") >= min_message) & (F.length("support_reply") >= min_reply)
+    """Clean both texts, then keep pairs that are long enough after cleaning.
+
+    The length test sits inside a generator: as a plain filter it would be pushed below
+    the cleaning, and every text would be cleaned twice.
+    """
+    others = [c for c in pairs.columns if c not in ("customer_msg", "support_reply")]
+    cleaned = F.struct(
+        X.clean_text(F.col("customer_msg")).alias("customer_msg"),
+        X.clean_text(F.col("support_reply")).alias("support_reply"),
+    )
+    long_enough = F.filter(
+        F.array(cleaned),
+        lambda p: (F.length(p["customer_msg"]) >= min_message)
+        & (F.length(p["support_reply"]) >= min_reply),
     )
+    return pairs.select(*others, F.inline(long_enough)).select(*pairs.columns)
 
 
 def drop_boilerplate(pairs: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ large part of the corpus. They are handled in two steps that keep the result exa
 
 from __future__ import annotations
 
+import math
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +29,7 @@ from .ranking import top_per_group
 from .tfidf import Features, term_counts, vocabulary, weigh
 
 DIGITS = 6
-HOT_POSTINGS = 20_000
+BROADCAST_TERMS = 500_000  # query terms, about 60 bytes each
 _TABLES = ("vocab", "vectors", "messages", "corpus")
 
 
@@ -49,8 +51,6 @@ def build_index(
     """
     spark = corpus.sparkSession
     if path is None:
-        import uuid
-
         path = f"{stage_root(spark)}/{uuid.uuid4().hex}/index"
 
     def write(df: DataFrame, name: str) -> DataFrame:
@@ -96,52 +96,45 @@ def query_vectors(
 
 
 def pair_scores(
-    terms: DataFrame, index: RetrievalIndex, k: int,
-    hot_postings: int = HOT_POSTINGS, salts: int = 32,
+    terms: DataFrame, index: RetrievalIndex, k: int, hot_postings: int | None = None,
+    broadcast_terms: int = BROADCAST_TERMS, salts: int = 32,
 ) -> DataFrame:
     """(text_id, msg_id, score) of all messages that can be in a query's top k.
 
-    ``terms`` has text_id, term, wq, postings.
+    ``terms`` has text_id, term, wq, postings; it is staged, so its size is known.
     """
-    vectors = index.vectors
-    has_hot = bool(index.vocab.where(F.col("postings") > hot_postings).take(1))
-    if not has_hot:
-        return _dot(terms, vectors)
-
-    terms = stage(terms, "query_terms")
+    if hot_postings is None:
+        hot_postings = max(500, int(10 * math.sqrt(index.messages.count())))
+    small = terms.limit(broadcast_terms + 1).count() <= broadcast_terms
+    vectors = _spread_vectors(index.vectors) if small else index.vectors
     hot = F.col("postings") > hot_postings
-    rare = stage(_dot(terms.where(~hot), vectors), "rare_scores")
+    if not index.vocab.where(hot).take(1):
+        return _sum(_products(terms, vectors, small))
+
+    rare = stage(_sum(_products(terms.where(~hot), vectors, small)), "rare_scores")
     kth = (
         top_per_group(rare, ["text_id"], [F.col("score").desc(), F.col("msg_id")], k)
         .groupBy("text_id")
         .agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("bound"))
     )
-    hot_part = terms.groupBy("text_id").agg(
-        F.sqrt(F.sum(F.when(hot, F.col("wq") * F.col("wq")).otherwise(0.0))).alias("reach")
-    )
+    reach = F.sqrt(F.sum(F.when(hot, F.col("wq") * F.col("wq")).otherwise(0.0)))
+    bound = F.coalesce("bound", F.lit(0.0))
+    margin = 10.0**-DIGITS  # scores are compared after rounding
     bounds = stage(
-        hot_part.join(kth, "text_id", "left").select(
-            "text_id", "reach",
-            F.coalesce("bound", F.lit(0.0)).alias("bound"),
-            (
-                (F.col("reach") == 0.0)
-                | (
-                    F.round("reach", DIGITS)
-                    < F.round(F.coalesce("bound", F.lit(0.0)), DIGITS) - 10.0**-DIGITS
-                )
-            ).alias("settled"),
+        terms.groupBy("text_id").agg(reach.alias("reach")).join(kth, "text_id", "left").select(
+            "text_id", "reach", bound.alias("bound"),
+            ((F.col("reach") == 0.0) | (F.col("reach") < bound - 2 * margin)).alias("settled"),
         ),
         "bounds",
     )
+    settled = bounds.where("settled").select("text_id", "reach", "bound")
     candidates = (
-        rare.join(bounds.where("settled"), "text_id")
-        .where(F.col("score") + F.col("reach") >= F.col("bound") - 10.0**-DIGITS)
+        rare.join(settled, "text_id")
+        .where(F.col("score") + F.col("reach") >= F.col("bound") - 2 * margin)
         .select("text_id", "msg_id", "score")
     )
     hot_terms = terms.where(hot).select("text_id", "term", "wq")
-    hot_vectors = vectors.join(
-        index.vocab.where(hot).select("term"), "term", "left_semi"
-    )
+    hot_vectors = index.vectors.join(index.vocab.where(hot).select("term"), "term", "left_semi")
     completed = (
         candidates.join(hot_terms, "text_id")
         .join(hot_vectors, ["msg_id", "term"])
@@ -149,32 +142,45 @@ def pair_scores(
     )
     open_queries = bounds.where(~F.col("settled")).select("text_id")
     open_rare = rare.join(open_queries, "text_id", "left_semi")
-    salt = F.pmod(F.xxhash64("msg_id"), F.lit(salts))
-    open_terms = (
-        hot_terms.join(open_queries, "text_id", "left_semi")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        .withColumn("salt", F.col("salt").cast("bigint"))
+    open_terms = hot_terms.join(open_queries, "text_id", "left_semi")
+    if small:
+        open_hot = _products(open_terms, _spread_vectors(hot_vectors), True)
+    else:
+        each = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+        salted = hot_vectors.withColumn(
+            "salt", F.pmod(F.xxhash64("msg_id"), F.lit(salts)).cast("int")
+        )
+        open_hot = _products(open_terms.select("*", each), salted, False, ["term", "salt"])
+    return _sum(
+        candidates.unionByName(completed).unionByName(open_rare).unionByName(open_hot)
     )
-    open_hot = open_terms.join(
-        hot_vectors.withColumn("salt", salt), ["term", "salt"]
-    ).select("text_id", "msg_id", (F.col("wq") * F.col("weight")).alias("score"))
-    parts = candidates.unionByName(completed).unionByName(open_rare).unionByName(open_hot)
-    return parts.groupBy("text_id", "msg_id").agg(F.sum("score").alias("score"))
-
-
-def _dot(terms: DataFrame, vectors: DataFrame) -> DataFrame:
-    return (
-        terms.join(vectors, "term")
-        .groupBy("text_id", "msg_id")
-        .agg(F.sum(F.col("wq") * F.col("weight")).alias("score"))
+
+
+def _spread_vectors(vectors: DataFrame) -> DataFrame:
+    """One message's terms in one partition. Joined with broadcast query terms, the
+    scores of a message then add up without another shuffle."""
+    partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return vectors.repartition(partitions, "msg_id")
+
+
+def _products(
+    terms: DataFrame, vectors: DataFrame, small: bool, keys: list[str] | None = None
+) -> DataFrame:
+    terms = terms.drop("postings")
+    return vectors.join(F.broadcast(terms) if small else terms, keys or ["term"]).select(
+        "text_id", "msg_id", (F.col("wq") * F.col("weight")).alias("score")
     )
 
 
+def _sum(products: DataFrame) -> DataFrame:
+    return products.groupBy("text_id", "msg_id").agg(F.sum("score").alias("score"))
+
+
 def best_messages(
     texts: DataFrame, index: RetrievalIndex, k: int = 3, **options: int
 ) -> DataFrame:
     """(text_id, msg_id, similarity) of the k best distinct corpus messages."""
-    terms = query_vectors(texts, index, "text_id", "customer_msg")
+    terms = stage(query_vectors(texts, index, "text_id", "customer_msg"), "query_terms")
     scores = pair_scores(terms, index, k, **options).select(
         "text_id", "msg_id", F.round("score", DIGITS).alias("similarity")
     )

@@ -26,11 +26,12 @@ from ..operators import tfidf as TF
 from ..operators.models import Learner
 from ..operators.tfidf import Features
 from ..session import stage, stage_root
-from ..sources import read_csv, read_table, support_pairs, transcripts, write_csv, write_pools
+from ..sources import read_csv, read_table, spread, support_pairs, transcripts, write_csv, write_pools
 from ..sources.tables import as_bool, read_json_report, write_json_report
 from ..streaming import score_stream
 from . import evaluation as EV
 from . import experiments as EX
+from .full import full_run
 from .prepare import build_pools, event_pairs, kept_pairs, pooled_pairs, stage_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,11 +61,11 @@ def _new_path(spark: SparkSession, name: str) -> str:
 
 
 def _raw(spark: SparkSession, sf: str) -> DataFrame:
-    return transcripts(read_table(spark, sf, "conversations"))
+    return spread(transcripts(read_table(spark, sf, "conversations")))
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, sf, "documents")
+    return spread(read_table(spark, sf, "documents"))
 
 
 def _count(name: str = "n") -> Column:
@@ -636,7 +637,7 @@ def _(spark, sf):
 
 @query("h6_multi_rule_examples")
 def _(spark, sf):
-    return PF.multi_rule_examples(kept_pairs(spark, sf)).select(
+    return PF.multi_rule_examples(stage(kept_pairs(spark, sf), "kept")).select(
         "pair_id", "preview", F.array_join("hits", ",").alias("hits")
     )
 
@@ -918,8 +919,14 @@ def _(spark, sf):
 
 @query("l9_other_bucket")
 def _(spark, sf):
-    other = kept_pairs(spark, sf).where(R.classify_intent(msg()) == R.DEFAULT_INTENT)
-    return PF.word_count_profile(other)
+    kept = stage(kept_pairs(spark, sf), "kept")
+    return PF.word_count_profile(kept.where(R.classify_intent(msg()) == R.DEFAULT_INTENT))
+
+
+@query("full_run")
+def _(spark, sf):
+    """Raw events to the report of all three systems, with the fitted model."""
+    return full_run(spark, sf).metrics
 
 
 # --- S: streaming ---------------------------------------------------------------------

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from ..operators import pairing as P
 from ..operators import splits as S
 from ..session import stage
-from ..sources import read_table, support_pairs
+from ..sources import read_table, spread, support_pairs
 
 
 def event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw pairs of the events table; pair_seq is their row order."""
-    return support_pairs(spark, read_table(spark, sf_dir, "events")).withColumnRenamed(
+    return support_pairs(spark, spread(read_table(spark, sf_dir, "events"))).withColumnRenamed(
         "event_id", "pair_seq"
     )
 

@@ -25,6 +25,9 @@ def build_session(
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        # generated methods beyond this size are never compiled by the JVM's JIT; Spark
+        # then splits the projection into small methods instead
+        "spark.sql.codegen.hugeMethodLimit": "8000",
     }
     settings.update({key.replace("_", "."): value for key, value in conf.items()})
     builder = SparkSession.builder.appName(app)

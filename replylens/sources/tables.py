@@ -29,6 +29,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_parquet(spark, f"{sf_dir}/{name}.parquet", _DRIVER_TABLES.get(name))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table that comes in fewer splits than there are cores (a
+    single row group, say). Larger tables are returned as they are, unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV with a declared schema (no inference pass). Quoted fields may hold line
     breaks; an empty field is null."""
