@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import SPACES_PATTERN, TOKEN_PATTERN
@@ -56,3 +56,11 @@ def char_ngrams(text: Column, ngram_range: NgramRange) -> Column:
 
     words = F.filter(F.split(F.lower(text), SPACES_PATTERN), lambda w: w != "")
     return F.flatten(F.transform(words, grams_of))
+
+
+def gram_rows(df: DataFrame, grams: Column, *keep: str) -> DataFrame:
+    """One row per n-gram, as ``term``. The outer form keeps Spark from deriving a
+    filter on the array, which would build the array a second time."""
+    return df.select(*keep, F.explode_outer(grams).alias("term")).where(
+        F.col("term").isNotNull()
+    )

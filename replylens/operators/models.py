@@ -28,6 +28,7 @@ from ..session import stage, stage_root
 from .ranking import rank_in_buckets
 from .tfidf import Features, term_counts, vocabulary, weigh
 
+DOCS_PER_PARTITION = 20_000
 FINAL_FEATURES = Features(word=(1, 2), char=(3, 7), min_df=2)
 
 
@@ -38,7 +39,7 @@ class Learner:
     kind: str = "svc"  # svc, lr or nb
     c: float = 1.0
     balanced: bool = True
-    max_iter: int = 100
+    max_iter: int | None = None  # 50 for svc, 100 for lr
     tol: float = 1e-4
 
     @property
@@ -144,11 +145,14 @@ def fit_classifier(table: DataFrame, fitted: FittedFeatures, learner: Learner) -
     if learner.balanced and learner.kind != "nb":
         table = table.join(weights.select("label", "class_weight"), "label")
         weight = weight * F.col("class_weight")
+    # solvers run one short job per step, so partitions should hold real work
+    partitions = math.ceil(max(table.count(), 1) / DOCS_PER_PARTITION)
     data = table.select(
         index.cast("double").alias("label"), weight.alias("weight"), "features"
-    )
+    ).coalesce(partitions)
     # balanced weights sum to the number of rows as well
     penalty = 1.0 / (learner.c * total)
+    max_iter = learner.max_iter or (50 if learner.kind == "svc" else 100)
     common = dict(
         featuresCol="features", labelCol="label", weightCol="weight",
     )
@@ -156,7 +160,7 @@ def fit_classifier(table: DataFrame, fitted: FittedFeatures, learner: Learner) -
     if learner.kind == "svc":
         base = LinearSVC(
             **common, standardization=False, regParam=penalty,
-            maxIter=learner.max_iter, tol=learner.tol,
+            maxIter=max_iter, tol=learner.tol,
         )
         model: Model = OneVsRest(
             classifier=base, **common, parallelism=max(1, min(8, len(labels)))
@@ -164,7 +168,7 @@ def fit_classifier(table: DataFrame, fitted: FittedFeatures, learner: Learner) -
     elif learner.kind == "lr":
         model = LogisticRegression(
             **common, family="multinomial", elasticNetParam=0.0, standardization=False,
-            regParam=penalty, maxIter=learner.max_iter, tol=learner.tol,
+            regParam=penalty, maxIter=max_iter, tol=learner.tol,
         ).fit(data)
     elif learner.kind == "nb":
         model = NaiveBayes(**common, modelType="multinomial", smoothing=1.0).fit(data)

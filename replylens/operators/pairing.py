@@ -22,7 +22,8 @@ def clean_and_filter(
     """Clean both texts, then keep pairs that are long enough after cleaning.
 
     The length test sits inside a generator: as a plain filter it would be pushed below
-    the cleaning, and every text would be cleaned twice.
+    the cleaning, and every text would be cleaned twice. The same goes for the filter
+    Spark derives from a generator's input, hence the outer form here and elsewhere.
     """
     others = [c for c in pairs.columns if c not in ("customer_msg", "support_reply")]
     cleaned = F.struct(
@@ -34,7 +35,8 @@ def clean_and_filter(
         lambda p: (F.length(p["customer_msg"]) >= min_message)
         & (F.length(p["support_reply"]) >= min_reply),
     )
-    return pairs.select(*others, F.inline(long_enough)).select(*pairs.columns)
+    rows = pairs.select(*others, F.inline_outer(long_enough))
+    return rows.where(F.col("customer_msg").isNotNull()).select(*pairs.columns)
 
 
 def drop_boilerplate(pairs: DataFrame) -> DataFrame:
@@ -48,8 +50,8 @@ def parse_transcripts(raw: DataFrame) -> DataFrame:
     return raw.select(
         "conversation_id",
         part.alias("part"),
-        F.posexplode(X.transcript_turns(F.col("conversation"))).alias("turn", "t"),
-    ).select("conversation_id", "part", "turn", "t.role", "t.text")
+        F.posexplode_outer(X.transcript_turns(F.col("conversation"))).alias("turn", "t"),
+    ).where(F.col("turn").isNotNull()).select("conversation_id", "part", "turn", "t.role", "t.text")
 
 
 def pair_transcripts(raw: DataFrame) -> DataFrame:
@@ -65,14 +67,14 @@ def pair_transcripts(raw: DataFrame) -> DataFrame:
         "conversation_id",
         (F.col("part") if parts else F.lit(0).cast("bigint")).alias("part"),
         X.transcript_turns(F.col("conversation")).alias("turns"),
-    ).where(F.size("turns") > 0)
-    count = F.size("turns") - 1
+    )
+    count = F.greatest(F.size("turns") - 1, F.lit(0))
     neighbours = F.arrays_zip(
         F.slice("turns", F.lit(1), count).alias("a"), F.slice("turns", F.lit(2), count).alias("b")
     )
     inside = turns.select(
-        "conversation_id", "part", F.posexplode(neighbours).alias("turn", "p")
-    ).select("conversation_id", "part", "turn", "p.a", "p.b")
+        "conversation_id", "part", F.posexplode_outer(neighbours).alias("turn", "p")
+    ).where(F.col("turn").isNotNull()).select("conversation_id", "part", "turn", "p.a", "p.b")
     if parts:
         inside = inside.unionByName(_across_parts(turns))
     return inside.where(
@@ -84,6 +86,7 @@ def pair_transcripts(raw: DataFrame) -> DataFrame:
 
 
 def _across_parts(turns: DataFrame) -> DataFrame:
+    turns = turns.where(F.size("turns") > 0)
     firsts = turns.select(
         "conversation_id", F.col("part").alias("next_part"), F.get("turns", F.lit(0)).alias("b")
     ).where(F.col("next_part") > 0)

@@ -57,7 +57,8 @@ def vocabulary_diversity(
     chosen = sample_per_group(ids, "company", "conversation_id", n, seed)
     words = (
         raw.join(chosen, ["company", "conversation_id"], "left_semi")
-        .select("company", F.explode(X.split_words(F.lower("conversation"))).alias("word"))
+        .select("company", F.explode_outer(X.split_words(F.lower("conversation"))).alias("word"))
+        .where(F.col("word").isNotNull())
         .groupBy("company", "word").agg(F.count(F.lit(1)).alias("uses"))
     )
     return words.groupBy(F.col("company").alias("brand")).agg(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ngrams as N
+from ..session import stage
 
 
 @dataclass(frozen=True)
@@ -40,12 +41,17 @@ def term_counts(
             F.transform(grams, lambda g: F.concat(F.lit("w:"), g)),
             F.transform(chars, lambda g: F.concat(F.lit("c:"), g)),
         )
-    # tokens form their own step below the generator, so they are computed once a row
-    return (
+    # The partition count is given, or adaptive execution would merge partitions by the
+    # size of the texts, which is far below that of their n-grams. Tokens form their own
+    # step below the generator, so they are computed once a row.
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tokenised = (
         docs.select(id_col, text_col)
-        .repartition(id_col)
+        .repartition(partitions, id_col)
         .select(id_col, text_col, tokens.alias("__tokens"))
-        .select(id_col, F.explode(grams).alias("term"))
+    )
+    return (
+        N.gram_rows(tokenised, grams, id_col)
         .groupBy(id_col, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -98,8 +104,12 @@ def document_norms(raw: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def fit_transform(
     docs: DataFrame, features: Features, id_col: str = "doc_id", text_col: str = "text"
 ) -> tuple[DataFrame, DataFrame]:
-    """(vocabulary, weights) of a document table, both lazy."""
+    """(vocabulary, weights) of a document table.
+
+    The vocabulary is staged, so the planner knows its size: a small one is broadcast
+    and the term counts stay where they are, a large one is joined by term.
+    """
     counts = term_counts(docs, features, id_col, text_col)
     n_docs = docs.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
-    vocab = vocabulary(counts, n_docs, features.min_df)
+    vocab = stage(vocabulary(counts, n_docs, features.min_df), "vocab")
     return vocab, weigh(counts, vocab, features.blocks, id_col)

@@ -272,22 +272,19 @@ def _(spark, sf):
     docs = _docs(spark, sf).repartition("doc_id").select(
         "doc_id", N.word_tokens(F.col("text")).alias("tokens")
     )
-    grams = docs.select(F.explode(N.word_ngrams(F.col("tokens"), (1, 3))).alias("term"))
-    return grams.groupBy("term").agg(_count())
+    return N.gram_rows(docs, N.word_ngrams(F.col("tokens"), (1, 3))).groupBy("term").agg(_count())
 
 
 @query("c12_char_ngrams")
 def _(spark, sf):
     docs = _docs(spark, sf).repartition("doc_id")
-    grams = docs.select(F.explode(N.char_ngrams(F.col("text"), (3, 5))).alias("term"))
-    return grams.groupBy("term").agg(_count())
+    return N.gram_rows(docs, N.char_ngrams(F.col("text"), (3, 5))).groupBy("term").agg(_count())
 
 
 @query("c12_char_ngrams_short_words")
 def _(spark, sf):
     msgs = kept_pairs(spark, sf).repartition("pair_id")
-    grams = msgs.select(F.explode(N.char_ngrams(msg(), (4, 6))).alias("term"))
-    return grams.groupBy("term").agg(_count())
+    return N.gram_rows(msgs, N.char_ngrams(msg(), (4, 6))).groupBy("term").agg(_count())
 
 
 @query("c13_word_count")
