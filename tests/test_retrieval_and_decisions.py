@@ -65,6 +65,11 @@ def corpus(pools):
     return stage(base.unionByName(copies), "test_corpus")
 
 
+@pytest.fixture(scope="module")
+def index(corpus):
+    return RT.build_index(corpus)
+
+
 @pytest.fixture(scope="module")
 def expected(pools, corpus):
     rows = [(r.pair_seq, r.customer_msg) for r in corpus.collect()]
@@ -80,8 +85,7 @@ def expected(pools, corpus):
         {"hot_postings": 0},
     ],
 )
-def test_retrieval_is_exact(spark, pools, corpus, expected, options):
-    index = RT.build_index(corpus)
+def test_retrieval_is_exact(spark, pools, index, expected, options):
     rows = RT.retrieve(pools.pooled.select("customer_msg"), index, 3, **options).collect()
     got = {}
     for r in sorted(rows, key=lambda r: r["rank"]):
@@ -100,8 +104,7 @@ def test_index_round_trip_and_self_match(spark, pools, corpus, tmp_path):
     assert [r.similarity for r in best] == [1.0]
 
 
-def test_unknown_words_have_no_evidence(spark, corpus):
-    index = RT.build_index(corpus)
+def test_unknown_words_have_no_evidence(spark, index):
     q = spark.createDataFrame([("qqq zzz", "other")], "customer_msg string, intent string")
     [row] = D.score_messages(q, index).collect()
     assert (row.evidence, row.draft_reply, row.grounded) == ([], None, False)
