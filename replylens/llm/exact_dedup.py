@@ -30,12 +30,14 @@ def normalised(text: Column) -> Column:
 
 
 def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first of equal entries with their summed count. Rows come sorted by key and
+    """The first of equal entries, with their summed count. Rows come sorted by key and
     rank; two entries are equal when the digest and the second hash agree."""
     held: pa.RecordBatch | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
+        # fields differ in whether they say "not null"
+        batch = pa.RecordBatch.from_arrays(batch.columns, batch.schema.names)
         if held is not None:
             table = pa.Table.from_batches([held, batch]).combine_chunks()
             batch = table.to_batches()[0]
