@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing
+from . import bpe, exact_dedup, mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,9 +24,22 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
 
 
+RANKS = "byte_bpe_50k.tiktoken"
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(
+        _documents(spark, sf_dir),
+        public_tokenizers.path(RANKS),
+        public_tokenizers.PATTERN,
+        outputs=("n_tokens", "ids_sha256", "decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op2_mixing": op2_mixing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op9_byte_bpe": op9_byte_bpe,
 }
 
 _OP4 = r"""
