@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing
+from . import bpe, exact_dedup, language_id, mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,10 +36,15 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op2_mixing": op2_mixing,
     "op4_exact_dedup": op4_exact_dedup,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_language_id": op10_language_id,
 }
 
 _OP4 = r"""
