@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, mixing
+from . import bpe, exact_dedup, language_id, lz_fingerprint, mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
 
 
+def op5_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.compare_with_edited(_documents(spark, sf_dir))
+
+
 RANKS = "byte_bpe_50k.tiktoken"
 
 
@@ -43,6 +47,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_mixing": op2_mixing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_lz_fingerprint": op5_lz_fingerprint,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_language_id": op10_language_id,
 }
