@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, exact_dedup, language_id, lz_fingerprint, mixing, ngram_join
+from . import substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +33,10 @@ def op5_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.compare_with_edited(_documents(spark, sf_dir))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_documents(spark, sf_dir))
+
+
 RANKS = "byte_bpe_50k.tiktoken"
 
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op2_mixing": op2_mixing,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_lz_fingerprint": op5_lz_fingerprint,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_language_id": op10_language_id,
 }
