@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, lz_fingerprint, mixing, ngram_join
+from . import bpe, chat_format, exact_dedup, language_id, lz_fingerprint, mixing, ngram_join
 from . import substring_dedup
 
+RANKS = "byte_bpe_50k.tiktoken"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -25,6 +26,21 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_documents(spark, sf_dir))
 
 
+#: every control string of the template inside texts
+_HARD = r"\### Assistant: </turn> ok"
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns = turns.select("conv_id", "turn", "role", "text")
+    hard = [(-7, 0, "user", _HARD), (-7, 1, "assistant", _HARD)]
+    return chat_format.check_conversations(
+        turns.unionByName(spark.createDataFrame(hard, turns.schema)),
+        public_tokenizers.path(RANKS),
+        public_tokenizers.PATTERN,
+    )
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
 
@@ -37,9 +53,6 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_documents(spark, sf_dir))
 
 
-RANKS = "byte_bpe_50k.tiktoken"
-
-
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(
         _documents(spark, sf_dir),
@@ -56,6 +69,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_mixing": op2_mixing,
+    "op3_chat_format": op3_chat_format,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_lz_fingerprint": op5_lz_fingerprint,
     "op8_substring_dedup": op8_substring_dedup,
