@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, exact_dedup, language_id, lz_fingerprint, mixing, ngram_join
-from . import substring_dedup
+from . import bpe, chat_format, exact_dedup, language_id, lz_fingerprint
+from . import mixing, ngram_join, packing, substring_dedup
 
 RANKS = "byte_bpe_50k.tiktoken"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,20 @@ def op5_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.compare_with_edited(_documents(spark, sf_dir))
 
 
+#: the vocabulary's free id ends documents
+END_OF_TEXT = 50256
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(
+        _documents(spark, sf_dir),
+        public_tokenizers.path(RANKS),
+        public_tokenizers.PATTERN,
+        END_OF_TEXT,
+        positions=True,
+    )
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_documents(spark, sf_dir))
 
@@ -72,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op3_chat_format": op3_chat_format,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_lz_fingerprint": op5_lz_fingerprint,
+    "op7_packing": op7_packing,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_language_id": op10_language_id,
