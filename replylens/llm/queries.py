@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, chat_format, exact_dedup, language_id, lz_fingerprint
-from . import mixing, ngram_join, packing, substring_dedup
+from . import maxent_lm, mixing, ngram_join, packing, substring_dedup
 
 RANKS = "byte_bpe_50k.tiktoken"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,10 @@ def op5_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.compare_with_edited(_documents(spark, sf_dir))
 
 
+def op6_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score_documents(_documents(spark, sf_dir))
+
+
 #: the vocabulary's free id ends documents
 END_OF_TEXT = 50256
 
@@ -86,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op3_chat_format": op3_chat_format,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_lz_fingerprint": op5_lz_fingerprint,
+    "op6_maxent_lm": op6_maxent_lm,
     "op7_packing": op7_packing,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_byte_bpe": op9_byte_bpe,
