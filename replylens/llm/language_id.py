@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .arrays import slices, text_bytes
 
 WINDOW = 256
@@ -28,6 +29,7 @@ FILTERS = 16
 #: taken from each: the bounds of what the driver holds
 DOCS_PER_LANGUAGE = 1500
 WINDOWS_PER_DOC = 4
+BROADCAST_LABELS = 1 << 12
 UNKNOWN = "und"
 _PAD = 256
 _CODES = 257
@@ -168,7 +170,10 @@ def fit(
     usable = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(label).alias("lang")
     ).where(F.col("lang").isNotNull() & has_letter(F.col("text")))
-    counts = usable.groupBy("lang").count()
+    counts = stage(usable.groupBy("lang").count(), "label_counts")
+    # so few labels that the texts need not be shuffled to meet their counts
+    if counts.count() <= BROADCAST_LABELS:
+        counts = F.broadcast(counts)
     draw = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
     chosen = (
         usable.join(counts, "lang")
