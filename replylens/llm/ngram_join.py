@@ -27,6 +27,10 @@ from .arrays import mix, slices, word_hashes
 from .components import components
 
 MISS = 1e-9
+#: pairs verified before connected ones are sorted out again
+RECHECK = 256
+#: ids that a task may hold to pick the texts it needs; beyond it texts are joined
+BROADCAST_IDS = 1 << 20
 UNIT = 256
 LEAF, FANOUT = 8, 4
 #: bitmap words of the pairs looked at together
@@ -129,8 +133,8 @@ class SignatureTree:
 
 
 def bitmap_bits(largest: int) -> int:
-    """Four bits per token of the largest set, a power of two from 256 to 65,536."""
-    return 1 << min(16, max(8, int(largest * 4 - 1).bit_length()))
+    """Sixteen bits per token of the largest set, a power of two from 256 to 131,072."""
+    return 1 << min(17, max(8, int(largest * 16 - 1).bit_length()))
 
 
 def _needed(a, b, percent: int):
@@ -220,15 +224,23 @@ class _Links:
         """left, right: (nodes, parts they are known to be in, sets), in tree order."""
         for a, b, most in candidate_pairs(tree_l, tree_r, percent, same):
             order = np.argsort(-most, kind="stable")
-            for i, j in zip(a[order].tolist(), b[order].tolist()):
-                one, two = self.root(left[1][i]), self.root(right[1][j])
-                if one == two:
-                    continue
-                s, t = left[2][i], right[2][j]
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * common >= percent * (len(s) + len(t) - common):
-                    self.parent[max(one, two)] = min(one, two)
-                    self.found.append((left[0][i], right[0][j]))
+            a, b = a[order], b[order]
+            while len(a):
+                # most pairs of a group of near copies are connected by now
+                roots_l = np.array([self.root(p) for p in left[1]])
+                roots_r = np.array([self.root(p) for p in right[1]])
+                apart = roots_l[a] != roots_r[b]
+                a, b = a[apart], b[apart]
+                for i, j in zip(a[:RECHECK].tolist(), b[:RECHECK].tolist()):
+                    one, two = self.root(left[1][i]), self.root(right[1][j])
+                    if one == two:
+                        continue
+                    s, t = left[2][i], right[2][j]
+                    common = len(np.intersect1d(s, t, assume_unique=True))
+                    if 100 * common >= percent * (len(s) + len(t) - common):
+                        self.parent[max(one, two)] = min(one, two)
+                        self.found.append((left[0][i], right[0][j]))
+                a, b = a[RECHECK:], b[RECHECK:]
 
 
 def join_unit(residents, guests: Iterable, percent: int, inside: bool) -> list[tuple[int, int]]:
@@ -316,6 +328,10 @@ def _run_units(
     # units of one block lie on neighbouring tasks, so a large block spreads evenly
     task = F.pmod(F.xxhash64("block", "band") + F.col("salt"), F.lit(tasks)).cast("int")
     texts = docs.select(F.col("doc_id").alias("rep_id"), "text")
+    ids = stage(rows.select("rep_id").distinct(), "unit_ids")
+    if ids.count() <= BROADCAST_IDS:
+        # texts that no unit needs stay where they are
+        texts = texts.join(F.broadcast(ids), "rep_id", "left_semi")
     joined = (
         rows.join(texts, "rep_id")
         .select("node", "part", "d1", "d2", "block", "band", "salt", "guest", "text", task.alias("task"))
@@ -423,9 +439,10 @@ def _links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFra
     members = _members(classes, blocks, percent)
     unit = ["block", "band", "salt"]
     own = members.select("node", F.col("node").alias("part"), "d1", "d2", "rep_id", *unit, F.lit(False).alias("guest"))
-    # the hub of each key visits the units of the key's members, unless it lives there
+    # the smallest hub of each class in a large block visits its unit
     visits = (
-        stars.join(members.where("salts > 0").select("node", *unit), "node")
+        stars.groupBy("node").agg(F.min("hub").alias("hub"))
+        .join(members.where("salts > 0").select("node", *unit), "node")
         .select(F.col("hub").alias("node"), *unit)
         .distinct()
         .join(members.select("node", "d1", "d2", "rep_id"), "node")
