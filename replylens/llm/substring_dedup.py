@@ -17,6 +17,7 @@ Each level is a sort (shuffle) of names in Spark; equal names meet, unique ones
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -109,37 +110,41 @@ def _finish(text: bytes, starts, counts, length: int) -> tuple[int, int, str]:
     return int((end - begin).sum()), len(begin), digest.hexdigest()
 
 
+def _positions(found: list[tuple[int, int]]) -> np.ndarray:
+    """Starts of the strings of runs (start, count)."""
+    return np.concatenate([np.zeros(0, np.int64), *(np.arange(s, s + c) for s, c in found)])
+
+
 def _free_shuffles(spark: SparkSession) -> None:
     """Shuffle files go when the driver collects their handles; ask for it between the
     large steps, whose results are staged tables."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-_KEY = ["doc_id", "mark"]
+#: a run has fewer strings than this, so one number can hold its start and count
+_COUNT = 1 << 12
 
 
-def _run_rows(rows: DataFrame, kind: str, length: int, located: bool) -> DataFrame:
-    """(anchor, whole) of every run, and where it is when ``located``."""
+def _run_rows(rows: DataFrame, length: int, located: bool) -> DataFrame:
+    """The anchor of every run; when ``located`` also its name (whole), its document
+    (mark) and place (start and count in one number)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=SLICE):
             data, offsets = text_bytes(part.column("text"))
             _, start, count, anchor, whole = runs(data, offsets, length)
-            columns = {"anchor": pa.array(anchor), "whole": pa.array(whole)}
+            columns = {"anchor": pa.array(anchor)}
             if located:
                 row = np.searchsorted(offsets, start, "right") - 1
-                take = pa.array(row)
                 columns |= {
-                    "doc_id": part.column("doc_id").take(take),
-                    "mark": part.column("mark").take(take),
-                    "start": pa.array(start - offsets[row]),
-                    "count": pa.array(count),
+                    "whole": pa.array(whole),
+                    "mark": part.column("mark").take(pa.array(row)),
+                    "place": pa.array((start - offsets[row]) * _COUNT + count),
                 }
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    schema = "anchor bigint, whole bigint"
-    if located:
-        schema += f", doc_id {kind}, mark bigint, start bigint, count bigint"
+    schema = "anchor bigint" + (", whole bigint, mark bigint, place bigint" if located else "")
     return rows.mapInArrow(run, schema)
 
 
@@ -152,26 +157,26 @@ def _settle(rows: DataFrame, kind, length: int) -> DataFrame:
         for part in slices(batches, limit=SLICE):
             out: dict[str, list] = {name: [] for name in fields}
             texts = part.column("text").to_pylist()
-            ids, marks = part.column("doc_id").to_pylist(), part.column("mark").to_pylist()
-            for doc_id, mark, text, found in zip(ids, marks, texts, part.column("found").to_pylist()):
+            ids = part.column("doc_id").to_pylist()
+            for doc_id, text, found in zip(ids, texts, part.column("found").to_pylist()):
                 text = (text or "").encode()
-                found = {(r["start"], r["count"]): r for r in found or ()}.values()
-                done = [r for r in found if r["settled"]]
-                open_ = [r for r in found if r["open"]]
-                starts, counts = [r["start"] for r in done], [r["count"] for r in done]
-                removed = spans = digest = body = names = owners = None
-                if any(not r["settled"] for r in open_):
+                # a repeated row says everything twice
+                found = {r["place"]: r for r in found or ()}.values()
+                done = [divmod(r["place"], _COUNT) for r in found if r["settled"]]
+                unsettled = [divmod(r["place"], _COUNT) for r in found if not r["settled"]]
+                standing = [divmod(r["place"], _COUNT) for r in found if r["settled"] and r["open"]]
+                starts, counts = [s for s, _ in done], [c for _, c in done]
+                removed = spans = digest = body = names = None
+                if unsettled:
                     body = text
                 else:
                     removed, spans, digest = _finish(text, starts, counts, length)
-                if open_:
-                    at = np.concatenate([np.arange(r["start"], r["start"] + r["count"]) for r in open_])
-                    hashes = RollingHash(np.frombuffer(text, np.uint8))
-                    names = string_names(hashes, at, length)
-                    # -1: the run occurs elsewhere as a whole
-                    settled = np.repeat([r["settled"] for r in open_], [r["count"] for r in open_])
-                    owners = np.where(settled, -1, at)
-                values = (doc_id, mark, len(text), removed, spans, digest, body, starts, counts, names, owners)
+                if unsettled or standing:
+                    at = _positions(unsettled + standing)
+                    names = string_names(RollingHash(np.frombuffer(text, np.uint8)), at, length)
+                places = [s * _COUNT + c for s, c in unsettled]
+                n_open = sum(c for _, c in unsettled)
+                values = (doc_id, len(text), removed, spans, digest, body, starts, counts, places, n_open, names)
                 for name, value in zip(fields, values):
                     out[name].append(value)
             yield pa.RecordBatch.from_arrays(
@@ -180,15 +185,15 @@ def _settle(rows: DataFrame, kind, length: int) -> DataFrame:
 
     longs = pa.list_(pa.int64())
     fields = {
-        "doc_id": id_type, "mark": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(),
+        "doc_id": id_type, "n_bytes": pa.int64(), "n_removed": pa.int64(),
         "n_spans": pa.int64(), "kept_sha256": pa.string(), "body": pa.binary(),
-        "starts": longs, "counts": longs, "names": longs, "owners": longs,
+        "starts": longs, "counts": longs, "places": longs, "n_open": pa.int64(), "names": longs,
     }
     return rows.mapInArrow(
         run,
-        f"doc_id {kind.simpleString()}, mark bigint, n_bytes bigint, n_removed bigint, n_spans bigint, "
+        f"doc_id {kind.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, "
         "kept_sha256 string, body binary, starts array<bigint>, counts array<bigint>, "
-        "names array<bigint>, owners array<bigint>",
+        "places array<bigint>, n_open bigint, names array<bigint>",
     )
 
 
@@ -198,10 +203,10 @@ def _finish_open(rows: DataFrame, kind, length: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "body", SLICE):
             results = []
-            lists = [part.column(x).to_pylist() for x in ("body", "starts", "counts", "more")]
-            for body, starts, counts, more in zip(*lists):
-                more = more or []
-                results.append(_finish(body, starts + more, counts + [1] * len(more), length))
+            lists = [part.column(x).to_pylist() for x in ("body", "starts", "counts", "places", "more")]
+            for body, starts, counts, places, more in zip(*lists):
+                at = _positions([divmod(p, _COUNT) for p in places])[np.array(more or [], int)]
+                results.append(_finish(body, starts + at.tolist(), counts + [1] * len(at), length))
             removed, spans, digest = zip(*results)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -229,77 +234,82 @@ def remove_repeats(
     string that also starts at another position of any document (the same one included)
     goes; occurrences may overlap, none is spared, and strings are judged on the input.
     n_spans counts the maximal removed runs of bytes, kept_sha256 digests what is left.
-    Rows repeating a doc_id or a whole text count as different places. Texts shorter than
+    Rows repeating a doc_id or a whole text count as different places; rows are told
+    apart by 64-bit hashes of doc_id and text, strings by 64-bit names. Texts shorter than
     ``length`` stay whole. Other columns are ignored; an empty table gives no rows.
-    ``length`` is at least 64.
+    ``length`` is 64 to 4,096.
     """
-    if length < ANCHOR_BYTES:
-        raise ValueError(f"length must be at least {ANCHOR_BYTES}")
+    if not ANCHOR_BYTES <= length <= _COUNT:
+        raise ValueError(f"length must be {ANCHOR_BYTES} to {_COUNT}")
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn(
         "mark", F.xxhash64("doc_id", "text")
     )
     kind = rows.schema["doc_id"].dataType
-    id_name = kind.simpleString()
-    # anchors whose name repeats, and whether all their runs agree
+    # anchors whose name repeats
     anchors = stage(
-        _run_rows(rows, id_name, length, False)
+        _run_rows(rows, length, False)
         .groupBy("anchor")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high"))
+        .agg(F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .select("anchor", (F.col("low") != F.col("high")).alias("mixed")),
+        .select("anchor"),
         "anchors",
     )
     _free_shuffles(spark)
-    located = stage(_run_rows(rows, id_name, length, True).join(anchors, "anchor"), "repeated")
+    located = stage(_run_rows(rows, length, True).join(anchors, "anchor"), "repeated")
     _free_shuffles(spark)
-    place = F.struct("doc_id", "mark", "start", "count")
-    # runs that occur as a whole elsewhere are settled; one of them stands for all
+    # runs that occur as a whole elsewhere are settled; one of them stands for all where
+    # other runs have the same anchor
     groups = stage(
-        located.where("mixed")
-        .groupBy("anchor", "whole")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")),
+        located.groupBy("anchor", "whole").agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.struct("mark", "place")).alias("first")
+        ),
         "run_groups",
     )
-    judged = located.where("mixed").join(groups, ["anchor", "whole"]).select(
-        *_KEY, "start", "count", (F.col("n") > 1).alias("settled"),
-        place.eqNullSafe(F.col("first")).alias("open"),
+    mixed = stage(
+        groups.groupBy("anchor").agg(F.count(F.lit(1)).alias("names")).where("names > 1").select("anchor"),
+        "mixed_anchors",
     )
-    agreed = located.where("not mixed").select(
-        *_KEY, "start", "count", F.lit(True).alias("settled"), F.lit(False).alias("open")
+    groups = stage(
+        groups.join(mixed.withColumn("mixed", F.lit(True)), "anchor", "left").select(
+            "anchor", "whole", (F.col("n") > 1).alias("settled"),
+            F.when(F.col("mixed"), F.col("first")).alias("first"),
+        ),
+        "judged_groups",
     )
+    # a run that is neither settled nor mixed cannot be: its anchor repeats
     found = (
-        judged.union(agreed)
-        .groupBy(*_KEY)
-        .agg(F.collect_list(F.struct("start", "count", "settled", "open")).alias("found"))
-        .withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
+        located.join(groups, ["anchor", "whole"])
+        .select(
+            "mark", "place", "settled",
+            F.coalesce(F.struct("mark", "place") == F.col("first"), F.lit(False)).alias("open"),
+        )
+        .groupBy("mark")
+        .agg(F.collect_list(F.struct("place", "settled", "open")).alias("found"))
     )
-    matched = rows.join(
-        found, (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left"
-    ).select("doc_id", "mark", "text", "found")
-    settled = stage(_settle(matched, kind, length), "settled")
+    settled = _settle(rows.join(found, "mark", "left").select("doc_id", "text", "found"), kind, length)
+    settled = stage(settled.withColumn("row", F.monotonically_increasing_id()), "settled")
     _free_shuffles(spark)
     strings = settled.where("names is not null").select(
-        *_KEY, F.explode(F.arrays_zip("names", "owners")).alias("s")
-    ).select(*_KEY, F.col("s.names").alias("name"), F.col("s.owners").alias("owner"))
+        "row", "n_open", F.posexplode("names").alias("nth", "name")
+    )
     repeated = stage(
         strings.groupBy("name")
-        .agg(F.sum(F.when(F.col("owner") < 0, 2).otherwise(1)).alias("n"))
+        .agg(F.sum(F.when(F.col("nth") >= F.col("n_open"), 2).otherwise(1)).alias("n"))
         .where("n > 1")
         .select("name"),
         "repeated_strings",
     )
+    _free_shuffles(spark)
     more = (
-        strings.where("owner >= 0")
+        strings.where("nth < n_open")
+        .select("row", "nth", "name")
         .join(repeated, "name")
-        .groupBy(*_KEY)
-        .agg(F.collect_list("owner").alias("more"))
-        .withColumnsRenamed({"doc_id": "_id", "mark": "_mark"})
+        .groupBy("row")
+        .agg(F.collect_list("nth").alias("more"))
     )
-    open_ = settled.where("body is not null").select(*_KEY, "n_bytes", "body", "starts", "counts").join(
-        more, (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left"
+    open_ = settled.where("body is not null").join(more, "row", "left").select(
+        "doc_id", "n_bytes", "body", "starts", "counts", "places", "more"
     )
     columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    return settled.where("body is null").select(columns).union(
-        _finish_open(open_.select("doc_id", "n_bytes", "body", "starts", "counts", "more"), kind, length)
-    )
+    return settled.where("body is null").select(columns).union(_finish_open(open_, kind, length))
