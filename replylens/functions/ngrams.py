@@ -64,3 +64,20 @@ def gram_rows(df: DataFrame, grams: Column, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode_outer(grams).alias("term")).where(
         F.col("term").isNotNull()
     )
+
+
+def counted_rows(df: DataFrame, grams: str, *keep: str) -> DataFrame:
+    """One row per distinct n-gram of a row, as ``term`` with its count ``tf``. ``grams``
+    is a column of sorted arrays; a term's count is the length of its run."""
+    g = F.col(grams)
+    starts = F.filter(
+        F.sequence(F.lit(0), F.size(g) - 1),
+        lambda i: (i == 0) | (F.get(g, i) != F.get(g, i - 1)),
+    )
+    runs = df.where(F.size(g) > 0).select(*keep, grams, starts.alias("__starts"))
+    s = F.col("__starts")
+    ends = F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(F.size(g)))
+    counts = F.zip_with(
+        s, ends, lambda a, b: F.struct(F.get(g, a).alias("term"), (b - a).cast("bigint").alias("tf"))
+    )
+    return runs.select(*keep, F.inline_outer(counts)).where(F.col("term").isNotNull())

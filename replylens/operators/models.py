@@ -39,7 +39,7 @@ class Learner:
     kind: str = "svc"  # svc, lr or nb
     c: float = 1.0
     balanced: bool = True
-    max_iter: int | None = None  # 50 for svc, 100 for lr
+    max_iter: int | None = None  # 5,000 for svc, 1,000 for lr
     tol: float = 1e-4
 
     @property
@@ -65,11 +65,13 @@ class IntentModel:
 
 
 def distinct_messages(messages: DataFrame, label: str | None = None) -> DataFrame:
-    """One row per message text: doc_id, customer_msg, copies [, label]."""
-    extra = [F.min(label).alias("label")] if label else []
-    return messages.groupBy("customer_msg").agg(
-        F.count(F.lit(1)).alias("copies"), *extra
-    ).withColumn("doc_id", F.md5("customer_msg"))
+    """One row per message text, or per text and label: doc_id, customer_msg, copies
+    [, label]."""
+    keys = [F.col("customer_msg"), *([F.col(label).alias("label")] if label else [])]
+    name = F.concat_ws("\n", "label", "customer_msg") if label else F.col("customer_msg")
+    return messages.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).withColumn(
+        "doc_id", F.md5(name)
+    )
 
 
 def fit_features(docs: DataFrame, features: Features) -> FittedFeatures:
@@ -152,7 +154,7 @@ def fit_classifier(table: DataFrame, fitted: FittedFeatures, learner: Learner) -
     ).coalesce(partitions)
     # balanced weights sum to the number of rows as well
     penalty = 1.0 / (learner.c * total)
-    max_iter = learner.max_iter or (50 if learner.kind == "svc" else 100)
+    max_iter = learner.max_iter or (5000 if learner.kind == "svc" else 1000)
     common = dict(
         featuresCol="features", labelCol="label", weightCol="weight",
     )
@@ -179,9 +181,18 @@ def fit_classifier(table: DataFrame, fitted: FittedFeatures, learner: Learner) -
         )
     else:
         raise ValueError(f"unknown learner {learner.kind!r}")
+    if learner.kind != "nb" and (steps := solver_steps(model)) >= max_iter:
+        raise RuntimeError(f"{learner.name} did not converge in {steps} steps; raise max_iter")
     return IntentModel(fitted, labels, model, shift)
 
 
+def solver_steps(model: Model) -> int:
+    """Steps of a linear model just fitted; the most of any class for one-vs-rest."""
+    if isinstance(model, OneVsRestModel):
+        return max(m.summary().totalIterations for m in model.models)
+    return model.summary.totalIterations
+
+
 def fit_intent_model(
     messages: DataFrame, features: Features = FINAL_FEATURES, learner: Learner = Learner(),
     label: str = "intent_label",

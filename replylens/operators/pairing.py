@@ -43,15 +43,64 @@ def drop_boilerplate(pairs: DataFrame) -> DataFrame:
     return pairs.where(~F.lower("support_reply").isin(*BOILERPLATE_REPLIES))
 
 
-def parse_transcripts(raw: DataFrame) -> DataFrame:
-    """One row per kept turn: (conversation_id, part, turn, role, text)."""
+def transcript_facts(raw: DataFrame) -> DataFrame:
+    """One row per conversation, however many parts its transcript came in:
+    (conversation_id, company, n_chars, replied, turns)."""
+    require_columns(raw, "conversation_id", "company", "conversation")
+    text = F.col("conversation")
+    parts = raw.select(
+        "conversation_id",
+        "company",
+        F.length(text).cast("bigint").alias("n_chars"),
+        X.has_support_reply(text).alias("replied"),
+        X.turn_count(text).cast("bigint").alias("turns"),
+    )
+    return parts.groupBy("conversation_id", "company").agg(
+        # line feeds join the parts
+        (F.sum("n_chars") + F.count(F.lit(1)) - 1).alias("n_chars"),
+        F.bool_or("replied").alias("replied"),
+        F.sum("turns").alias("turns"),
+    )
+
+
+def _kept_before(turns: DataFrame) -> DataFrame:
+    """``turns`` (conversation_id, part, turns) with ``before``: the number of kept turns
+    in earlier parts. One narrow row per later part is numbered; the rest pass through."""
+    sizes = turns.select("conversation_id", "part", F.size("turns").alias("kept"))
+    cut = sizes.where(F.col("part") > 0).select("conversation_id").distinct()
+    earlier = Window.partitionBy("conversation_id").orderBy("part").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    before = (
+        sizes.join(cut, "conversation_id", "left_semi")
+        .withColumn("before", F.coalesce(F.sum("kept").over(earlier), F.lit(0)))
+        .drop("kept")
+    )
+    return turns.join(before, ["conversation_id", "part"], "left").withColumn(
+        "before", F.coalesce("before", F.lit(0))
+    )
+
+
+def _parsed(raw: DataFrame) -> DataFrame:
     require_columns(raw, "conversation_id", "conversation")
-    part = F.col("part") if "part" in raw.columns else F.lit(0).cast("bigint")
-    return raw.select(
+    parts = "part" in raw.columns
+    turns = raw.select(
         "conversation_id",
-        part.alias("part"),
-        F.posexplode_outer(X.transcript_turns(F.col("conversation"))).alias("turn", "t"),
-    ).where(F.col("turn").isNotNull()).select("conversation_id", "part", "turn", "t.role", "t.text")
+        (F.col("part") if parts else F.lit(0).cast("bigint")).alias("part"),
+        X.transcript_turns(F.col("conversation")).alias("turns"),
+    )
+    return _kept_before(turns) if parts else turns.withColumn("before", F.lit(0).cast("bigint"))
+
+
+def parse_transcripts(raw: DataFrame) -> DataFrame:
+    """One row per kept turn: (conversation_id, part, turn, role, text). Turn numbers go
+    on from part to part."""
+    return _parsed(raw).select(
+        "conversation_id", "part", "before", F.posexplode_outer("turns").alias("place", "t")
+    ).where(F.col("place").isNotNull()).select(
+        "conversation_id", "part", (F.col("before") + F.col("place")).alias("turn"),
+        "t.role", "t.text",
+    )
 
 
 def pair_transcripts(raw: DataFrame) -> DataFrame:
@@ -61,20 +110,17 @@ def pair_transcripts(raw: DataFrame) -> DataFrame:
     Only where a long conversation came in several parts are the last turn of one
     part and the first turn of the next joined, one narrow row per part.
     """
-    require_columns(raw, "conversation_id", "conversation")
     parts = "part" in raw.columns
-    turns = raw.select(
-        "conversation_id",
-        (F.col("part") if parts else F.lit(0).cast("bigint")).alias("part"),
-        X.transcript_turns(F.col("conversation")).alias("turns"),
-    )
+    turns = _parsed(raw)
     count = F.greatest(F.size("turns") - 1, F.lit(0))
     neighbours = F.arrays_zip(
         F.slice("turns", F.lit(1), count).alias("a"), F.slice("turns", F.lit(2), count).alias("b")
     )
     inside = turns.select(
-        "conversation_id", "part", F.posexplode_outer(neighbours).alias("turn", "p")
-    ).where(F.col("turn").isNotNull()).select("conversation_id", "part", "turn", "p.a", "p.b")
+        "conversation_id", "part", "before", F.posexplode_outer(neighbours).alias("place", "p")
+    ).where(F.col("place").isNotNull()).select(
+        "conversation_id", "part", (F.col("before") + F.col("place")).alias("turn"), "p.a", "p.b"
+    )
     if parts:
         inside = inside.unionByName(_across_parts(turns))
     return inside.where(
@@ -93,7 +139,7 @@ def _across_parts(turns: DataFrame) -> DataFrame:
     by_part = Window.partitionBy("conversation_id").orderBy("next_part")
     firsts = firsts.withColumn("part", F.coalesce(F.lag("next_part").over(by_part), F.lit(0)))
     lasts = turns.select(
-        "conversation_id", "part", (F.size("turns") - 1).alias("turn"),
+        "conversation_id", "part", (F.col("before") + F.size("turns") - 1).alias("turn"),
         F.element_at("turns", -1).alias("a"),
     ).where(F.col("a.role") == "Customer")
     return lasts.join(firsts.drop("next_part"), ["conversation_id", "part"])

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage, stage_root
 from .ranking import top_per_group
+from ..sources.tables import spread
 from .tfidf import Features, term_counts, vocabulary, weigh
 
 DIGITS = 6
@@ -69,7 +70,7 @@ def build_index(
         ),
         "corpus",
     )
-    counts = term_counts(messages, features, "msg_id", "customer_msg")
+    counts = stage(term_counts(messages, features, "msg_id", "customer_msg"), "term_counts")
     n_docs = messages.agg(F.sum("copies").cast("double").alias("n")).scalar()
     weighted = counts.join(messages.select("msg_id", "copies"), "msg_id")
     vocab = write(vocabulary(weighted, n_docs, features.min_df, F.col("copies")), "vocab")
@@ -106,7 +107,8 @@ def pair_scores(
     if hot_postings is None:
         hot_postings = max(500, int(10 * math.sqrt(index.messages.count())))
     small = terms.limit(broadcast_terms + 1).count() <= broadcast_terms
-    vectors = _spread_vectors(index.vectors) if small else index.vectors
+    # the stored vectors lie together by message, so products add up before any shuffle
+    vectors = spread(index.vectors) if small else index.vectors
     hot = F.col("postings") > hot_postings
     if not index.vocab.where(hot).take(1):
         return _sum(_products(terms, vectors, small))
@@ -144,7 +146,7 @@ def pair_scores(
     open_rare = rare.join(open_queries, "text_id", "left_semi")
     open_terms = hot_terms.join(open_queries, "text_id", "left_semi")
     if small:
-        open_hot = _products(open_terms, _spread_vectors(hot_vectors), True)
+        open_hot = _products(open_terms, hot_vectors, True)
     else:
         each = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
         salted = hot_vectors.withColumn(
@@ -156,13 +158,6 @@ def pair_scores(
     )
 
 
-def _spread_vectors(vectors: DataFrame) -> DataFrame:
-    """One message's terms in one partition. Joined with broadcast query terms, the
-    scores of a message then add up without another shuffle."""
-    partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return vectors.repartition(partitions, "msg_id")
-
-
 def _products(
     terms: DataFrame, vectors: DataFrame, small: bool, keys: list[str] | None = None
 ) -> DataFrame:
@@ -198,9 +193,10 @@ def retrieve(
     Only positive similarities count, so a query may have fewer than k rows.
     """
     texts = queries.groupBy("customer_msg").agg(F.md5("customer_msg").alias("text_id"))
-    hits = best_messages(texts, index, k, **options)
+    hits = stage(best_messages(texts, index, k, **options), "hits")
+    found = index.corpus.join(hits.select("msg_id").distinct(), "msg_id", "left_semi")
     # any pair in the final top k is among the first k pairs of one of the k messages
-    copies = top_per_group(index.corpus, ["msg_id"], [F.col("pair_seq")], k, "copy").drop("copy")
+    copies = top_per_group(found, ["msg_id"], [F.col("pair_seq")], k, "copy").drop("copy")
     rows = (
         hits.join(copies, "msg_id")
         .join(

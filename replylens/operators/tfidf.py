@@ -1,8 +1,8 @@
 """TF-IDF as relations: one row per (document, term).
 
 Weight = (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), scaled to length 1 per document
-and block. Documents are partitioned by id before tokenising, so counting terms per
-document needs no further shuffle.
+and block. A document is one row; its terms are counted inside the row, so no text is
+shuffled.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ngrams as N
 from ..session import stage
+from ..sources.tables import spread
 
 
 @dataclass(frozen=True)
@@ -32,7 +33,8 @@ class Features:
 def term_counts(
     docs: DataFrame, features: Features, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(id, term, tf). With two blocks, terms carry the prefix ``w:`` or ``c:``."""
+    """(id, term, tf) of documents, one row each. With two blocks, terms carry the prefix
+    ``w:`` or ``c:``."""
     tokens = N.word_tokens(F.col(text_col))
     grams: Column = N.word_ngrams(F.col("__tokens"), features.word)
     if features.char:
@@ -41,20 +43,13 @@ def term_counts(
             F.transform(grams, lambda g: F.concat(F.lit("w:"), g)),
             F.transform(chars, lambda g: F.concat(F.lit("c:"), g)),
         )
-    # The partition count is given, or adaptive execution would merge partitions by the
-    # size of the texts, which is far below that of their n-grams. Tokens form their own
-    # step below the generator, so they are computed once a row.
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tokenised = (
-        docs.select(id_col, text_col)
-        .repartition(partitions, id_col)
-        .select(id_col, text_col, tokens.alias("__tokens"))
-    )
-    return (
-        N.gram_rows(tokenised, grams, id_col)
-        .groupBy(id_col, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
+    # One row is one document, so its terms are counted inside the row and no text is
+    # shuffled. Tokens and sorted n-grams form steps of their own, computed once a row.
+    tokenised = spread(docs.select(id_col, text_col)).select(
+        id_col, text_col, tokens.alias("__tokens")
     )
+    grammed = tokenised.select(id_col, F.sort_array(grams).alias("__grams"))
+    return N.counted_rows(grammed, "__grams", id_col)
 
 
 def vocabulary(
@@ -109,7 +104,7 @@ def fit_transform(
     The vocabulary is staged, so the planner knows its size: a small one is broadcast
     and the term counts stay where they are, a large one is joined by term.
     """
-    counts = term_counts(docs, features, id_col, text_col)
+    counts = stage(term_counts(docs, features, id_col, text_col), "term_counts")
     n_docs = docs.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
     vocab = stage(vocabulary(counts, n_docs, features.min_df), "vocab")
     return vocab, weigh(counts, vocab, features.blocks, id_col)

@@ -61,7 +61,7 @@ def _new_path(spark: SparkSession, name: str) -> str:
 
 
 def _raw(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(transcripts(read_table(spark, sf, "conversations")))
+    return transcripts(spread(read_table(spark, sf, "conversations")))
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,8 +90,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = _new_path(spark, "pools")
     write_pools(pooled_pairs(spark, sf), path)
-    pools = spark.read.parquet(path)
-    return pools.where(F.col("pool") == S.DEV).select(
+    return spark.read.parquet(path).select(
         "pair_id", "conversation_id", "customer_msg", "support_reply", "pool"
     )
 
@@ -121,14 +120,15 @@ def _(spark, sf):
 
 @query("b1_brand_filter")
 def _(spark, sf):
-    return _raw(spark, sf).where(F.col("company") == "brand_1").select(
-        "conversation_id", "company", F.length("conversation").cast("bigint").alias("n_chars")
+    return P.transcript_facts(_raw(spark, sf).where(F.col("company") == "brand_1")).select(
+        "conversation_id", "company", "n_chars"
     )
 
 
 @query("b2_candidate_filter")
 def _(spark, sf):
-    return _raw(spark, sf).where(F.col("company").isin(*BRANDS)).groupBy("company").agg(_count())
+    raw = _raw(spark, sf).where(F.col("company").isin(*BRANDS))
+    return P.transcript_facts(raw).groupBy("company").agg(_count())
 
 
 @query("b3_min_length")
@@ -187,16 +187,12 @@ def _(spark, sf):
 
 @query("c3_has_reply")
 def _(spark, sf):
-    return _raw(spark, sf).select(
-        "conversation_id", X.has_support_reply(F.col("conversation")).alias("replied")
-    )
+    return P.transcript_facts(_raw(spark, sf)).select("conversation_id", "replied")
 
 
 @query("c4_turn_count")
 def _(spark, sf):
-    return _raw(spark, sf).select(
-        "conversation_id", X.turn_count(F.col("conversation")).cast("bigint").alias("turns")
-    )
+    return P.transcript_facts(_raw(spark, sf)).select("conversation_id", "turns")
 
 
 @query("c5_intent_rules")
@@ -229,13 +225,10 @@ def _(spark, sf):
 @query("c6_escalation_with_score")
 def _(spark, sf):
     # the numeric column of the same rows stands in for a retrieval score
-    events = read_table(spark, sf, "events")
-    rows = support_pairs(spark, events).select("event_id", "customer_msg").join(
-        events.select("event_id", (F.col("value") / 100).alias("score")), "event_id"
-    )
+    rows = support_pairs(spark, spread(read_table(spark, sf, "events")))
+    score = F.col("value") / 100
     return rows.select(
-        "event_id",
-        R.escalation_reason(msg(), R.classify_intent(msg()), F.col("score")).alias("reason"),
+        "event_id", R.escalation_reason(msg(), R.classify_intent(msg()), score).alias("reason")
     )
 
 
@@ -269,7 +262,7 @@ def _(spark, sf):
 
 @query("c11_word_ngrams")
 def _(spark, sf):
-    docs = _docs(spark, sf).repartition("doc_id").select(
+    docs = _docs(spark, sf).select(
         "doc_id", N.word_tokens(F.col("text")).alias("tokens")
     )
     return N.gram_rows(docs, N.word_ngrams(F.col("tokens"), (1, 3))).groupBy("term").agg(_count())
@@ -277,13 +270,13 @@ def _(spark, sf):
 
 @query("c12_char_ngrams")
 def _(spark, sf):
-    docs = _docs(spark, sf).repartition("doc_id")
+    docs = _docs(spark, sf)
     return N.gram_rows(docs, N.char_ngrams(F.col("text"), (3, 5))).groupBy("term").agg(_count())
 
 
 @query("c12_char_ngrams_short_words")
 def _(spark, sf):
-    msgs = kept_pairs(spark, sf).repartition("pair_id")
+    msgs = kept_pairs(spark, sf)
     return N.gram_rows(msgs, N.char_ngrams(msg(), (4, 6))).groupBy("term").agg(_count())
 
 
@@ -755,7 +748,14 @@ def _(spark, sf):
     model = ML.fit_intent_model(ML.training_pool(pools.pooled), EX.WORD, EX.BASE_LEARNER)
     path = _new_path(spark, "model")
     ML.save_model(model, path)
-    return ML.predict(ML.load_model(spark, path), pools.dev).select("pair_id", "intent")
+    before = ML.predict(model, pools.dev).select("pair_id", "intent", "confidence")
+    after = ML.predict(ML.load_model(spark, path), pools.dev).select(
+        "pair_id", F.col("intent").alias("intent2"), F.col("confidence").alias("confidence2")
+    )
+    same = F.col("intent").eqNullSafe(F.col("intent2")) & (
+        F.abs(F.col("confidence") - F.col("confidence2")) < 1e-9
+    )
+    return before.join(after, "pair_id").select("pair_id", same.alias("same"))
 
 
 @query("k5_logistic_regression")

@@ -89,10 +89,7 @@ def feature_tables(universe: Universe, features: Features) -> FeatureTables:
     return FeatureTables(fitted, ML.vectorise(train, fitted), ML.vectorise(held_out, fitted))
 
 
-def evaluate(tables: FeatureTables, learner: Learner, table: DataFrame | None = None) -> tuple:
-    """(n, accuracy, macro_f1, weighted_f1) of one fit on the held-out table."""
-    model = ML.fit_classifier(tables.train, tables.fitted, learner)
-    scored = ML.score_table(model, tables.held_out if table is None else table)
+def _scores(scored: DataFrame) -> tuple:
     counts = M.label_counts(scored, "label", "intent", copies="copies")
     row = M.summary(counts).first()
     if row is None or row["n"] is None:
@@ -100,6 +97,12 @@ def evaluate(tables: FeatureTables, learner: Learner, table: DataFrame | None =
     return int(row["n"]), row["accuracy"], row["macro_f1"], row["weighted_f1"]
 
 
+def evaluate(tables: FeatureTables, learner: Learner, table: DataFrame | None = None) -> tuple:
+    """(n, accuracy, macro_f1, weighted_f1) of one fit on the held-out table."""
+    model = ML.fit_classifier(tables.train, tables.fitted, learner)
+    return _scores(ML.score_table(model, tables.held_out if table is None else table))
+
+
 def side_by_side(spark: SparkSession, tasks: list[Callable[[], object]], parallelism: int = 6) -> list:
     """Run independent fits from several threads, so that their many short jobs share
     the cluster; results come back in order."""
@@ -184,26 +187,37 @@ def learning_curve(
     spark: SparkSession, universe: Universe, fractions: tuple[float, ...] = FRACTIONS,
     features: Features = WORD_CHAR,
 ) -> DataFrame:
-    """Fit on nested prefixes of the seeded order. Vocabulary and document frequencies
-    are fitted anew on every prefix."""
+    """Fit on nested prefixes of the seeded order: the usual result columns and
+    ``n_train``, the rows trained on. Vocabulary and document frequencies are fitted anew
+    on every prefix."""
     marked = stage(S.with_prefix_share(universe.train, "row_key", fractions), "prefixes")
     shares = sorted(fractions)
 
     def fit_on(share: float) -> tuple:
         part = Universe(marked.where(F.col("prefix_share") <= share), universe.held_out)
-        return evaluate(feature_tables(part, features), BASE_LEARNER)
+        tables = feature_tables(part, features)
+        n_train = tables.train.agg(F.sum("copies")).first()[0] or 0
+        return (*evaluate(tables, BASE_LEARNER), int(n_train))
 
     scores = side_by_side(spark, [lambda s=s: fit_on(s) for s in shares])
-    return _results(
-        spark,
-        [(i, "fraction", f"{s:.2f}", *row) for i, (s, row) in enumerate(zip(shares, scores))],
-    )
+    rows = [(i, "fraction", f"{s:.2f}", *row) for i, (s, row) in enumerate(zip(shares, scores))]
+    return spark.createDataFrame(rows, RESULT + ", n_train bigint")
 
 
 def gap_report(
     spark: SparkSession, universe: Universe, golden: DataFrame, features: Features = WORD_CHAR
 ) -> DataFrame:
     """Metrics of one fit on its training rows, the held-out slice and the golden set."""
+    return M.summary(gap_counts(universe, golden, features), ("split",))
+
+
+def gap_details(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(per-class values, confusion matrix), each by split, of ``gap_counts``."""
+    return M.class_report(counts, ("split",)), M.confusion_matrix(counts, ("split",))
+
+
+def gap_counts(universe: Universe, golden: DataFrame, features: Features = WORD_CHAR) -> DataFrame:
+    """Staged label counts by split of one fit."""
     tables = feature_tables(universe, features)
     gold = stage(ML.distinct_messages(golden, "intent_label"), "gold_docs")
     sets = [
@@ -217,8 +231,7 @@ def gap_report(
             F.lit(name).alias("split"), "label", "intent", "copies"
         )
         scored = part if scored is None else scored.unionByName(part)
-    counts = M.label_counts(scored, "label", "intent", ("split",), "copies")
-    return M.summary(counts, ("split",))
+    return stage(M.label_counts(scored, "label", "intent", ("split",), "copies"), "gap_counts")
 
 
 def override_report(
@@ -233,6 +246,15 @@ def override_report(
     return override_metrics(scored, model.labels, thresholds)
 
 
+def best_override(report: DataFrame) -> float | None:
+    """The threshold with the highest macro-F1, the smallest on ties; None unless it is
+    strictly better than the plain prediction (threshold 0). One row a threshold."""
+    rows = {r["threshold"]: r["macro_f1"] for r in report.collect()}
+    plain = rows.pop(0.0)
+    best = max(rows, key=lambda t: (rows[t], -t), default=None)
+    return best if best is not None and rows[best] > plain else None
+
+
 def override_metrics(
     scored: DataFrame, labels: tuple[str, ...],
     thresholds: tuple[float, ...] = OVERRIDE_THRESHOLDS,

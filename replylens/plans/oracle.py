@@ -288,7 +288,8 @@ def oracle_queries() -> dict[str, str]:
     sql: dict[str, str] = {
         "a1_parquet_scan": "SELECT conv_id, turn, role, text FROM conversations",
         "a2_csv_round_trip": with_(PAIRS, "SELECT * FROM kept"),
-        "a3_pool_sink": with_(PAIRS, "SELECT pair_id, conversation_id, customer_msg, support_reply, pool FROM dev"),
+        "a3_pool_sink": with_(PAIRS, "SELECT pair_id, conversation_id, customer_msg, support_reply, pool FROM pooled"),
+        "a5_model_round_trip": with_(PAIRS, "SELECT pair_id, true AS same FROM dev"),
         "a4_json_report": with_(
             PREDICTIONS,
             "SELECT s.system, s.n, round(accuracy, 4) AS intent_accuracy, round(macro_f1, 4) AS intent_macro_f1, "

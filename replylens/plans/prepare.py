@@ -15,9 +15,8 @@ from ..sources import read_table, spread, support_pairs
 
 def event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw pairs of the events table; pair_seq is their row order."""
-    return support_pairs(spark, spread(read_table(spark, sf_dir, "events"))).withColumnRenamed(
-        "event_id", "pair_seq"
-    )
+    pairs = support_pairs(spark, spread(read_table(spark, sf_dir, "events"))).drop("value")
+    return pairs.withColumnRenamed("event_id", "pair_seq")
 
 
 def kept_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,8 +41,8 @@ def build_session(
 def stage_root(spark: SparkSession) -> str:
     """Folder for stage tables: ``spark.checkpoint.dir`` where the cluster sets it.
 
-    Without the setting, a local session gets a temporary folder and a cluster
-    session its (shared) warehouse folder.
+    Without the setting, a local session gets a temporary folder. On a cluster the
+    warehouse serves if it is in a shared store; a machine's own folder is refused.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
@@ -52,7 +52,10 @@ def stage_root(spark: SparkSession) -> str:
         if app_id not in _LOCAL_ROOTS:
             _LOCAL_ROOTS[app_id] = tempfile.mkdtemp(prefix="replylens-")
         return _LOCAL_ROOTS[app_id]
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith("file:") or "://" not in warehouse:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return warehouse + "/_stages"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -14,7 +14,8 @@ _DRIVER_TABLES = {
     "documents": schemas.DOCUMENTS,
     "labels": schemas.LABELS,
 }
-_CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
+_CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"'}
+SMALL_SPLIT = 8 << 20
 
 
 def read_parquet(
@@ -30,16 +31,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table that comes in fewer splits than there are cores (a
-    single row group, say). Larger tables are returned as they are, unshuffled."""
+    """Use all cores on a scanned table that is too small to come in as many splits (a
+    single row group, say). Larger tables are returned as they are, unshuffled. Only the
+    size that the planner knows from the files is looked at; nothing runs."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL_SPLIT else df
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """CSV with a declared schema (no inference pass). Quoted fields may hold line
-    breaks; an empty field is null."""
-    return spark.read.schema(schema).options(**_CSV_OPTIONS).csv(path)
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False
+) -> DataFrame:
+    """CSV with a declared schema (no inference pass); an empty field is null. Cleaned
+    texts hold no line breaks, so files are split among tasks. ``multi_line`` allows
+    quoted line breaks, at the price of one task per file."""
+    options = _CSV_OPTIONS | {"multiLine": str(multi_line).lower()}
+    return spark.read.schema(schema).options(**options).csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

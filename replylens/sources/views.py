@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..schemas import require_columns
 
 _SUPPORT_PAIRS = """
-SELECT event_id, user_id, ts,
+SELECT event_id, user_id, ts, value,
   CAST(FLOOR(event_id / 3.0) AS BIGINT) AS conversation_id,
   CASE event_type
     WHEN 'error' THEN CASE k % 5
@@ -42,7 +42,7 @@ SELECT event_id, user_id, ts,
     WHEN 'signup' THEN 'Please reset your password using the link we just sent to you /MT.'
     WHEN 'view' THEN 'Availability depends on licensing and about ' || ks || '% of tracks vary by region'
     ELSE 'Thanks for the feedback!' END AS support_reply
-FROM (SELECT event_id, user_id, ts, event_type,
+FROM (SELECT event_id, user_id, ts, value, event_type,
              CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k,
              regexp_extract(props, '[0-9]+', 0) AS ks,
              CAST(user_id AS VARCHAR(20)) AS us

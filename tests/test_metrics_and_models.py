@@ -62,7 +62,7 @@ def pools(spark, sf):
     return build_pools(spark, sf)
 
 
-@pytest.mark.parametrize("learner", [Learner("svc", max_iter=15), Learner("lr", 2.0), Learner("nb", 1.0, False)])
+@pytest.mark.parametrize("learner", [Learner("svc"), Learner("lr", 2.0), Learner("nb", 1.0, False)])
 def test_models_learn_and_reload(spark, pools, tmp_path, learner):
     train = ML.training_pool(pools.pooled)
     model = ML.fit_intent_model(train, EX.WORD, learner)
@@ -83,3 +83,24 @@ def test_stream_equals_batch(spark, sf):
     assert len(streamed) == 1000
     batch = QUERIES["c5_intent_rules"](spark, sf).collect()
     assert {(r.event_id, r.intent) for r in streamed} == {(r.event_id, r.intent) for r in batch}
+
+
+def test_best_override_must_beat_the_plain_prediction(spark):
+    def report(*rows):
+        return spark.createDataFrame(list(rows), "threshold double, macro_f1 double")
+
+    assert EX.best_override(report((0.0, 0.5), (0.2, 0.5), (0.3, 0.4))) is None
+    assert EX.best_override(report((0.0, 0.5), (0.2, 0.6), (0.3, 0.6))) == 0.2
+
+
+def test_solver_bound_is_an_error(spark, pools):
+    with pytest.raises(RuntimeError, match="converge"):
+        ML.fit_intent_model(ML.training_pool(pools.pooled), EX.WORD, Learner("lr", 2.0, max_iter=2))
+
+
+def test_texts_with_two_labels_stay_two_rows(spark):
+    rows = [("a", "x"), ("a", "x"), ("a", "y"), ("b", "x")]
+    docs = ML.distinct_messages(spark.createDataFrame(rows, "customer_msg string, l string"), "l")
+    got = sorted((r.customer_msg, r.label, r.copies) for r in docs.collect())
+    assert got == [("a", "x", 2), ("a", "y", 1), ("b", "x", 1)]
+    assert len({r.doc_id for r in docs.collect()}) == 3

@@ -9,6 +9,7 @@ from replylens.operators import profile as PF
 from replylens.operators import ranking as RK
 from replylens.operators import splits as S
 from replylens.plans.prepare import build_pools, kept_pairs
+from replylens.sources.views import transcripts
 
 
 def random_turns(seed=1):
@@ -134,3 +135,30 @@ def test_brand_profile_parts_add_up(spark):
     assert (row.n_conversations, row.pct_with_support_reply, row.avg_turns) == (2, 50.0, 2.0)
     # words: customer: x support: y customer: z customer: hello hello
     assert row.vocab_diversity == round(6 / 9, 4)
+
+
+@pytest.mark.parametrize("turns_per_row", [2, 3, 4096])
+def test_transcript_results_do_not_depend_on_parts(spark, sf, turns_per_row):
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    whole, cut = transcripts(turns), transcripts(turns, turns_per_row)
+
+    def rows(df):
+        return sorted(map(tuple, df.collect()), key=repr)
+
+    assert rows(P.transcript_facts(cut)) == rows(P.transcript_facts(whole))
+    assert rows(P.parse_transcripts(cut).drop("part")) == rows(P.parse_transcripts(whole).drop("part"))
+    assert rows(P.pair_transcripts(cut).drop("part")) == rows(P.pair_transcripts(whole).drop("part"))
+
+
+def test_building_a_query_runs_no_job_over_the_table(spark, sf):
+    """Only jobs of schema reading are allowed before an action."""
+    from replylens.plans.catalog import QUERIES
+
+    tracker = spark.sparkContext.statusTracker()
+    context = spark.sparkContext
+    for name in ("b1_brand_filter", "c2_transcript_lines", "d1_pairs_from_transcripts", "c1_clean_documents"):
+        context.setJobGroup(f"build {name}", name)
+        QUERIES[name](spark, sf)
+        stages = [s for j in tracker.getJobIdsForGroup(f"build {name}") for s in tracker.getJobInfo(j).stageIds]
+        assert len(stages) <= 1, name
+    context.setLocalProperty("spark.jobGroup.id", None)
