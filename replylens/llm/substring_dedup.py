@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -118,8 +119,10 @@ def _positions(found: list[tuple[int, int]]) -> np.ndarray:
 def _free_shuffles(spark: SparkSession) -> None:
     """Shuffle files go when the driver collects their handles; ask for it between the
     large steps, whose results are staged tables."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.5)  # references from Python to the JVM are dropped by a thread
+        spark.sparkContext._jvm.System.gc()
 
 
 #: a run has fewer strings than this, so one number can hold its start and count
