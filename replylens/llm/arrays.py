@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: bytes of text handled at once; a longer text is a slice of its own
 SLICE_BYTES = 1 << 21
@@ -29,6 +30,14 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Have Spark pass texts to Python in batches of at most ``rows``. Texts are large
+    rows; the default of 10,000 makes batches of tens of megabytes in every task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def slices(
     batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:

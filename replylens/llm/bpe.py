@@ -27,7 +27,7 @@ from .arrays import slices
 MATRIX_BYTES = 256
 MATRIX_CELLS = 1 << 21
 #: pieces a worker remembers; when full it forgets them all
-MEMORY = 400_000
+MEMORY = 200_000
 MEMORY_CHARS = 64
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)

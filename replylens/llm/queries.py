@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, chat_format, exact_dedup, language_id, lz_fingerprint
 from . import maxent_lm, mixing, ngram_join, packing, substring_dedup
+from .arrays import small_batches
 
 RANKS = "byte_bpe_50k.tiktoken"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
