@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 
 Rule = tuple[str, str]
 
+DEFAULT_INTENT = "other"
+NO_ESCALATION = "none"
+LOW_CONFIDENCE = "low_retrieval_confidence"
+UNCLASSIFIED = "unclassified_intent"
+MIN_RETRIEVAL_CONFIDENCE = 0.15
+
+# The names and patterns below define the labels, so their text and their
+# order are part of the results. Matching ignores case.
 INTENTS = (
     "account_access",
     "billing_subscription",
@@ -17,14 +25,6 @@ INTENTS = (
     "feature_request_feedback",
     "other",
 )
-DEFAULT_INTENT = "other"
-NO_ESCALATION = "none"
-LOW_CONFIDENCE = "low_retrieval_confidence"
-UNCLASSIFIED = "unclassified_intent"
-MIN_RETRIEVAL_CONFIDENCE = 0.15
-
-# The patterns below define the labels, so their text and their order
-# are part of the results. Matching ignores case.
 INTENT_RULES: tuple[Rule, ...] = (
     ("account_access",
      r"\b(log ?in|log ?on|logg?ing (in|out)|logs? (me )?out|password|sign ?up|sign ?in|hacked|"

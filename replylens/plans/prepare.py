@@ -49,7 +49,7 @@ def build_pools(spark: SparkSession, sf_dir: str) -> Pools:
 def stage_counts(raw: DataFrame, kept: DataFrame, pooled: DataFrame) -> DataFrame:
     """(step, n): rows per step from extraction to the pools. Kept pairs are counted
     after de-duplication and the boilerplate filter; the eval pool after keeping one
-    pair per conversation."""
+    pair per conversation. The three pools are counted in one pass."""
     cleaned = P.clean_and_filter(raw)
     one = F.count(F.lit(1)).alias("n")
 
@@ -57,13 +57,16 @@ def stage_counts(raw: DataFrame, kept: DataFrame, pooled: DataFrame) -> DataFram
         return df.agg(count).select(F.lit(name).alias("step"), "n")
 
     is_pool = {p: F.col("pool") == p for p in (S.EVAL, S.DEV, S.RETRIEVAL)}
+    pools = pooled.agg(
+        F.count_distinct(F.when(is_pool[S.EVAL], F.col("conversation_id"))).alias("eval_pool"),
+        F.count_if(is_pool[S.DEV]).alias("dev_pool"),
+        F.count_if(is_pool[S.RETRIEVAL]).alias("retrieval_corpus"),
+    )
+    named = [F.struct(F.lit(c).alias("step"), F.col(c).alias("n")) for c in pools.columns]
     return (
         step("raw_conversations", raw.select("conversation_id"),
              F.count_distinct("conversation_id").alias("n"))
         .unionByName(step("extracted_pairs", cleaned))
         .unionByName(step("deduped_pairs", kept))
-        .unionByName(step("eval_pool", pooled.where(is_pool[S.EVAL]),
-                          F.count_distinct("conversation_id").alias("n")))
-        .unionByName(step("dev_pool", pooled.where(is_pool[S.DEV])))
-        .unionByName(step("retrieval_corpus", pooled.where(is_pool[S.RETRIEVAL])))
+        .unionByName(pools.select(F.inline(F.array(*named))))
     )

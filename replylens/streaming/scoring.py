@@ -13,12 +13,17 @@ def score_stream(
     score: Callable[[DataFrame], DataFrame],
     out: str,
     checkpoint: str,
+    trigger: dict[str, str | bool] | None = None,
 ) -> StreamingQuery:
     """Run ``score`` (a batch function with a fixed model and index) on every batch of
     a message stream and append the result to ``out``.
 
     Messages are independent, so no state is kept. A batch writes its own folder and
-    overwrites it when it is replayed after a failure, so no row is doubled.
+    overwrites it when it is replayed after a failure, so no row is doubled. ``trigger``
+    takes what ``DataStreamWriter.trigger`` takes, such as ``{"processingTime": "10
+    seconds"}`` for a service that keeps running; by default the stream takes what there
+    is and stops. The rate of input is set on the reader (``maxFilesPerTrigger``).
+    Started again with the same ``checkpoint``, it goes on where it stopped.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -27,6 +32,6 @@ def score_stream(
     return (
         messages.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

@@ -7,6 +7,7 @@ from replylens.operators.models import Learner
 from replylens.plans import experiments as EX
 from replylens.plans.catalog import QUERIES
 from replylens.plans.prepare import build_pools
+from replylens.streaming import score_stream
 
 ROWS = [("a", "a")] * 3 + [("a", "b")] * 2 + [("b", "b")] + [("c", "a")]
 
@@ -104,3 +105,26 @@ def test_texts_with_two_labels_stay_two_rows(spark):
     got = sorted((r.customer_msg, r.label, r.copies) for r in docs.collect())
     assert got == [("a", "x", 2), ("a", "y", 1), ("b", "x", 1)]
     assert len({r.doc_id for r in docs.collect()}) == 3
+
+
+def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    def put(name, *rows):
+        spark.createDataFrame(list(rows), "event_id bigint, customer_msg string").coalesce(1).write.parquet(
+            str(tmp_path / "in" / name)
+        )
+
+    def run():
+        stream = (
+            spark.readStream.schema("event_id bigint, customer_msg string")
+            .option("recursiveFileLookup", "true")
+            .option("maxFilesPerTrigger", 1)
+            .parquet(str(tmp_path / "in"))
+        )
+        out, state = str(tmp_path / "out"), str(tmp_path / "state")
+        score_stream(stream, lambda batch: batch, out, state).awaitTermination()
+        return sorted(r.event_id for r in spark.read.parquet(out).collect())
+
+    put("a", (1, "x"), (2, "y"))
+    assert run() == [1, 2]
+    put("b", (3, "z"))
+    assert run() == [1, 2, 3]
