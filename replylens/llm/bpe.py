@@ -183,7 +183,7 @@ class ByteBPE:
         """The ids of each text; null and empty texts have none."""
         cut = [self._find(text) if text else [] for text in texts]
         memory = self._memory
-        fresh = list(set().union(*cut) - memory.keys())
+        fresh = [p for p in set().union(*cut) if p not in memory]
         coded = dict(zip(fresh, self.encode_pieces([p.encode() for p in fresh])))
         if len(memory) + len(coded) > MEMORY:
             for pieces in cut:
