@@ -147,6 +147,39 @@ def test_model_probabilities_sum_to_one():
     assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_every_counted_word_has_a_place():
+    v, own = 9000, (maxent_lm.CLASSES - 1) * maxent_lm.WORDS
+    counts = np.arange(v, 0, -1)
+    model = maxent_lm.untrained(np.arange(1, v + 1, dtype=np.uint64), counts, int(counts.sum()), v, held=False)
+    rank = np.arange(v + 1)
+    context = np.full(v + 1, 77, np.uint64), np.full(v + 1, 99, np.uint64)
+    choices = maxent_lm.Choices(model, rank, *context, own, v)
+    paths = {}
+    for token, node, branch in zip(choices.token, choices.node, choices.branch):
+        paths.setdefault(int(token), []).append((int(node), int(branch)))
+    assert len({tuple(p) for p in paths.values()}) == v + 1
+    keys = choices.needed(True)
+    draw = np.random.Generator(np.random.PCG64(5))
+    rows = draw.normal(0, 1, (len(keys), maxent_lm.WORDS)).astype(np.float32)
+    rows[: (keys >> 60 == 4).sum()] = -60
+    last = choices.tail
+    for node, branch in set(zip(choices.node[last].tolist(), choices.branch[last].tolist())):
+        rows[np.flatnonzero(keys == node | 4 << 60)[0], branch] = 0.5
+    choices.meet(model, keys, rows)
+    p = choices.log_probabilities(model)
+    assert np.exp(p).sum() == pytest.approx(1, abs=1e-3)
+    assert np.std(p[own:]) > 0.5  # the context tells rare words apart
+    assert maxent_lm.row_bits(1 << 33, 1 << 26) > maxent_lm.row_bits(1 << 23, 1 << 17)
+
+
+def test_words_rank_by_count(spark):
+    rows = [(int(t), int(abs(t) % 7)) for t in np.random.Generator(np.random.PCG64(6)).integers(-(1 << 63), 1 << 63, 500)]
+    table = spark.createDataFrame(rows, "token bigint, c bigint").repartition(3)
+    got = {r.token: r.rank for r in maxent_lm.ranked(table).collect()}
+    order = sorted(rows, key=lambda r: (-r[1], r[0] % (1 << 64)))
+    assert [got[t] for t, _ in order] == list(range(len(rows)))
+
+
 def test_language_model_on_hard_rows(hard, nothing):
     got = maxent_lm.score_documents(hard).collect()
     assert len(got) == hard.count()
