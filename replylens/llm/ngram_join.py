@@ -19,7 +19,7 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
@@ -266,8 +266,10 @@ def join_unit(residents, guests: Iterable, percent: int, inside: bool) -> list[t
 
 
 def _profile(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Staged: (pos, doc_id, n, d1, d2, keys) per row; keys is null for empty sets."""
+    """Staged: (pos, doc_id, n, d1, d2, keys) per row, and mark if ``docs`` has one; keys is
+    null for empty sets."""
     bands, rows = routing(percent)
+    marks = [c for c in docs.columns if c == "mark"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -280,12 +282,15 @@ def _profile(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 pa.array(np.cumsum(ends).astype(np.int32)), pa.array(keys.ravel().view(np.int64))
             )
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(d1), pa.array(d2), lists],
-                ["doc_id", "n", "d1", "d2", "keys"],
+                [part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(d1), pa.array(d2), lists]
+                + [part.column(c) for c in marks],
+                ["doc_id", "n", "d1", "d2", "keys", *marks],
             )
 
     rows_ = docs.mapInArrow(
-        run, "doc_id bigint, n bigint, d1 bigint, d2 bigint, keys array<bigint>"
+        run,
+        "doc_id bigint, n bigint, d1 bigint, d2 bigint, keys array<bigint>"
+        + "".join(f", {c} bigint" for c in marks),
     )
     return stage(rows_.withColumn("pos", F.monotonically_increasing_id()), "profiles")
 
@@ -393,10 +398,24 @@ def link_components(
     and an empty table gives no rows. doc_id is an integer; a null one is taken as the
     smallest number for reaching, and comes back null.
     """
-    docs = docs.select(
-        F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_LOWEST).cast("bigint")).alias("doc_id"),
-        F.col(text).alias("text"),
+    docs = docs.select(_number(F.col(doc_id)).alias("doc_id"), F.col(text).alias("text"))
+    out = _linked_profiles(docs, k, percent)
+    none = F.lit(_LOWEST).cast("bigint")
+    return out.select(
+        F.nullif("doc_id", none).alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        F.nullif("component_id", none).alias("component_id"),
     )
+
+
+def _number(doc_id: Column) -> Column:
+    """doc_id as a number, the lowest for null."""
+    return F.coalesce(doc_id.cast("bigint"), F.lit(_LOWEST).cast("bigint"))
+
+
+def _linked_profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, n, component_id) per row of (doc_id, text), and mark if ``docs`` has one; no
+    id is null."""
     profiles = _profile(docs, k, percent)
     classes = stage(
         profiles.where("n > 0").groupBy("n", "d1", "d2").agg(
@@ -406,20 +425,19 @@ def link_components(
         ),
         "classes",
     )
-    labels = components(_links(docs, classes, k, percent))
+    labels = components(_links(docs.select("doc_id", "text"), classes, k, percent))
     named = classes.select("n", "d1", "d2", "node", "rep_id").join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", "node")
     )
     named = stage(named.drop("node"), "named")
     least = stage(named.groupBy("label").agg(F.min("rep_id").alias("component_id")), "least")
     parts = stage(named.join(least, "label").select("n", "d1", "d2", "component_id"), "parts")
-    out = profiles.join(parts, ["n", "d1", "d2"], "left").select(
+    return profiles.join(parts, ["n", "d1", "d2"], "left").select(
         "doc_id",
-        F.col("n").alias("n_shingles"),
+        "n",
         F.coalesce("component_id", "doc_id").alias("component_id"),
+        *(c for c in docs.columns if c == "mark"),
     )
-    none = F.lit(_LOWEST).cast("bigint")
-    return out.withColumns({c: F.nullif(F.col(c), none) for c in ("doc_id", "component_id")})
 
 
 def _links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -487,9 +505,15 @@ def _links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFra
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay, columns unchanged: of each component of links the
-    row with the smallest doc_id. Rows without words all stay; rows repeating the
-    smallest doc_id of a component stay together."""
-    found = link_components(docs, k=k, percent=percent)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id")
-    return rows.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select("_row.*")
+    row with the smallest doc_id, a null one counting as the smallest. Rows without words
+    all stay; rows repeating the smallest doc_id of a component stay together. Rows of one
+    doc_id with other texts are decided each by its own text."""
+    marked = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        _number(F.col("doc_id")).alias("doc_id"),
+        F.col("text"),
+        F.xxhash64("text").alias("mark"),
+    )
+    found = _linked_profiles(marked.drop("_row"), k, percent)
+    gone = found.where("component_id <> doc_id").select("doc_id", "mark")
+    return marked.drop("text").join(gone, ["doc_id", "mark"], "left_anti").select("_row.*")

@@ -132,6 +132,17 @@ def test_join_on_hard_rows(hard, nothing):
     assert ngram_join.drop_near_duplicates(nothing).count() == 0
 
 
+def test_near_copies_are_decided_row_by_row(spark):
+    text, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [
+        (1, text), (2, text + " more"), (2, "nothing like any other text of the table"), (2, ""), (2, None),
+        (None, other), (3, other + " more"), (4, other),
+    ]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    stays = {(r.doc_id, r.text) for r in ngram_join.drop_near_duplicates(table).collect()}
+    assert stays == {rows[i] for i in (0, 2, 3, 4, 5)}
+
+
 def test_traversal_bounds_never_lose_a_pair():
     draw = np.random.Generator(np.random.PCG64(1))
     base = draw.integers(1, 1 << 62, 60, dtype=np.uint64)
