@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat_format, exact_dedup, language_id, lz_fingerprint
-from . import maxent_lm, mixing, ngram_join, packing, substring_dedup
+from . import bpe, chat_format, exact_dedup, filter_audit, hard_negatives, language_id
+from . import line_dedup, lz_fingerprint, maxent_lm, mixing, ngram_join, packing, substring_dedup
 from .arrays import small_batches
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -86,6 +87,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return hard_negatives.mine(hard_negatives.integer_vectors(rows))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return filter_audit.audit_filters(_documents(spark, sf_dir), labels)
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(_documents(spark, sf_dir)).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_mixing": op2_mixing,
@@ -97,6 +114,9 @@ QUERIES: dict[str, Query] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_language_id": op10_language_id,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 _OP4 = r"""
@@ -157,8 +177,101 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learned) AS loss_c
 FROM g
 """
 
+_OP11 = r"""
+WITH v AS (
+  SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+         CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS INT) AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+  AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
+_OP12 = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body FROM documents),
+w AS (SELECT *, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS words FROM t),
+first AS (SELECT body, min(doc_id) AS smallest FROM t GROUP BY body),
+said AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic
+  FROM labels GROUP BY doc_id),
+d AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         [CAST(len(words) < 200 AS INT), CAST(100 * len(list_distinct(words)) < 50 * len(words) AS INT),
+          CAST(100 * length(regexp_replace(w.body, '[^A-Z]+', '', 'g')) > 2 * length(w.body) AS INT),
+          CAST(regexp_matches(w.body, '[#$%&*|]') AS INT),
+          CAST(coalesce(w.doc_id > smallest, false) AS INT)] AS fails
+  FROM w LEFT JOIN first ON w.body = first.body LEFT JOIN said ON w.doc_id = said.doc_id),
+cells AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM d GROUP BY part, fails),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (
+  SELECT filter_order, s AS step, filter_order[s] AS x,
+         list_transform(range(1, s), lambda i: strpos('ABCDE', filter_order[i])) AS before,
+         strpos('ABCDE', filter_order[s]) AS here
+  FROM orders, range(1, 6) r(s)),
+seen AS (
+  SELECT part, filter_order, CAST(step AS INT) AS step, x, n, good, toxic,
+         fails[here] = 1 AS failing,
+         len(list_filter(before, lambda i: fails[i] = 1)) > 0 AS gone,
+         list_sum(fails) AS failed
+  FROM cells, steps),
+g AS (
+  SELECT part, filter_order, step, any_value(x) AS x,
+         coalesce(sum(n) FILTER (NOT gone AND NOT failing), 0) AS kept,
+         coalesce(sum(n) FILTER (NOT gone AND failing), 0) AS removed,
+         coalesce(sum(n) FILTER (gone AND failing), 0) AS redundant,
+         coalesce(sum(n) FILTER (failing AND failed = 1), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (NOT gone AND failing), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (NOT gone AND failing), 0) AS toxic_lost
+  FROM seen GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM g
+"""
+
+_OP13 = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
+  FROM documents),
+k AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM l),
+shared AS (
+  SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+SELECT k.doc_id, count(*) AS n_lines,
+       count(*) FILTER (keeper IS NOT NULL AND keeper <> k.doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place)
+                       FILTER (keeper IS NULL OR keeper = k.doc_id), '')) AS kept_sha256
+FROM k LEFT JOIN shared ON k.key = shared.key GROUP BY k.doc_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard": _OP1,
     "op3_chat_format": _OP3,
     "op4_exact_dedup": _OP4,
+    "op11_hard_negatives": _OP11,
+    "op12_filter_audit": _OP12,
+    "op13_line_dedup": _OP13,
 }

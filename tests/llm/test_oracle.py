@@ -16,5 +16,5 @@ def test_query_equals_sql(spark, con, sf, name):
     assert compare(spark, con, QUERIES[name], ORACLE_SQL[name], sf) == ""
 
 
-def test_ten_operators_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_thirteen_operators_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
