@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 FILTERS = "ABCDE"
 MIN_WORDS = 200
 _SPACES = r"[\x20\x09-\x0D]+"
@@ -119,6 +121,8 @@ def failure_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.min("doc_id").alias("first"),
         F.min_by("n", "doc_id").alias("n_first"),
     )
+    # read twice, and computing it reads all texts
+    per_text = stage(per_text, "texts")
     firsts = per_text.groupBy("digest").agg(F.min("first").alias("smallest"))
     stays = F.col("no_id") + F.when(
         F.col("first") == F.col("smallest"), F.col("n_first")
