@@ -9,14 +9,13 @@ from pyspark.sql import functions as F
 
 Rule = tuple[str, str]
 
+# The names, the threshold and the patterns below define the labels, so their
+# text and their order are part of the results. Matching ignores case.
 DEFAULT_INTENT = "other"
 NO_ESCALATION = "none"
 LOW_CONFIDENCE = "low_retrieval_confidence"
 UNCLASSIFIED = "unclassified_intent"
 MIN_RETRIEVAL_CONFIDENCE = 0.15
-
-# The names and patterns below define the labels, so their text and their
-# order are part of the results. Matching ignores case.
 INTENTS = (
     "account_access",
     "billing_subscription",

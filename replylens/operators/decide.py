@@ -12,14 +12,19 @@ from .retrieval import RetrievalIndex, evidence_arrays, retrieve
 MIN_EVIDENCE = 0.12
 INSUFFICIENT = "insufficient_evidence"
 
-# One canned answer per intent, in our own words; no result depends on the wording.
+# What a baseline can say without reading a message: where it went, and the one fact that
+# desk asks for first. No result depends on the wording.
+DESKS = {
+    "account_access": ("sign-in", "the address you registered with"),
+    "billing_subscription": ("payments", "the date and amount on your statement"),
+    "playback_technical": ("apps and devices", "what you did just before it happened"),
+    "content_availability": ("catalogue", "the title and your country"),
+    "feature_request_feedback": ("ideas", "what you would use it for"),
+    "other": ("general", "what you expected to happen"),
+}
 CANNED_REPLIES = {
-    "account_access": "We are sorry you cannot get in. Please reset your password in the app and tell us if that fails.",
-    "billing_subscription": "Thank you for raising this. Send us the email of your account in private and we will check the billing.",
-    "playback_technical": "Sorry about the trouble. Which device, system and app version do you use?",
-    "content_availability": "Thank you for asking. What we can offer depends on the licences for your region.",
-    "feature_request_feedback": "Thank you for the idea. We will hand it to the product team.",
-    "other": "Thank you for writing. Could you describe the problem in a little more detail?",
+    intent: f"Routed to: {desk} desk. Needed from you: {fact}."
+    for intent, (desk, fact) in DESKS.items()
 }
 
 
@@ -131,10 +136,11 @@ def build_golden_set(eval_pool: DataFrame) -> DataFrame:
     )
 
 
-REPLY_INSTRUCTION = (
-    "Answer the customer in two or three sentences. Use only what the past replies "
-    "below say, and promise nothing they do not. If they do not cover the problem, "
-    "say that it will be looked into."
+# Prompt texts are sections: a heading in capitals, then one item a line.
+REPLY_RULES = (
+    "Output the next message of the support side, nothing else.",
+    "A statement is allowed if a numbered precedent makes it.",
+    "Output HANDOVER if no precedent is about the same problem.",
 )
 REVIEW_DIMENSIONS = (
     "answers the question asked", "says only what the past replies support",
@@ -142,28 +148,39 @@ REVIEW_DIMENSIONS = (
 )
 
 
+def _section(heading: str, body: Column) -> Column:
+    return F.concat(F.lit(heading + "\n"), body, F.lit("\n"))
+
+
+def _numbered(evidence: Column, fields: tuple[str, ...]) -> Column:
+    """``[1] .. => ..`` a line, in rank order."""
+    items = F.transform(
+        evidence,
+        lambda e, i: F.concat(
+            F.lit("["), (i + 1).cast("string"), F.lit("] "),
+            F.concat_ws(" => ", *[e[f] for f in fields]),
+        ),
+    )
+    return F.array_join(items, "\n")
+
+
 def reply_prompt(
     message: Column, evidence: Column, min_evidence: float = MIN_EVIDENCE
 ) -> Column:
     """Prompt text for an external writer; null where evidence is too weak."""
-    cases = F.transform(
-        evidence,
-        lambda e: F.concat(
-            F.lit("- Problem: "), e["customer_msg"], F.lit("\n  Reply: "), e["support_reply"]
-        ),
-    )
     prompt = F.concat(
-        F.lit(REPLY_INSTRUCTION + "\n\nCustomer: "), message,
-        F.lit("\n\nPast cases:\n"), F.array_join(cases, "\n"),
+        _section("PRECEDENTS", _numbered(evidence, ("customer_msg", "support_reply"))),
+        _section("MESSAGE", message),
+        _section("RULES", F.lit("\n".join(REPLY_RULES))),
     )
     return F.when(is_grounded(evidence, min_evidence), prompt)
 
 
 def review_prompt(message: Column, reply: Column, evidence: Column) -> Column:
     """Prompt text for an external rater of a drafted reply."""
-    replies = F.transform(evidence, lambda e: F.concat(F.lit("- "), e["support_reply"]))
-    ask = "Rate the reply from 1 to 5 on: " + ", ".join(REVIEW_DIMENSIONS) + ". Give JSON."
     return F.concat(
-        F.lit(ask + "\n\nCustomer: "), message, F.lit("\nReply: "),
-        F.coalesce(reply, F.lit("")), F.lit("\nPast replies:\n"), F.array_join(replies, "\n"),
+        _section("PRECEDENTS", _numbered(evidence, ("support_reply",))),
+        _section("MESSAGE", message),
+        _section("REPLY", F.coalesce(reply, F.lit(""))),
+        _section("SCORES 1-5", F.lit("\n".join(f"{d}: ?" for d in REVIEW_DIMENSIONS))),
     )

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from ..functions import rules as R
 from ..session import stage, stage_root
-from .ranking import rank_in_buckets
+from .ranking import positions
 from .tfidf import Features, term_counts, vocabulary, weigh
 
 DOCS_PER_PARTITION = 20_000
@@ -76,20 +76,14 @@ def distinct_messages(messages: DataFrame, label: str | None = None) -> DataFram
 
 def fit_features(docs: DataFrame, features: Features) -> FittedFeatures:
     """Vocabulary of ``docs`` (distinct messages with copies). Terms get dense indexes
-    by counting per hash bucket, without passing them through the driver."""
+    by their place in a range sort, without passing through the driver."""
     counts = term_counts(docs, features, "doc_id", "customer_msg").join(
         docs.select("doc_id", "copies"), "doc_id"
     )
     n_docs = docs.agg(F.sum("copies").cast("double").alias("n")).scalar()
     vocab = stage(vocabulary(counts, n_docs, features.min_df, F.col("copies")), "vocab")
-    keyed = vocab.select("term", "idf").withColumn(
-        "bucket", F.pmod(F.xxhash64("term"), F.lit(1024))
-    )
-    ranked = rank_in_buckets(keyed, "bucket", ["term"], rank="place")
-    indexed = stage(
-        ranked.select("term", "idf", (F.col("place") - 1).cast("int").alias("index")),
-        "indexed_vocab",
-    )
+    placed = positions(vocab.select("term", "idf"), ["term"], "index")
+    indexed = stage(placed.withColumn("index", F.col("index").cast("int")), "indexed_vocab")
     return FittedFeatures(features, indexed, max(indexed.count(), 1))
 
 

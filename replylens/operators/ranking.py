@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 SEED = 42
 
 
@@ -25,36 +26,60 @@ def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int = SEED) -> DataF
     return seeded_shuffle(df, id_col, seed).limit(n)
 
 
-def rank_in_buckets(
+def positions(
+    df: DataFrame, order: Sequence[Column | str], position: str = "position"
+) -> DataFrame:
+    """``df`` with its 0-based position in ``order``: a range sort, written once, and one
+    start per partition.
+
+    Partitions of a range sort follow each other, so a row's position is its place in its
+    partition plus the rows of all partitions before. Only the starts pass a single task,
+    one row per shuffle partition. Rows that tie in ``order`` get distinct positions. The
+    sort looks at a sample of ``df`` first, so ``df`` should be a stored table.
+    """
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the id holds the partition above 33 bits of the row's place in it
+    placed = stage(spread.withColumn("__id", F.monotonically_increasing_id()), "sorted")
+    part, place = F.shiftrightunsigned("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+        .select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    )
+    return (
+        placed.join(F.broadcast(starts), part == F.col("__part"))
+        .withColumn(position, F.col("__start") + place)
+        .drop("__id", "__part", "__start")
+    )
+
+
+def ranks(
     df: DataFrame,
-    bucket: str,
     order: Sequence[str],
     by: Sequence[str] = (),
     rank: str = "rank",
     total: str | None = None,
 ) -> DataFrame:
-    """Exact 1-based rank over ``order`` (within ``by``), computed bucket by bucket.
+    """Exact 1-based rank over ``order`` (within ``by``).
 
-    ``bucket`` must grow with ``order``. Rows are ranked inside (by, bucket); the
-    rows of all earlier buckets are added as an offset, which needs only one count
-    per bucket. A group of any size is thus spread over as many tasks as it has
-    buckets. ``total`` optionally names a column with the group's row count.
+    All groups share one range sort, so a group of any size is spread over many tasks: a
+    rank is a position less the position where its group starts. Rows are computed once
+    and written twice, so ``df`` should hold few columns. ``total`` optionally names a
+    column with the group's row count.
     """
-    keys = [*by, bucket]
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = group.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(
-        *keys,
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"),
-        F.sum("__n").over(group).alias("__total"),
+    keys = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by]
+    present = [F.col(c).isNull() for c in by]
+    sorted_rows = positions(stage(df, "keys"), [*by, *order], "__position")
+    group = F.struct(F.lit(0), *keys, *present)  # null is a group of its own
+    first = sorted_rows.groupBy(group.alias("__group")).agg(
+        F.min("__position").alias("__first"), F.count(F.lit(1)).alias("__total")
+    )
+    ranked = sorted_rows.join(first, group == F.col("__group")).withColumn(
+        rank, F.col("__position") - F.col("__first") + 1
     )
-    inside = Window.partitionBy(*keys).orderBy(*order)
-    ranked = df.withColumn("__rn", F.row_number().over(inside)).join(counts, keys)
-    ranked = ranked.withColumn(rank, (F.col("__rn") + F.col("__offset")).cast("bigint"))
     if total:
         ranked = ranked.withColumn(total, F.col("__total"))
-    return ranked.drop("__rn", "__offset", "__total")
+    return ranked.drop("__position", "__group", "__first", "__total")
 
 
 def seeded_rank(
@@ -64,33 +89,18 @@ def seeded_rank(
     seed: int = SEED,
     rank: str = "rank",
     total: str | None = None,
-    prefix: int = 3,
 ) -> DataFrame:
-    """Rank in seeded order. The key is uniform, so its first hex digits cut every
-    group into equal buckets (16 ** prefix of them)."""
-    keyed = df.withColumn("__key", seeded_key(F.col(id_col), seed)).withColumn(
-        "__bucket", F.substring("__key", 1, prefix)
-    )
-    ranked = rank_in_buckets(keyed, "__bucket", ["__key", id_col], by, rank, total)
-    return ranked.drop("__key", "__bucket")
-
+    """Rank in seeded order."""
+    keyed = df.withColumn("__key", seeded_key(F.col(id_col), seed))
+    return ranks(keyed, ["__key", id_col], by, rank, total).drop("__key")
 
-def dense_ids(df: DataFrame, order: str, id_format: str, buckets: int = 256) -> DataFrame:
-    """Add ``row_id``: the row's 0-based position by a numeric, unique ``order``
-    column, printed with ``id_format`` (for example ``sp_%06d``).
 
-    Bucket bounds are approximate quantiles, so buckets stay even whatever the
-    values look like; the bounds affect only the balance, never the numbers.
-    """
-    cuts = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(df.approxQuantile(order, cuts, 0.25 / buckets)))
-    splits = [float("-inf"), *bounds, float("inf")]
-    keyed = df.withColumn("__position", F.col(order).cast("double"))
-    bucketizer = Bucketizer(splits=splits, inputCol="__position", outputCol="__bucket")
-    ranked = rank_in_buckets(bucketizer.transform(keyed), "__bucket", [order], rank="__rank")
-    return ranked.withColumn(
-        "row_id", F.format_string(id_format, F.col("__rank") - 1)
-    ).drop("__position", "__bucket", "__rank")
+def dense_ids(df: DataFrame, order: str, id_format: str) -> DataFrame:
+    """Add ``row_id``: the row's 0-based position by a unique ``order`` column, printed
+    with ``id_format`` (for example ``sp_%06d``)."""
+    return positions(stage(df, "keys"), [order], "__position").withColumn(
+        "row_id", F.format_string(id_format, F.col("__position"))
+    ).drop("__position")
 
 
 def top_per_group(

@@ -78,7 +78,7 @@ def stratified_split(
     df: DataFrame, label: str, id_col: str, test_share: float = 0.2, seed: int = SEED
 ) -> DataFrame:
     """Add ``split`` (train / test) with the same test share in every label. Ranks
-    are computed in buckets, so a dominant label is not one task's work."""
+    come from one range sort, so a dominant label is not one task's work."""
     ranked = seeded_rank(df, id_col, by=[label], seed=seed, rank="__r", total="__n")
     in_test = F.col("__r") <= F.round(F.col("__n") * F.lit(test_share))
     return ranked.withColumn(

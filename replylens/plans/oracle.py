@@ -19,6 +19,10 @@ def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def lines_of(texts) -> str:
+    return " || chr(10) || ".join(map(q, texts))
+
+
 def replace(x: str, pattern: str, to: str = "") -> str:
     return f"regexp_replace({x}, {q(pattern)}, {q(to)}, 'g')"
 
@@ -185,8 +189,8 @@ def decisions(src: str, low_evidence: float = 0.12, low_score: float = 0.15) ->
 ev_rows AS (SELECT customer_msg, max(similarity) AS top_similarity, count(*) AS n_evidence,
     max(CASE WHEN rank = 1 THEN support_reply END) AS best,
     string_agg(support_reply, ' ' ORDER BY rank) AS replies,
-    string_agg('- Problem: ' || evidence_msg || chr(10) || '  Reply: ' || support_reply, chr(10) ORDER BY rank) AS cases,
-    string_agg('- ' || support_reply, chr(10) ORDER BY rank) AS reply_list
+    string_agg('[' || rank || '] ' || evidence_msg || ' => ' || support_reply, chr(10) ORDER BY rank) AS cases,
+    string_agg('[' || rank || '] ' || support_reply, chr(10) ORDER BY rank) AS reply_list
   FROM hits GROUP BY customer_msg),
 dec0 AS (SELECT s.*, {intent('s.customer_msg')} AS intent, coalesce(top_similarity, 0) AS top_sim,
     coalesce(n_evidence, 0) AS n_evidence, coalesce(top_similarity, 0) >= {low_evidence} AS grounded,
@@ -369,11 +373,11 @@ def oracle_queries() -> dict[str, str]:
         ),
         "c22_prompts": with_(
             retrieval("ev") + "," + decisions("ev"),
-            f"SELECT pair_id, CASE WHEN grounded THEN {q(D.REPLY_INSTRUCTION)} || chr(10) || chr(10) || 'Customer: ' "
-            "|| customer_msg || chr(10) || chr(10) || 'Past cases:' || chr(10) || cases END AS reply_prompt, "
-            f"{q('Rate the reply from 1 to 5 on: ' + ', '.join(D.REVIEW_DIMENSIONS) + '. Give JSON.')} || chr(10) || chr(10) "
-            "|| 'Customer: ' || customer_msg || chr(10) || 'Reply: ' || coalesce(draft_reply, '') || chr(10) "
-            "|| 'Past replies:' || chr(10) || reply_list AS review_prompt FROM dec",
+            "SELECT pair_id, CASE WHEN grounded THEN 'PRECEDENTS' || chr(10) || cases || chr(10) || 'MESSAGE' || chr(10) "
+            f"|| customer_msg || chr(10) || 'RULES' || chr(10) || {lines_of(D.REPLY_RULES)} || chr(10) END AS reply_prompt, "
+            "'PRECEDENTS' || chr(10) || reply_list || chr(10) || 'MESSAGE' || chr(10) || customer_msg || chr(10) "
+            "|| 'REPLY' || chr(10) || coalesce(draft_reply, '') || chr(10) || 'SCORES 1-5' || chr(10) "
+            f"|| {lines_of(d + ': ?' for d in D.REVIEW_DIMENSIONS)} || chr(10) AS review_prompt FROM dec",
         ),
         "d1_pairs_from_transcripts": with_(
             TRANSCRIPTS,

@@ -149,5 +149,5 @@ def test_prompts(spark):
     df = scored(spark, 0.9).withColumn("r", F.lit("ok"))
     e, m = F.col("evidence"), F.col("customer_msg")
     [row] = df.select(D.reply_prompt(m, e), D.review_prompt(m, F.col("r"), e)).collect()
-    assert "the sound is off" in row[0] and "Try restarting" in row[0] and "Reply: ok" in row[1]
+    assert "the sound is off" in row[0] and "Try restarting" in row[0] and "REPLY\nok\n" in row[1]
     assert scored(spark, 0.01).select(D.reply_prompt(m, e)).first()[0] is None
