@@ -70,10 +70,10 @@ def decide(
 
 
 def with_evidence(
-    messages: DataFrame, index: RetrievalIndex, k: int = 3, **options: int
+    messages: DataFrame, index: RetrievalIndex, k: int = 3
 ) -> DataFrame:
     """Add ``evidence``; messages without any hit get an empty array."""
-    evidence = evidence_arrays(retrieve(messages, index, k, **options))
+    evidence = evidence_arrays(retrieve(messages, index, k))
     joined = messages.join(evidence, "customer_msg", "left")
     empty = F.array().cast(evidence.schema["evidence"].dataType)
     return joined.withColumn("evidence", F.coalesce("evidence", empty))

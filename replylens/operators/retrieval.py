@@ -1,44 +1,56 @@
-"""Top-k cosine retrieval over historical pairs, as an exact sparse join.
+"""Top-k cosine retrieval over historical pairs, as an exact sparse join with bounds.
 
-Identical corpus messages are scored once (with their number of copies in the
-document frequencies) and expanded at the end; identical queries likewise.
+Identical corpus messages are scored once (with their number of copies in the document
+frequencies) and expanded at the end; identical queries likewise.
 
-Terms with long posting lists ("hot") would join every query holding them with a
-large part of the corpus. They are handled in two steps that keep the result exact:
+The index is laid out by term. Messages that share their weightiest terms lie together in
+blocks of bounded size; for every (term, block) the largest weight is kept. A query
 
-1. Candidates come from the other (rare) terms only. A query's k-th best rare score
-   is a lower bound of its final k-th score. Vectors have length 1, so a message that
-   shares only hot terms with the query scores at most the length of the query's hot
-   part. If that is below the bound, only candidates can be in the top k, and their
-   hot parts are added by joining on (message, term).
-2. The remaining queries (few rare terms, or no close message) join the hot lists in
-   full, spread over salts so that no list is one task's work.
+1. gets a floor: the k-th best score that the heaviest postings of its terms (``heads``)
+   add up to. No message below the floor can be among the k best.
+2. takes its terms in falling order of what they can add at most. The terms from some place
+   on cannot reach the floor together, so a message worth looking at holds one of the
+   terms before: only these look up blocks, and only blocks whose largest weights can reach
+   the floor are opened.
+3. scores the messages of the open blocks exactly.
+
+Nothing is left out: a floor is a score that k messages reach, and every bound is the sum
+of largest weights. Queries with fewer than k candidates have no floor and open all blocks
+they share a term with. Terms in very many messages are spread over their blocks.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import stage, stage_root
-from .ranking import top_per_group
-from ..sources.tables import spread
+from ..session import side_by_side, stage, stage_root
+from .ranking import positions, top_per_group
 from .tfidf import Features, term_counts, vocabulary, weigh
 
 DIGITS = 6
-BROADCAST_TERMS = 500_000  # query terms, about 60 bytes each
-_TABLES = ("vocab", "vectors", "messages", "corpus")
+#: messages of a block, postings of a term among its heads, postings of a bucket of files
+BLOCK_MESSAGES, HEAD_POSTINGS, BUCKET_POSTINGS = 16, 32, 1_000_000
+SIGNATURE_TERMS = 4
+MIN_BUCKETS = 8
+#: tables that the term joins read, and the columns that place a row in a bucket
+_LAYOUT = {
+    "vectors": ("term", "block"), "tops": ("term",), "heads": ("term",), "vocab": ("term",),
+}
 
 
 @dataclass(frozen=True)
 class RetrievalIndex:
-    vocab: DataFrame  # term, df, postings, idf
-    vectors: DataFrame  # msg_id, term, weight
-    messages: DataFrame  # msg_id, customer_msg, copies
+    vocab: DataFrame  # term, df, postings, idf, peak (largest weight)
+    vectors: DataFrame  # term, block, msg_id, weight
+    tops: DataFrame  # term, block, peak
+    heads: DataFrame  # term, msg_id, weight
+    messages: DataFrame  # msg_id, customer_msg, copies, block
     corpus: DataFrame  # msg_id, pair_seq, pair_id, support_reply
     features: Features = Features()
 
@@ -53,117 +65,180 @@ def build_index(
     spark = corpus.sparkSession
     if path is None:
         path = f"{stage_root(spark)}/{uuid.uuid4().hex}/index"
-
-    def write(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
-
-    messages = write(
+    messages = stage(
         corpus.groupBy("customer_msg")
         .agg(F.min("pair_seq").alias("msg_id"), F.count(F.lit(1)).alias("copies"))
         .select("msg_id", "customer_msg", "copies"),
         "messages",
     )
-    write(
-        corpus.join(messages.select("msg_id", "customer_msg"), "customer_msg").select(
-            "msg_id", "pair_seq", "pair_id", "support_reply"
-        ),
-        "corpus",
+    pairs = corpus.join(messages.select("msg_id", "customer_msg"), "customer_msg").select(
+        "msg_id", "pair_seq", "pair_id", "support_reply"
     )
     counts = stage(term_counts(messages, features, "msg_id", "customer_msg"), "term_counts")
     n_docs = messages.agg(F.sum("copies").cast("double").alias("n")).scalar()
     weighted = counts.join(messages.select("msg_id", "copies"), "msg_id")
-    vocab = write(vocabulary(weighted, n_docs, features.min_df, F.col("copies")), "vocab")
-    write(weigh(counts, vocab, features.blocks, "msg_id"), "vectors")
+    vocab = stage(vocabulary(weighted, n_docs, features.min_df, F.col("copies")), "vocab")
+    carried = ("idf", "postings")
+    weights = stage(weigh(counts, vocab, features.blocks, "msg_id", carried), "weights")
+    buckets = max(MIN_BUCKETS, math.ceil(weights.count() / BUCKET_POSTINGS))  # from the footers
+
+    blocks = _blocks(weights)
+    vectors = weights.join(blocks, "msg_id").select("term", "block", "msg_id", "weight")
+    with_blocks = messages.join(blocks, "msg_id", "left")
+
+    def write(df: DataFrame, name: str) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+    side_by_side(
+        spark,
+        [
+            lambda: _write_bucketed(vectors, path, "vectors", buckets),
+            lambda: write(with_blocks, "messages"), lambda: write(pairs, "corpus"),
+            lambda: _write_facts(spark, path, {"buckets": buckets}),
+        ],
+    )
+    vectors = spark.table(_table_name(path, "vectors"))
+    tops = vectors.groupBy("term", "block").agg(F.max("weight").alias("peak"))
+    peaks = vectors.groupBy("term").agg(F.max("weight").alias("peak"))
+    heaviest = [F.col("weight").desc(), F.col("msg_id")]
+    heads = top_per_group(vectors.drop("block"), ["term"], heaviest, HEAD_POSTINGS).drop("rank")
+    side_by_side(
+        spark,
+        [
+            lambda: _write_bucketed(tops, path, "tops", buckets),
+            lambda: _write_bucketed(heads, path, "heads", buckets),
+            lambda: _write_bucketed(vocab.join(peaks, "term"), path, "vocab", buckets),
+        ],
+    )
     return load_index(spark, path, features)
 
 
+def _blocks(weights: DataFrame) -> DataFrame:
+    """(msg_id, block). Blocks are neighbours in the order of the terms that make messages
+    alike: heavy ones that are not rare. Equals follow each other by weight, so that a
+    block's largest weights are near those of all its messages."""
+    pull = F.col("weight") * F.col("idf") * F.sqrt("postings")
+    entry = F.struct((-pull).alias("pull"), "term", "weight")
+    pulls = F.slice(F.array_sort(F.collect_list(entry)), 1, SIGNATURE_TERMS)
+    signatures = weights.groupBy("msg_id").agg(pulls.alias("p")).select(
+        "msg_id", F.col("p.term").alias("signature"), F.col("p.weight")[0].alias("weight")
+    )
+    return positions(signatures, ["signature", "weight", "msg_id"]).select(
+        "msg_id", F.floor(F.col("position") / BLOCK_MESSAGES).cast("int").alias("block")
+    )
+
+
+def _write_facts(spark: SparkSession, path: str, facts: dict[str, int]) -> None:
+    spark.createDataFrame([(json.dumps(facts),)], "facts string").coalesce(1).write.mode(
+        "overwrite"
+    ).text(f"{path}/facts")
+
+
+def _table_name(path: str, name: str) -> str:
+    return f"replylens_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}_{name}"
+
+
+def _write_bucketed(df: DataFrame, path: str, name: str, buckets: int) -> DataFrame:
+    """Write one file per bucket, sorted by term, and return it as a table whose layout the
+    planner knows, so that joins on its keys read it in place."""
+    keys, spark = _LAYOUT[name], df.sparkSession
+    table = _table_name(path, name)
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    # the shuffle deals rows as the buckets do, so a task writes one file
+    df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(
+        *keys
+    ).option("path", f"{path}/{name}").format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
 def load_index(
     spark: SparkSession, path: str, features: Features = Features()
 ) -> RetrievalIndex:
-    return RetrievalIndex(
-        *[spark.read.parquet(f"{path}/{name}") for name in _TABLES], features
-    )
+    """An index written before, also by another session: its bucketed tables are declared
+    to the planner again."""
+    facts = json.loads(spark.read.text(f"{path}/facts").first()[0])
+    tables = {}
+    for name, keys in _LAYOUT.items():
+        table, columns = _table_name(path, name), ", ".join(keys)
+        if not spark.catalog.tableExists(table):
+            schema = spark.read.parquet(f"{path}/{name}").schema
+            fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+            spark.sql(
+                f"CREATE TABLE {table} ({fields}) USING parquet CLUSTERED BY ({columns}) "
+                f"SORTED BY ({columns}) INTO {facts['buckets']} BUCKETS LOCATION '{path}/{name}'"
+            )
+        tables[name] = spark.table(table)
+    for name in ("messages", "corpus"):
+        tables[name] = spark.read.parquet(f"{path}/{name}")
+    return RetrievalIndex(features=features, **tables)
 
 
 def query_vectors(
     texts: DataFrame, index: RetrievalIndex, id_col: str, text_col: str
 ) -> DataFrame:
-    """(id, term, wq, postings) of query texts under the index vocabulary."""
+    """(id, term, wq, peak) of query texts under the index vocabulary."""
     counts = term_counts(texts, index.features, id_col, text_col)
     return weigh(
-        counts, index.vocab, index.features.blocks, id_col, carry=("postings",)
+        counts, index.vocab, index.features.blocks, id_col, carry=("peak",)
     ).withColumnRenamed("weight", "wq")
 
 
-def pair_scores(
-    terms: DataFrame, index: RetrievalIndex, k: int, hot_postings: int | None = None,
-    broadcast_terms: int = BROADCAST_TERMS, salts: int = 32,
-) -> DataFrame:
-    """(text_id, msg_id, score) of all messages that can be in a query's top k.
+#: scores are compared after rounding
+_MARGIN = 2 * 10.0**-DIGITS
 
-    ``terms`` has text_id, term, wq, postings; it is staged, so its size is known.
+
+def open_blocks(terms: DataFrame, index: RetrievalIndex, k: int) -> DataFrame:
+    """(text_id, block, term, wq): the blocks that can hold one of a query's k best
+    messages, with the query's terms that occur there.
+
+    ``terms`` has text_id, term, wq, peak.
     """
-    if hot_postings is None:
-        hot_postings = max(500, int(10 * math.sqrt(index.messages.count())))
-    small = terms.limit(broadcast_terms + 1).count() <= broadcast_terms
-    # the stored vectors lie together by message, so products add up before any shuffle
-    vectors = spread(index.vectors) if small else index.vectors
-    hot = F.col("postings") > hot_postings
-    if not index.vocab.where(hot).take(1):
-        return _sum(_products(terms, vectors, small))
-
-    rare = stage(_sum(_products(terms.where(~hot), vectors, small)), "rare_scores")
-    kth = (
-        top_per_group(rare, ["text_id"], [F.col("score").desc(), F.col("msg_id")], k)
-        .groupBy("text_id")
-        .agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("bound"))
-    )
-    reach = F.sqrt(F.sum(F.when(hot, F.col("wq") * F.col("wq")).otherwise(0.0)))
-    bound = F.coalesce("bound", F.lit(0.0))
-    margin = 10.0**-DIGITS  # scores are compared after rounding
-    bounds = stage(
-        terms.groupBy("text_id").agg(reach.alias("reach")).join(kth, "text_id", "left").select(
-            "text_id", "reach", bound.alias("bound"),
-            ((F.col("reach") == 0.0) | (F.col("reach") < bound - 2 * margin)).alias("settled"),
-        ),
-        "bounds",
-    )
-    settled = bounds.where("settled").select("text_id", "reach", "bound")
-    candidates = (
-        rare.join(settled, "text_id")
-        .where(F.col("score") + F.col("reach") >= F.col("bound") - 2 * margin)
-        .select("text_id", "msg_id", "score")
-    )
-    hot_terms = terms.where(hot).select("text_id", "term", "wq")
-    hot_vectors = index.vectors.join(index.vocab.where(hot).select("term"), "term", "left_semi")
-    completed = (
-        candidates.join(hot_terms, "text_id")
-        .join(hot_vectors, ["msg_id", "term"])
-        .select("text_id", "msg_id", (F.col("wq") * F.col("weight")).alias("score"))
-    )
-    open_queries = bounds.where(~F.col("settled")).select("text_id")
-    open_rare = rare.join(open_queries, "text_id", "left_semi")
-    open_terms = hot_terms.join(open_queries, "text_id", "left_semi")
-    if small:
-        open_hot = _products(open_terms, hot_vectors, True)
-    else:
-        each = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-        salted = hot_vectors.withColumn(
-            "salt", F.pmod(F.xxhash64("msg_id"), F.lit(salts)).cast("int")
-        )
-        open_hot = _products(open_terms.select("*", each), salted, False, ["term", "salt"])
-    return _sum(
-        candidates.unionByName(completed).unionByName(open_rare).unionByName(open_hot)
+    # A text's few terms become many messages, so texts are dealt once to a fixed number of
+    # partitions; all that follows is done per text and stays there.
+    parts = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    terms = terms.repartition(parts, "text_id")
+    head = terms.join(index.heads, "term").select(
+        "text_id", "msg_id", (F.col("wq") * F.col("weight")).alias("score")
+    )
+    best = top_per_group(_sum(head), ["text_id"], [F.col("score").desc(), F.col("msg_id")], k)
+    floors = best.groupBy("text_id").agg(
+        F.when(F.count(F.lit(1)) == k, F.min("score") - _MARGIN).otherwise(0.0).alias("floor")
+    )
+    most = F.col("wq") * F.col("peak")
+    falling = Window.partitionBy("text_id").orderBy(most.desc(), "term")
+    onwards = falling.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    whole = Window.partitionBy("text_id")
+    spare = F.max(F.when(~F.col("reaches"), F.col("rest"))).over(whole)
+    needed = (
+        terms.withColumn("rest", F.sum(most).over(onwards))
+        .join(floors, "text_id")  # every term has a head, so every text has a floor
+        .withColumn("reaches", F.col("rest") >= F.col("floor"))
+        .withColumn("spare", F.coalesce(spare, F.lit(0.0)))
+        .where("reaches")
+        .select("text_id", "term", "wq", "floor", "spare")
+    )
+    opened = (
+        needed.join(index.tops, "term")
+        .groupBy("text_id", "block", "floor", "spare")
+        .agg(F.sum(most).alias("most"))
+        .where(F.col("most") + F.col("spare") >= F.col("floor"))
+        .select("text_id", "block", "floor")
+    )
+    in_block = Window.partitionBy("text_id", "block")
+    return (
+        opened.join(terms.select("text_id", "term", "wq"), "text_id")
+        .join(index.tops, ["term", "block"])
+        .withColumn("most", F.sum(most).over(in_block))
+        .where(F.col("most") >= F.col("floor"))
+        .select("text_id", "block", "term", "wq")
     )
 
 
-def _products(
-    terms: DataFrame, vectors: DataFrame, small: bool, keys: list[str] | None = None
-) -> DataFrame:
-    terms = terms.drop("postings")
-    return vectors.join(F.broadcast(terms) if small else terms, keys or ["term"]).select(
-        "text_id", "msg_id", (F.col("wq") * F.col("weight")).alias("score")
+def pair_scores(terms: DataFrame, index: RetrievalIndex, k: int) -> DataFrame:
+    """(text_id, msg_id, score) of all messages that can be in a query's top k."""
+    opened = open_blocks(terms, index, k).join(index.vectors, ["term", "block"])
+    return _sum(
+        opened.select("text_id", "msg_id", (F.col("wq") * F.col("weight")).alias("score"))
     )
 
 
@@ -172,11 +247,11 @@ def _sum(products: DataFrame) -> DataFrame:
 
 
 def best_messages(
-    texts: DataFrame, index: RetrievalIndex, k: int = 3, **options: int
+    texts: DataFrame, index: RetrievalIndex, k: int = 3
 ) -> DataFrame:
     """(text_id, msg_id, similarity) of the k best distinct corpus messages."""
     terms = stage(query_vectors(texts, index, "text_id", "customer_msg"), "query_terms")
-    scores = pair_scores(terms, index, k, **options).select(
+    scores = pair_scores(terms, index, k).select(
         "text_id", "msg_id", F.round("score", DIGITS).alias("similarity")
     )
     order = [F.col("similarity").desc(), F.col("msg_id")]
@@ -184,7 +259,7 @@ def best_messages(
 
 
 def retrieve(
-    queries: DataFrame, index: RetrievalIndex, k: int = 3, **options: int
+    queries: DataFrame, index: RetrievalIndex, k: int = 3
 ) -> DataFrame:
     """k most similar historical pairs of every distinct query text.
 
@@ -193,7 +268,7 @@ def retrieve(
     Only positive similarities count, so a query may have fewer than k rows.
     """
     texts = queries.groupBy("customer_msg").agg(F.md5("customer_msg").alias("text_id"))
-    hits = stage(best_messages(texts, index, k, **options), "hits")
+    hits = stage(best_messages(texts, index, k), "hits")
     found = index.corpus.join(hits.select("msg_id").distinct(), "msg_id", "left_semi")
     # any pair in the final top k is among the first k pairs of one of the k messages
     copies = top_per_group(found, ["msg_id"], [F.col("pair_seq")], k, "copy").drop("copy")

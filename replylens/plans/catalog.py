@@ -111,8 +111,24 @@ def _(spark, sf):
 def _(spark, sf):
     path = _new_path(spark, "index")
     RT.build_index(build_pools(spark, sf).retrieval, path=path)
-    return RT.load_index(spark, path).vocab.select(
-        "term", F.col("df").cast("bigint").alias("df"), F.round("idf", 6).alias("idf")
+    index = RT.load_index(spark, path)
+    w = F.col("weight")
+    head = index.heads.select("term", "msg_id", F.col("weight").alias("head_weight"))
+    top = index.tops.select("term", "block", F.col("peak").alias("block_peak"))
+    bounded = (
+        (w <= F.col("block_peak")) & (F.col("block_peak") <= F.col("peak"))
+        & F.coalesce(F.col("head_weight") == w, F.lit(True))
+    )
+    return (
+        index.vectors.join(top, ["term", "block"]).join(index.vocab, "term")
+        .join(head, ["term", "msg_id"], "left")
+        .join(index.messages.drop("block"), "msg_id").join(index.corpus, "msg_id")
+        .select(
+            "pair_id", "customer_msg", "support_reply", "term",
+            F.col("df").cast("bigint").alias("df"), F.round("idf", 6).alias("idf"),
+            F.round("weight", 6).alias("weight"), F.round("peak", 6).alias("peak"),
+            bounded.alias("bounded"),
+        )
     )
 
 

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ from ..operators import models as ML
 from ..operators import splits as S
 from ..operators.models import Learner
 from ..operators.tfidf import Features
-from ..session import stage
+from ..session import side_by_side, stage
 
 # The compared settings.
 FRACTIONS = (0.10, 0.25, 0.50, 0.75, 1.0)
@@ -103,14 +101,6 @@ def evaluate(tables: FeatureTables, learner: Learner, table: DataFrame | None =
     return _scores(ML.score_table(model, tables.held_out if table is None else table))
 
 
-def side_by_side(spark: SparkSession, tasks: list[Callable[[], object]], parallelism: int = 6) -> list:
-    """Run independent fits from several threads, so that their many short jobs share
-    the cluster; results come back in order."""
-    wrap = inheritable_thread_target(spark)
-    with ThreadPool(min(parallelism, len(tasks))) as pool:
-        return pool.map(lambda task: task(), [wrap(task) for task in tasks])
-
-
 RESULT = "step int, grp string, config string, n bigint, accuracy double, macro_f1 double, weighted_f1 double"
 
 

@@ -300,7 +300,12 @@ def oracle_queries() -> dict[str, str]:
             "round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END, 4) AS escalation_f1, "
             "label, round(f1, 4) AS f1 FROM sys s JOIN report USING (system)",
         ),
-        "a6_index_round_trip": with_(retrieval("ev"), "SELECT term, df, round(idf, 6) AS idf FROM c_vocab"),
+        "a6_index_round_trip": with_(
+            retrieval("ev"),
+            "SELECT pair_id, customer_msg, support_reply, term, df, round(idf, 6) AS idf, round(weight, 6) AS weight, "
+            "round(max(weight) OVER (PARTITION BY term), 6) AS peak, true AS bounded "
+            "FROM c_w JOIN c_vocab USING (term) JOIN ret USING (pair_seq)",
+        ),
         "b1_brand_filter": with_(
             TRANSCRIPTS,
             "SELECT conversation_id, company, length(conversation) AS n_chars FROM tr WHERE company = 'brand_1'",

@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
@@ -58,6 +63,22 @@ def stage_root(spark: SparkSession) -> str:
     return warehouse + "/_stages"
 
 
+#: folder and number of the next stage table, inside ``reused_stages``
+_reused: ContextVar[list | None] = ContextVar("reused_stages", default=None)
+
+
+@contextmanager
+def reused_stages(spark: SparkSession, name: str) -> Iterator[None]:
+    """Within this block, stage tables go to one folder of that name, numbered in order,
+    and replace those of the block before: work that is repeated for ever leaves no more
+    files than one round of it. Results must be stored before the block ends."""
+    token = _reused.set([f"{stage_root(spark)}/{name}", 0])
+    try:
+        yield
+    finally:
+        _reused.reset(token)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a parquet table and return the table.
 
@@ -65,6 +86,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     lost executors, keeps column pruning, and gives the planner true sizes.
     """
     spark = df.sparkSession
-    path = f"{stage_root(spark)}/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    slot = _reused.get()
+    if slot is None:
+        path = f"{stage_root(spark)}/{uuid.uuid4().hex}/{name}"
+    else:
+        path = f"{slot[0]}/{slot[1]:03d}_{name}"
+        slot[1] += 1
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def side_by_side(
+    spark: SparkSession, tasks: list[Callable[[], object]], parallelism: int = 6
+) -> list:
+    """Run independent jobs from several threads, so that short ones share the cluster;
+    results come back in order."""
+    wrap = inheritable_thread_target(spark)
+    with ThreadPool(min(parallelism, len(tasks))) as pool:
+        return pool.map(lambda task: task(), [wrap(task) for task in tasks])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..session import reused_stages
+
 
 def score_stream(
     messages: DataFrame,
@@ -23,11 +26,14 @@ def score_stream(
     takes what ``DataStreamWriter.trigger`` takes, such as ``{"processingTime": "10
     seconds"}`` for a service that keeps running; by default the stream takes what there
     is and stops. The rate of input is set on the reader (``maxFilesPerTrigger``).
-    Started again with the same ``checkpoint``, it goes on where it stopped.
+    Started again with the same ``checkpoint``, it goes on where it stopped. The stage
+    tables of a batch replace those of the batch before.
     """
+    name = f"stream_{uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        score(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        with reused_stages(batch.sparkSession, name):
+            score(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return (
         messages.writeStream.foreachBatch(write)

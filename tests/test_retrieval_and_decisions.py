@@ -77,16 +77,19 @@ def expected(pools, corpus):
     return brute_force(texts, rows, 3)
 
 
-@pytest.mark.parametrize(
-    "options",
-    [
-        {}, {"hot_postings": 3}, {"hot_postings": 30},
-        {"hot_postings": 10, "broadcast_terms": 0}, {"broadcast_terms": 0},
-        {"hot_postings": 0},
-    ],
-)
-def test_retrieval_is_exact(spark, pools, index, expected, options):
-    rows = RT.retrieve(pools.pooled.select("customer_msg"), index, 3, **options).collect()
+@pytest.mark.parametrize("blocks, heads", [(16, 32), (1, 1), (3, 2), (10_000, 4)])
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_retrieval_is_exact(spark, pools, corpus, expected, monkeypatch, blocks, heads, broadcast):
+    monkeypatch.setattr(RT, "BLOCK_MESSAGES", blocks)
+    monkeypatch.setattr(RT, "HEAD_POSTINGS", heads)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if not broadcast:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index = RT.build_index(corpus)
+        rows = RT.retrieve(pools.pooled.select("customer_msg"), index, 3).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     got = {}
     for r in sorted(rows, key=lambda r: r["rank"]):
         got.setdefault(r.customer_msg, []).append((r.pair_seq, r.similarity))
@@ -97,6 +100,36 @@ def test_retrieval_is_exact(spark, pools, index, expected, options):
         assert [v for _, v in got[q]] == pytest.approx([v for _, v in hits], abs=2e-6)
 
 
+def test_candidates_are_few(spark, pools, index):
+    texts = pools.pooled.groupBy("customer_msg").agg(F.md5("customer_msg").alias("text_id"))
+    terms = stage(RT.query_vectors(texts, index, "text_id", "customer_msg"), "terms")
+    per_text = RT.pair_scores(terms, index, 3).groupBy("text_id").count()
+    assert per_text.agg(F.avg("count")).first()[0] < index.messages.count() / 3
+
+
+def test_term_join_reads_the_index_in_place(spark, pools, index):
+    """No shuffle between the stored postings and the join by term."""
+    texts = pools.pooled.groupBy("customer_msg").agg(F.md5("customer_msg").alias("text_id"))
+    terms = stage(RT.query_vectors(texts, index, "text_id", "customer_msg"), "terms")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scores = RT.pair_scores(terms, index, 3)
+        plan = scores._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    scans = [i for i, line in enumerate(plan) if "FileScan" in line and "_vectors" in line]
+    assert scans and "Bucketed: true" in plan[scans[0]]
+    for i in scans:  # the operators above the scan, up to the join
+        depth, above = plan[i].index("- "), []
+        while not above or "Join" not in above[-1]:
+            i -= 1
+            if plan[i].index("- ") < depth:
+                depth = plan[i].index("- ")
+                above.append(plan[i])
+        assert not any("Exchange" in line for line in above)
+
+
 def test_index_round_trip_and_self_match(spark, pools, corpus, tmp_path):
     RT.build_index(corpus, path=str(tmp_path / "index"))
     index = RT.load_index(spark, str(tmp_path / "index"), Features())
