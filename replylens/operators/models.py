@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.ml.base import Model
 from pyspark.ml.classification import (
-    LinearSVC, LogisticRegression, NaiveBayes, NaiveBayesModel, OneVsRest, OneVsRestModel,
+    LinearSVC, LogisticRegression, NaiveBayes, NaiveBayesModel, OneVsRestModel,
     LogisticRegressionModel,
 )
 from pyspark.ml.functions import vector_to_array
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import rules as R
-from ..session import stage, stage_root
+from ..session import side_by_side, stage, stage_root
 from .ranking import positions
 from .tfidf import Features, term_counts, vocabulary, weigh
 
@@ -93,6 +94,11 @@ def vectorise(docs: DataFrame, fitted: FittedFeatures) -> DataFrame:
     weights = weigh(
         counts, fitted.vocab, fitted.features.blocks, "doc_id", carry=("index",)
     )
+    return vector_table(docs, weights, fitted.size)
+
+
+def vector_table(docs: DataFrame, weights: DataFrame, size: int) -> DataFrame:
+    """``docs`` plus ``features`` from (doc_id, index, weight) rows, staged."""
     entries = F.array_sort(F.collect_list(F.struct("index", "weight")))
     rows = weights.groupBy("doc_id").agg(entries.alias("entries"))
     none = F.array().cast(rows.schema["entries"].dataType)
@@ -100,11 +106,11 @@ def vectorise(docs: DataFrame, fitted: FittedFeatures) -> DataFrame:
         "entries", F.coalesce("entries", none)
     )
     struct = F.struct(
-        F.lit(0).cast("tinyint").alias("type"), F.lit(fitted.size).alias("size"),
+        F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
         F.col("entries.index").alias("indices"), F.col("entries.weight").alias("values"),
     )
     table = joined.select(*docs.columns, struct.alias("features"))
-    path = f"{stage_root(docs.sparkSession)}/{_new_name()}/features"
+    path = f"{stage_root(docs.sparkSession)}/{uuid.uuid4().hex}/features"
     table.write.parquet(path)
     as_vector = T.StructType(
         [f for f in table.schema if f.name != "features"]
@@ -113,12 +119,6 @@ def vectorise(docs: DataFrame, fitted: FittedFeatures) -> DataFrame:
     return docs.sparkSession.read.schema(as_vector).parquet(path)
 
 
-def _new_name() -> str:
-    import uuid
-
-    return uuid.uuid4().hex
-
-
 def balanced_weights(docs: DataFrame, label: str = "label") -> DataFrame:
     """(label, n, class_weight) with weight = rows / (classes * rows of the class)."""
     counts = docs.groupBy(label).agg(F.sum("copies").alias("n"))
@@ -138,7 +138,7 @@ def fit_classifier(table: DataFrame, fitted: FittedFeatures, learner: Learner) -
     total = sum(r["n"] for r in rows.values())
     index = F.array_position(F.lit(list(labels)), F.col("label")) - 1
     weight: Column = F.col("copies").cast("double")
-    if learner.balanced and learner.kind != "nb":
+    if learner.balanced and learner.kind == "lr":
         table = table.join(weights.select("label", "class_weight"), "label")
         weight = weight * F.col("class_weight")
     # solvers run one short job per step, so partitions should hold real work
@@ -154,13 +154,7 @@ def fit_classifier(table: DataFrame, fitted: FittedFeatures, learner: Learner) -
     )
     shift: tuple[float, ...] = ()
     if learner.kind == "svc":
-        base = LinearSVC(
-            **common, standardization=False, regParam=penalty,
-            maxIter=max_iter, tol=learner.tol,
-        )
-        model: Model = OneVsRest(
-            classifier=base, **common, parallelism=max(1, min(8, len(labels)))
-        ).fit(data)
+        model: Model = _one_vs_rest(data, [r["n"] for r in rows.values()], learner, max_iter)
     elif learner.kind == "lr":
         model = LogisticRegression(
             **common, family="multinomial", elasticNetParam=0.0, standardization=False,
@@ -180,6 +174,37 @@ def fit_classifier(table: DataFrame, fitted: FittedFeatures, learner: Learner) -
     return IntentModel(fitted, labels, model, shift)
 
 
+def _one_vs_rest(
+    data: DataFrame, sizes: list[int], learner: Learner, max_iter: int
+) -> OneVsRestModel:
+    """One binary fit per class. A balanced class weight raises the class's own rows in its
+    own fit; as a row of the rest, a message counts once, whatever its class."""
+    total = sum(sizes)
+
+    def fit(k: int) -> Model:
+        raised = total / (len(sizes) * sizes[k]) if learner.balanced else 1.0
+        mine = F.col("label") == k
+        binary = data.select(
+            mine.cast("double").alias("label"),
+            (F.col("weight") * F.when(mine, raised).otherwise(1.0)).alias("weight"), "features",
+        )
+        # the solver divides by the sum of the weights
+        weight_sum = total - sizes[k] + raised * sizes[k]
+        return LinearSVC(
+            featuresCol="features", labelCol="label", weightCol="weight", standardization=False,
+            regParam=1.0 / (learner.c * weight_sum), maxIter=max_iter, tol=learner.tol,
+        ).fit(binary)
+
+    data = data.cache()
+    try:
+        models = side_by_side(
+            data.sparkSession, [lambda k=k: fit(k) for k in range(len(sizes))], 8
+        )
+    finally:
+        data.unpersist()
+    return OneVsRestModel(models=models).setFeaturesCol("features")
+
+
 def solver_steps(model: Model) -> int:
     """Steps of a linear model just fitted; the most of any class for one-vs-rest."""
     if isinstance(model, OneVsRestModel):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..operators import grams as G
 from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators import splits as S
@@ -79,12 +80,49 @@ class FeatureTables:
     held_out: DataFrame
 
 
+def universe_grams(
+    universe: Universe, settings: Iterable[Features], shares: Iterable[float] = (1.0,)
+) -> G.GramTable:
+    """One gram table of all messages of a universe, for all settings compared on it.
+
+    The training rows may carry ``prefix_share``; every share is a training set of its
+    own. Held-out messages are in no training set.
+    """
+    shares = list(shares)
+    marked = "prefix_share" in universe.train.columns
+
+    def copies(of: DataFrame, inside) -> DataFrame:
+        sums = [F.sum(F.when(inside(s), 1).otherwise(0)).cast("bigint") for s in shares]
+        return of.groupBy("customer_msg", F.col("intent_label").alias("label")).agg(
+            F.array(*sums).alias("copies"), F.count(F.lit(1)).alias("rows")
+        )
+
+    train = copies(
+        universe.train, lambda s: F.col("prefix_share") <= s if marked else F.lit(True)
+    ).withColumn("side", F.lit("train"))
+    held_out = copies(universe.held_out, lambda s: F.lit(False)).withColumn("side", F.lit("held_out"))
+    name = F.md5(F.concat_ws("\n", "side", "label", "customer_msg"))
+    docs = stage(train.unionByName(held_out).withColumn("doc_id", name), "docs")
+    return G.gram_table(docs, G.widest(settings))
+
+
+def gram_features(grams: G.GramTable, features: Features, training_set: int = 0) -> FeatureTables:
+    """Vectors of one setting and training set, selected from the shared grams."""
+    fitted = G.fit_grams(grams, features, training_set)
+    table = G.vectors(grams, fitted)
+    mine = F.get("copies", F.lit(training_set))
+    keep = ["doc_id", "customer_msg", "label", "features"]
+    train = table.where((F.col("side") == "train") & (mine > 0))
+    held_out = table.where("side = 'held_out'")
+    return FeatureTables(
+        fitted, train.select(*keep, mine.alias("copies")),
+        held_out.select(*keep, F.col("rows").alias("copies")),
+    )
+
+
 def feature_tables(universe: Universe, features: Features) -> FeatureTables:
     """Features fitted and staged once, shared by all learners compared on them."""
-    train = stage(ML.distinct_messages(universe.train, "intent_label"), "train_docs")
-    held_out = stage(ML.distinct_messages(universe.held_out, "intent_label"), "held_out_docs")
-    fitted = ML.fit_features(train, features)
-    return FeatureTables(fitted, ML.vectorise(train, fitted), ML.vectorise(held_out, fitted))
+    return gram_features(universe_grams(universe, [features]), features)
 
 
 def _scores(scored: DataFrame) -> tuple:
@@ -122,11 +160,12 @@ def grid(
     feature_grid: tuple[tuple[str, Features], ...] = FEATURE_GRID,
     penalties: tuple[float, ...] = LR_PENALTIES,
 ) -> DataFrame:
-    """Sequential comparison: features, then LR settings, then other learners."""
-
+    """Sequential comparison: features, then LR settings, then other learners. All
+    feature settings are selections of one gram table."""
+    grams = universe_grams(universe, [f for _name, f in feature_grid])
 
     def try_features(features: Features) -> tuple[FeatureTables, tuple]:
-        tables = feature_tables(universe, features)
+        tables = gram_features(grams, features)
         return tables, evaluate(tables, BASE_LEARNER)
 
     tried = side_by_side(spark, [lambda f=f: try_features(f) for _name, f in feature_grid])
@@ -162,43 +201,54 @@ def svc_sweep(
     return _results(spark, _try_learners(spark, tables, learners, "svc", 0))
 
 
-def word_or_char(spark: SparkSession, universe: Universe) -> DataFrame:
+def word_or_char(
+    spark: SparkSession, universe: Universe, learner: Learner = BASE_LEARNER
+) -> DataFrame:
     configs = [("word", WORD), ("word+char", WORD_CHAR)]
+    grams = universe_grams(universe, [f for _n, f in configs])
     scores = side_by_side(
-        spark,
-        [lambda f=f: evaluate(feature_tables(universe, f), BASE_LEARNER) for _n, f in configs],
+        spark, [lambda f=f: evaluate(gram_features(grams, f), learner) for _n, f in configs]
     )
     return _results(
         spark, [(i, "features", n, *row) for i, ((n, _f), row) in enumerate(zip(configs, scores))]
     )
 
 
+def prefix_grams(
+    universe: Universe, features: Features = WORD_CHAR, fractions: tuple[float, ...] = FRACTIONS
+) -> G.GramTable:
+    """Grams of a universe with the document frequencies of every nested prefix of its
+    training rows, all counted in one pass over the texts."""
+    marked = stage(S.with_prefix_share(universe.train, "row_key", fractions), "prefixes")
+    return universe_grams(Universe(marked, universe.held_out), [features], sorted(fractions))
+
+
 def learning_curve(
     spark: SparkSession, universe: Universe, fractions: tuple[float, ...] = FRACTIONS,
-    features: Features = WORD_CHAR,
+    features: Features = WORD_CHAR, learner: Learner = BASE_LEARNER,
 ) -> DataFrame:
     """Fit on nested prefixes of the seeded order: the usual result columns and
-    ``n_train``, the rows trained on. Vocabulary and document frequencies are fitted anew
-    on every prefix."""
-    marked = stage(S.with_prefix_share(universe.train, "row_key", fractions), "prefixes")
+    ``n_train``, the rows trained on. Every prefix has its own vocabulary and document
+    frequencies."""
     shares = sorted(fractions)
+    grams = prefix_grams(universe, features, fractions)
 
-    def fit_on(share: float) -> tuple:
-        part = Universe(marked.where(F.col("prefix_share") <= share), universe.held_out)
-        tables = feature_tables(part, features)
+    def fit_on(i: int) -> tuple:
+        tables = gram_features(grams, features, i)
         n_train = tables.train.agg(F.sum("copies")).first()[0] or 0
-        return (*evaluate(tables, BASE_LEARNER), int(n_train))
+        return (*evaluate(tables, learner), int(n_train))
 
-    scores = side_by_side(spark, [lambda s=s: fit_on(s) for s in shares])
+    scores = side_by_side(spark, [lambda i=i: fit_on(i) for i in range(len(shares))])
     rows = [(i, "fraction", f"{s:.2f}", *row) for i, (s, row) in enumerate(zip(shares, scores))]
     return spark.createDataFrame(rows, RESULT + ", n_train bigint")
 
 
 def gap_report(
-    spark: SparkSession, universe: Universe, golden: DataFrame, features: Features = WORD_CHAR
+    spark: SparkSession, universe: Universe, golden: DataFrame, features: Features = WORD_CHAR,
+    learner: Learner = BASE_LEARNER,
 ) -> DataFrame:
     """Metrics of one fit on its training rows, the held-out slice and the golden set."""
-    return M.summary(gap_counts(universe, golden, features), ("split",))
+    return M.summary(gap_counts(universe, golden, features, learner), ("split",))
 
 
 def gap_details(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -206,7 +256,10 @@ def gap_details(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return M.class_report(counts, ("split",)), M.confusion_matrix(counts, ("split",))
 
 
-def gap_counts(universe: Universe, golden: DataFrame, features: Features = WORD_CHAR) -> DataFrame:
+def gap_counts(
+    universe: Universe, golden: DataFrame, features: Features = WORD_CHAR,
+    learner: Learner = BASE_LEARNER,
+) -> DataFrame:
     """Staged label counts by split of one fit."""
     tables = feature_tables(universe, features)
     gold = stage(ML.distinct_messages(golden, "intent_label"), "gold_docs")
@@ -214,7 +267,7 @@ def gap_counts(universe: Universe, golden: DataFrame, features: Features = WORD_
         ("train", tables.train), ("dev", tables.held_out),
         ("golden", ML.vectorise(gold, tables.fitted)),
     ]
-    model = ML.fit_classifier(tables.train, tables.fitted, BASE_LEARNER)
+    model = ML.fit_classifier(tables.train, tables.fitted, learner)
     scored = None
     for name, table in sets:
         part = ML.score_table(model, table).select(
@@ -228,12 +281,15 @@ def override_report(
     spark: SparkSession, universe: Universe, learner: Learner = BASE_LEARNER,
     thresholds: tuple[float, ...] = OVERRIDE_THRESHOLDS,
 ) -> DataFrame:
-    """Macro-F1 per override threshold, all thresholds in one pass over the scores;
-    threshold 0 stands for the plain prediction."""
+    """Macro-F1 per override threshold, all thresholds in one pass over the scores, and
+    whether it is the one to use (``chosen``). Threshold 0 stands for the plain
+    prediction, which stays unless a threshold is strictly better."""
     tables = feature_tables(universe, WORD)
     model = ML.fit_classifier(tables.train, tables.fitted, learner)
     scored = ML.score_table(model, tables.held_out)
-    return override_metrics(scored, model.labels, thresholds)
+    report = stage(override_metrics(scored, model.labels, thresholds), "override")
+    best = best_override(report)
+    return report.withColumn("chosen", F.col("threshold") == F.lit(0.0 if best is None else best))
 
 
 def best_override(report: DataFrame) -> float | None:

@@ -264,23 +264,123 @@ def escalation_columns(digits: int | None = None) -> str:
   CAST(fp AS BIGINT) AS false_escalation_count, {r('fp / greatest(fp + tn, 1)')} AS false_escalation_rate"""
 
 
+def naive_bayes(p: str, train: str, test: str, chars: bool = False) -> str:
+    """CTEs ending in <p>best (customer_msg, copies, true_label, pred, p, pred_o, p_o): a
+    multinomial fit on ``train`` (pair_seq, customer_msg, label), applied to the distinct
+    messages of ``test`` (customer_msg, label)."""
+
+    def occurrences(src: str, key: str) -> str:
+        if not chars:
+            return terms(src, key, "customer_msg")
+        words = terms(src, key, "customer_msg", prefix="w:")
+        return words + " UNION ALL " + char_terms(src, key, "customer_msg", 3, 5, "c:")
+
+    block = "substring(term, 1, 2)" if chars else "1"
+    return f"""
+{tfidf(p + 'm', occurrences(train, 'pair_seq'), 'pair_seq', f'(SELECT count(*) FROM {train})', 2, block)},
+{p}prior AS (SELECT label, ln(count(*) / (SELECT count(*) FROM {train})) AS lp FROM {train} GROUP BY label),
+{p}ct AS (SELECT label, term, sum(weight) AS s FROM {p}m_w JOIN {train} USING (pair_seq) GROUP BY label, term),
+{p}tot AS (SELECT label, coalesce(sum(s), 0) + (SELECT count(*) FROM {p}m_vocab) AS z
+  FROM {p}prior LEFT JOIN {p}ct USING (label) GROUP BY label),
+{p}dm AS (SELECT customer_msg, count(*) AS copies, min(label) AS label FROM {test} GROUP BY customer_msg),
+{p}d_tf AS (SELECT customer_msg, term, count(*) AS tf FROM ({occurrences(p + 'dm', 'customer_msg')}) GROUP BY 1, 2),
+{weights(p + 'd_w', p + 'd_tf', p + 'm_vocab', 'customer_msg', block)},
+{p}lin AS (SELECT d.customer_msg, p.label, sum(d.weight * (ln(coalesce(ct.s, 0) + 1) - ln(z))) AS dot
+  FROM {p}d_w d CROSS JOIN {p}prior p JOIN {p}tot USING (label)
+  LEFT JOIN {p}ct ct ON ct.label = p.label AND ct.term = d.term GROUP BY 1, 2),
+{p}scored AS (SELECT dm.customer_msg, dm.copies, dm.label AS true_label, p.label AS pred, lp + coalesce(dot, 0) AS score
+  FROM {p}dm dm CROSS JOIN {p}prior p LEFT JOIN {p}lin lin ON lin.customer_msg = dm.customer_msg AND lin.label = p.label),
+{p}prob AS (SELECT *, exp(score - max(score) OVER m) / sum(exp(score - mx)) OVER m AS p
+  FROM (SELECT *, max(score) OVER (PARTITION BY customer_msg) AS mx FROM {p}scored) WINDOW m AS (PARTITION BY customer_msg)),
+{p}best AS (SELECT customer_msg, copies, true_label, arg_max(pred, p) AS pred, max(p) AS p,
+  arg_max(pred, p) FILTER (pred <> 'other') AS pred_o, max(p) FILTER (pred <> 'other') AS p_o FROM {p}prob GROUP BY ALL)"""
+
+
 NAIVE_BAYES = f"""{PAIRS},
 tp AS (SELECT pair_seq, customer_msg, {intent()} AS label FROM pooled WHERE pool <> 'eval'),
-{tfidf('m', terms('tp', 'pair_seq', 'customer_msg'), 'pair_seq', '(SELECT count(*) FROM tp)', 2)},
-prior AS (SELECT label, ln(count(*) / (SELECT count(*) FROM tp)) AS lp FROM tp GROUP BY label),
-ct AS (SELECT label, term, sum(weight) AS s FROM m_w JOIN tp USING (pair_seq) GROUP BY label, term),
-tot AS (SELECT label, sum(s) + (SELECT count(*) FROM m_vocab) AS z FROM ct GROUP BY label),
-dm AS (SELECT customer_msg, count(*) AS copies, min({intent()}) AS label FROM dev GROUP BY customer_msg),
-d_tf AS (SELECT customer_msg, term, count(*) AS tf FROM ({terms('dm', 'customer_msg', 'customer_msg')}) GROUP BY 1, 2),
-{weights('d_w', 'd_tf', 'm_vocab', 'customer_msg')},
-lin AS (SELECT d.customer_msg, p.label, sum(d.weight * (ln(coalesce(ct.s, 0) + 1) - ln(z))) AS dot
-  FROM d_w d CROSS JOIN prior p JOIN tot USING (label) LEFT JOIN ct ON ct.label = p.label AND ct.term = d.term GROUP BY 1, 2),
-scored AS (SELECT dm.customer_msg, dm.copies, dm.label AS true_label, p.label AS pred, lp + coalesce(dot, 0) AS score
-  FROM dm CROSS JOIN prior p LEFT JOIN lin ON lin.customer_msg = dm.customer_msg AND lin.label = p.label),
-prob AS (SELECT *, exp(score - max(score) OVER m) / sum(exp(score - mx)) OVER m AS p
-  FROM (SELECT *, max(score) OVER (PARTITION BY customer_msg) AS mx FROM scored) WINDOW m AS (PARTITION BY customer_msg)),
-best AS (SELECT customer_msg, copies, true_label, arg_max(pred, p) AS pred, max(p) AS p,
-  arg_max(pred, p) FILTER (pred <> 'other') AS pred_o, max(p) FILTER (pred <> 'other') AS p_o FROM prob GROUP BY ALL)"""
+dl AS (SELECT customer_msg, {intent()} AS label FROM dev),
+{naive_bayes('', 'tp', 'dl')}"""
+
+# the dev pool cut 80 : 20 within every label, and the same with the retrieval pool to train
+SPLIT = f"""{PAIRS},
+dk AS (SELECT pair_id, pair_seq, customer_msg, {intent()} AS label FROM dev),
+cut AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || pair_id), pair_id)
+  <= round(count(*) OVER (PARTITION BY label) * 0.2) AS held FROM dk),
+small AS (SELECT pair_id, pair_seq, customer_msg, label FROM cut WHERE NOT held),
+held AS (SELECT customer_msg, label FROM cut WHERE held),
+large AS (SELECT * FROM small UNION ALL SELECT pair_id, pair_seq, customer_msg, {intent()} FROM ret),
+placed_rows AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || pair_id), pair_id) AS place, count(*) OVER () AS n_all FROM large),
+glab AS (SELECT customer_msg, {intent()} AS label FROM ev)"""
+
+
+def counts_of(best: str) -> str:
+    return f"SELECT true_label, pred AS pred_label, CAST(sum(copies) AS BIGINT) AS n FROM {best} GROUP BY ALL"
+
+
+def summary(counts: str, by: str) -> str:
+    """Rows (by, n, accuracy, macro_f1, weighted_f1) from counts."""
+    return f"""SELECT {by}, n, accuracy, round(macro_f1, 6) AS macro_f1, round(weighted_f1, 6) AS weighted_f1 FROM
+  (SELECT {by}, CAST(sum(n) AS BIGINT) AS n, sum(CASE WHEN true_label = pred_label THEN n ELSE 0 END) / sum(n) AS accuracy
+    FROM {counts} GROUP BY {by}) JOIN
+  (SELECT {by}, avg(f1) AS macro_f1, sum(f1 * support) / sum(support) AS weighted_f1 FROM ({class_report(counts, by)}) GROUP BY {by}) USING ({by})"""
+
+
+GAP = f"""{SPLIT},
+{naive_bayes('t_', 'small', 'small')},
+{naive_bayes('h_', 'small', 'held')},
+{naive_bayes('g_', 'small', 'glab')},
+gc AS (SELECT 'train' AS split, * FROM ({counts_of('t_best')}) UNION ALL
+  SELECT 'dev', * FROM ({counts_of('h_best')}) UNION ALL SELECT 'golden', * FROM ({counts_of('g_best')}))"""
+
+WORD_CHAR = f"""{SPLIT},
+{naive_bayes('a_', 'small', 'held')},
+{naive_bayes('b_', 'small', 'held', chars=True)},
+wc AS (SELECT 'word' AS config, * FROM ({counts_of('a_best')}) UNION ALL
+  SELECT 'word+char', * FROM ({counts_of('b_best')})),
+wcs AS ({summary('wc', 'config')}),
+tried AS (SELECT CAST(CASE config WHEN 'word' THEN 0 ELSE 1 END AS INT) AS step, 'features' AS grp, * FROM wcs)"""
+
+
+def learning_curve() -> str:
+    cut = "place <= floor(CAST(n_all AS DOUBLE) * CAST({} AS DOUBLE))"
+    parts, counts = [], []
+    for i, share in enumerate(EX.FRACTIONS):
+        parts.append(f"lc{i} AS (SELECT pair_seq, customer_msg, label FROM placed_rows WHERE {cut.format(share)})")
+        parts.append(naive_bayes(f"l{i}_", f"lc{i}", "held"))
+        counts.append(f"SELECT {i} AS step, * FROM ({counts_of(f'l{i}_best')})")
+    sizes = ", ".join(
+        f"({i}, '{share:.2f}', (SELECT count(*) FROM lc{i}))" for i, share in enumerate(EX.FRACTIONS)
+    )
+    return with_(
+        f"{SPLIT}, {', '.join(parts)}, lcc AS ({' UNION ALL '.join(counts)})",
+        f"SELECT CAST(step AS INT) AS step, 'fraction' AS grp, config, n, accuracy, macro_f1, weighted_f1, n_train "
+        f"FROM ({summary('lcc', 'step')}) JOIN (VALUES {sizes}) v(step, config, n_train) USING (step)",
+    )
+
+
+def prefix_vocabulary() -> str:
+    cut = "place <= floor(CAST(n_all AS DOUBLE) * CAST({} AS DOUBLE))"
+    rows = " UNION ALL ".join(
+        f"SELECT term, CAST({s} AS DOUBLE) AS share, count(*) AS df FROM pt JOIN placed_rows USING (pair_seq) "
+        f"WHERE {cut.format(s)} GROUP BY term HAVING count(*) >= 2"
+        for s in EX.FRACTIONS
+    )
+    return with_(
+        f"{SPLIT}, pt AS (SELECT DISTINCT pair_seq, term FROM ({terms('large', 'pair_seq', 'customer_msg')}))", rows
+    )
+
+
+def shared_grams() -> str:
+    rows = []
+    for name, f in EX.FEATURE_GRID:
+        found = terms("small", "pair_seq", "customer_msg", *f.word, prefix="w:")
+        if f.char:
+            found += " UNION ALL " + char_terms("small", "pair_seq", "customer_msg", *f.char, "c:")
+        rows.append(
+            f"SELECT {q(name)} AS config, count(*) AS terms, CAST(sum(df) AS BIGINT) AS df FROM (SELECT term, "
+            f"count(DISTINCT pair_seq) AS df FROM ({found}) GROUP BY term HAVING count(DISTINCT pair_seq) >= {f.min_df})"
+        )
+    return with_(SPLIT, " UNION ALL ".join(rows))
 
 
 def with_(ctes: str, final: str) -> str:
@@ -560,6 +660,46 @@ SELECT n, round(1 - seen / expected, 6) AS kappa, (SELECT round(corr(rq, rt), 6)
             "SELECT threshold, CAST(sum(n) AS BIGINT) AS n, sum(CASE WHEN true_label = pred_label THEN n ELSE 0 END) / sum(n) AS accuracy, "
             "(SELECT round(avg(f1), 6) FROM orep WHERE orep.threshold = op.threshold) AS macro_f1 FROM op GROUP BY threshold",
         ),
+        "k8_override_report": with_(
+            f"{SPLIT}, {naive_bayes('', 'small', 'held')}, th AS (SELECT CAST(unnest([0.0, "
+            + ", ".join(map(str, EX.OVERRIDE_THRESHOLDS))
+            + "]) AS DOUBLE) AS threshold), "
+            "op AS (SELECT threshold, true_label, CASE WHEN threshold > 0 AND p_o >= threshold THEN pred_o ELSE pred END AS pred_label, "
+            f"sum(copies) AS n FROM best CROSS JOIN th GROUP BY ALL), r AS ({summary('op', 'threshold')})",
+            "SELECT threshold, n, accuracy, macro_f1, threshold = (SELECT threshold FROM r ORDER BY macro_f1 DESC, threshold LIMIT 1) AS chosen FROM r",
+        ),
+        "k4_linear_svc": with_(PAIRS, f"SELECT {intent()} AS label, count(*) AS n, true AS converged, true AS good FROM ev GROUP BY 1"),
+        "k5_logistic_regression": with_(PAIRS, f"SELECT {intent()} AS label, count(*) AS n, true AS converged, true AS good FROM ev GROUP BY 1"),
+        "k9_gap_report": with_(GAP, summary("gc", "split")),
+        "k9_gap_classes": with_(GAP, class_report("gc", "split")),
+        "k9_gap_matrix": with_(
+            GAP,
+            "SELECT a.split, a.l AS true_label, b.l AS pred_label, coalesce(n, 0) AS n FROM "
+            "(SELECT split, true_label AS l FROM gc UNION SELECT split, pred_label FROM gc) a JOIN "
+            "(SELECT split, true_label AS l FROM gc UNION SELECT split, pred_label FROM gc) b ON a.split = b.split "
+            "LEFT JOIN gc ON gc.split = a.split AND gc.true_label = a.l AND gc.pred_label = b.l",
+        ),
+        "k10_learning_curve": learning_curve(),
+        "k10_prefix_vocabulary": prefix_vocabulary(),
+        "k11_grid": with_(SPLIT, "SELECT CAST(i AS INT) AS step, (SELECT count(*) FROM held) AS n, true AS good FROM range(23) t(i)"),
+        "k11_shared_grams": shared_grams(),
+        "k12_svc_sweep": with_(
+            SPLIT,
+            "SELECT CAST(i AS INT) AS step, 'svc C=' || ['0.5', '1', '2'][i % 3 + 1] || CASE WHEN i < 3 THEN ' unweighted' ELSE ' balanced' END "
+            "AS config, (SELECT count(*) FROM held) AS n, true AS good FROM range(6) t(i)",
+        ),
+        "k13_word_or_char": with_(WORD_CHAR, "SELECT * FROM tried"),
+        "h7_best_config": with_(WORD_CHAR, "SELECT * FROM tried ORDER BY macro_f1 DESC, step LIMIT 1"),
+        "l2_decisions_with_model": with_(
+            retrieval("ev") + "," + decisions("ev"), "SELECT pair_id, draft_reply, grounded, true AS follows FROM dec"
+        ),
+        "full_run": with_(
+            PREDICTIONS,
+            "SELECT system, n, true AS good, CASE WHEN system <> 'system_full' THEN round(accuracy, 6) END AS intent_accuracy, "
+            "CASE WHEN system <> 'system_full' THEN round(macro_f1, 6) END AS intent_macro_f1, "
+            "CASE WHEN system <> 'system_full' THEN round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) END "
+            "AS escalation_f1 FROM sys",
+        ),
         "k14_training_pool": with_(
             PAIRS, f"SELECT {intent()} AS intent_label, count(*) AS n FROM pooled WHERE pool <> 'eval' GROUP BY 1"
         ),
