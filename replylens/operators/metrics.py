@@ -6,9 +6,12 @@ arithmetic on that small table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
+from .ranking import running_totals
+
 
 def _ratio(top: Column, bottom: Column) -> Column:
     """0 where the denominator is 0."""
@@ -142,25 +145,30 @@ def cohen_kappa(counts: DataFrame, weights: str | None = None) -> DataFrame:
 
 
 def spearman(df: DataFrame, left: str, right: str) -> DataFrame:
-    """Rank correlation with average ranks on ties. Scores come from a short scale, so
-    ranks are computed from the counts per score value, not by sorting the rows."""
-    counts = df.groupBy(F.col(left).alias("a"), F.col(right).alias("b")).agg(
-        F.count(F.lit(1)).alias("n")
+    """Rank correlation with average ranks on ties, on scales of any length. Rows are
+    counted per pair of scores; a score's average rank follows from the rows before it.
+    Rows without one of the scores take no part."""
+    scored = df.where(F.col(left).isNotNull() & F.col(right).isNotNull())
+    counts = stage(
+        scored.groupBy(F.col(left).alias("a"), F.col(right).alias("b")).agg(
+            F.count(F.lit(1)).alias("n")
+        ),
+        "score_pairs",
     )
+    total = counts.agg(F.sum("n").cast("double").alias("n")).scalar()
 
     def ranks(column: str, name: str) -> DataFrame:
         sizes = counts.groupBy(column).agg(F.sum("n").alias("size"))
-        upto = F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy(column))
-        return sizes.select(column, (upto - (F.col("size") - 1) / 2.0).alias(name))
+        placed = running_totals(sizes, [column], "size")
+        # measured from the mean rank, so that sums of squares stay exact enough
+        rank = F.col("before") + (F.col("size") + 1) / 2.0 - (total + 1.0) / 2.0
+        return placed.select(column, rank.alias(name))
 
     ranked = counts.join(ranks("a", "ra"), "a").join(ranks("b", "rb"), "b")
     n, ra, rb = F.col("n"), F.col("ra"), F.col("rb")
     sums = ranked.agg(
-        F.sum("n").alias("n"), F.sum(n * ra).alias("sa"), F.sum(n * rb).alias("sb"),
-        F.sum(n * ra * ra).alias("saa"), F.sum(n * rb * rb).alias("sbb"),
+        F.sum("n").alias("n"), F.sum(n * ra * ra).alias("saa"), F.sum(n * rb * rb).alias("sbb"),
         F.sum(n * ra * rb).alias("sab"),
     )
-    cov = F.col("n") * F.col("sab") - F.col("sa") * F.col("sb")
-    var_a = F.col("n") * F.col("saa") - F.col("sa") * F.col("sa")
-    var_b = F.col("n") * F.col("sbb") - F.col("sb") * F.col("sb")
-    return sums.select("n", _ratio(cov, F.sqrt(var_a) * F.sqrt(var_b)).alias("spearman"))
+    spread = F.sqrt("saa") * F.sqrt("sbb")
+    return sums.select("n", _ratio(F.col("sab"), spread).alias("spearman"))

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from ..functions import rules as R
 from ..session import side_by_side, stage, stage_root
 from .ranking import positions
-from .tfidf import Features, term_counts, vocabulary, weigh
+from .tfidf import Features, hashed_weights, term_counts, vocabulary, weigh
 
 DOCS_PER_PARTITION = 20_000
 FINAL_FEATURES = Features(word=(1, 2), char=(3, 7), min_df=2)
@@ -50,11 +50,12 @@ class Learner:
 
 @dataclass(frozen=True)
 class FittedFeatures:
-    """A fitted vocabulary with dense term indexes."""
+    """A fitted vocabulary with dense term indexes, or none where terms are hashed."""
 
     features: Features
-    vocab: DataFrame  # term, idf, index
+    vocab: DataFrame | None  # term, idf, index
     size: int
+    bits: int | None = None  # terms are hashed to 2 ** bits indexes
 
 
 @dataclass(frozen=True)
@@ -88,9 +89,16 @@ def fit_features(docs: DataFrame, features: Features) -> FittedFeatures:
     return FittedFeatures(features, indexed, max(indexed.count(), 1))
 
 
+def hashed_features(features: Features, bits: int = 18) -> FittedFeatures:
+    """Nothing to fit: terms of ``features`` hashed to 2 ** bits indexes."""
+    return FittedFeatures(features, None, 1 << bits, bits)
+
+
 def vectorise(docs: DataFrame, fitted: FittedFeatures) -> DataFrame:
     """``docs`` plus ``features``: one sparse vector per row, staged as a table."""
     counts = term_counts(docs, fitted.features, "doc_id", "customer_msg")
+    if fitted.bits is not None:
+        return vector_table(docs, hashed_weights(counts, fitted.bits), fitted.size)
     weights = weigh(
         counts, fitted.vocab, fitted.features.blocks, "doc_id", carry=("index",)
     )
@@ -214,11 +222,16 @@ def solver_steps(model: Model) -> int:
 
 def fit_intent_model(
     messages: DataFrame, features: Features = FINAL_FEATURES, learner: Learner = Learner(),
-    label: str = "intent_label",
+    label: str = "intent_label", hash_bits: int | None = None,
 ) -> IntentModel:
-    """Fit on labelled messages (customer_msg, label)."""
+    """Fit on labelled messages (customer_msg, label), with a vocabulary of their terms or
+    with terms hashed to 2 ** hash_bits indexes (not for naive Bayes, which takes no
+    negative weights)."""
     docs = stage(distinct_messages(messages, label), "train_docs")
-    fitted = fit_features(docs, features)
+    if hash_bits is None:
+        fitted = fit_features(docs, features)
+    else:
+        fitted = hashed_features(features, hash_bits)
     return fit_classifier(vectorise(docs, fitted), fitted, learner)
 
 
@@ -293,14 +306,16 @@ _LOADERS = {"svc": OneVsRestModel, "lr": LogisticRegressionModel, "nb": NaiveBay
 
 
 def save_model(model: IntentModel, path: str) -> None:
-    spark = model.fitted.vocab.sparkSession
-    model.fitted.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
+    spark = SparkSession.active()
+    if model.fitted.vocab is not None:
+        model.fitted.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
     model.classifier.write().overwrite().save(f"{path}/classifier")
     kind = next(k for k, cls in _LOADERS.items() if isinstance(model.classifier, cls))
     f = model.fitted.features
     meta = {
         "kind": kind, "labels": model.labels, "size": model.fitted.size,
         "shift": model.margin_shift, "word": f.word, "char": f.char, "min_df": f.min_df,
+        "bits": model.fitted.bits,
     }
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode(
         "overwrite"
@@ -312,6 +327,8 @@ def load_model(spark: SparkSession, path: str) -> IntentModel:
     features = Features(
         tuple(meta["word"]), tuple(meta["char"]) if meta["char"] else None, meta["min_df"]
     )
-    fitted = FittedFeatures(features, spark.read.parquet(f"{path}/vocab"), meta["size"])
+    bits = meta.get("bits")
+    vocab = spark.read.parquet(f"{path}/vocab") if bits is None else None
+    fitted = FittedFeatures(features, vocab, meta["size"], bits)
     classifier = _LOADERS[meta["kind"]].load(f"{path}/classifier")
     return IntentModel(fitted, tuple(meta["labels"]), classifier, tuple(meta["shift"]))

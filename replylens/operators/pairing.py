@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schemas import require_columns
+from ..session import stage
 
 MIN_MESSAGE, MIN_REPLY = 15, 10
 # Replies too generic to ground an answer on.
@@ -65,8 +66,10 @@ def transcript_facts(raw: DataFrame) -> DataFrame:
 
 def _kept_before(turns: DataFrame) -> DataFrame:
     """``turns`` (conversation_id, part, turns) with ``before``: the number of kept turns
-    in earlier parts. One narrow row per later part is numbered; the rest pass through."""
-    sizes = turns.select("conversation_id", "part", F.size("turns").alias("kept"))
+    in earlier parts. They are written once; numbering reads their sizes alone, and only
+    conversations with a second part are numbered."""
+    turns = stage(turns.withColumn("kept", F.size("turns")), "turns")
+    sizes = turns.select("conversation_id", "part", "kept")
     cut = sizes.where(F.col("part") > 0).select("conversation_id").distinct()
     earlier = Window.partitionBy("conversation_id").orderBy("part").rowsBetween(
         Window.unboundedPreceding, -1
@@ -76,7 +79,7 @@ def _kept_before(turns: DataFrame) -> DataFrame:
         .withColumn("before", F.coalesce(F.sum("kept").over(earlier), F.lit(0)))
         .drop("kept")
     )
-    return turns.join(before, ["conversation_id", "part"], "left").withColumn(
+    return turns.drop("kept").join(before, ["conversation_id", "part"], "left").withColumn(
         "before", F.coalesce("before", F.lit(0))
     )
 
@@ -216,3 +219,16 @@ def keep_pairs(pairs: DataFrame) -> DataFrame:
     return with_pair_id(kept).select(
         "pair_id", "conversation_id", "pair_seq", "customer_msg", "support_reply"
     )
+
+
+def keep_transcript_pairs(pairs: DataFrame) -> DataFrame:
+    """``keep_pairs`` for cleaned pairs of transcripts (conversation_id, turn, texts): of
+    equal pairs the first conversation and turn stays; pair_seq is left to the caller."""
+    ordered = pairs.select(
+        "conversation_id", "turn", "customer_msg", "support_reply",
+        F.struct("conversation_id", "turn").alias("pair_seq"),
+    )
+    kept = drop_boilerplate(deduplicate(ordered)).drop("pair_seq")
+    return with_pair_id(kept, F.col("turn")).select(
+        "pair_id", "conversation_id", "turn", "customer_msg", "support_reply"
+    )

@@ -66,6 +66,37 @@ def vocabulary_diversity(
     )
 
 
+def word_sketches(raw: DataFrame, companies: Sequence[str] | None = None, lg_k: int = 14) -> DataFrame:
+    """(brand, words, sketch) over all conversations: the number of words and a sketch of
+    the distinct ones. Sketches of parts of a table, such as days, merge with
+    ``merge_sketches``; texts are read once and nothing but sketches is shuffled."""
+    if companies is not None:
+        raw = raw.where(F.col("company").isin(*companies))
+    words = raw.select(
+        "company", F.explode_outer(X.split_words(F.lower("conversation"))).alias("word")
+    ).where(F.col("word").isNotNull())
+    return words.groupBy(F.col("company").alias("brand")).agg(
+        F.count(F.lit(1)).alias("words"), F.hll_sketch_agg("word", lg_k).alias("sketch")
+    )
+
+
+def merge_sketches(sketches: DataFrame) -> DataFrame:
+    """Sketches of several parts as one per brand."""
+    return sketches.groupBy("brand").agg(
+        F.sum("words").alias("words"), F.hll_union_agg("sketch").alias("sketch")
+    )
+
+
+def sketched_diversity(sketches: DataFrame) -> DataFrame:
+    """(brand, words, distinct_words, vocab_diversity) as estimated. With the default size
+    the standard error of the distinct words is below 1 %."""
+    distinct = F.hll_sketch_estimate("sketch")
+    return sketches.select(
+        "brand", "words", distinct.alias("distinct_words"),
+        F.round(distinct / F.greatest("words", F.lit(1)), 4).alias("vocab_diversity"),
+    )
+
+
 def brand_profile(
     raw: DataFrame, companies: Sequence[str] | None = None, n: int = SAMPLE_PER_COMPANY
 ) -> DataFrame:

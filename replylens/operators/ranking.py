@@ -26,33 +26,47 @@ def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int = SEED) -> DataF
     return seeded_shuffle(df, id_col, seed).limit(n)
 
 
-def positions(
-    df: DataFrame, order: Sequence[Column | str], position: str = "position"
+def running_totals(
+    df: DataFrame, order: Sequence[Column | str], amount: str | None = None, before: str = "before"
 ) -> DataFrame:
-    """``df`` with its 0-based position in ``order``: a range sort, written once, and one
-    start per partition.
+    """``df`` with the sum of ``amount`` over all rows before it in ``order`` (without
+    ``amount``: their number). A range sort, written once, and one start per partition.
 
-    Partitions of a range sort follow each other, so a row's position is its place in its
-    partition plus the rows of all partitions before. Only the starts pass a single task,
-    one row per shuffle partition. Rows that tie in ``order`` get distinct positions. The
+    Partitions of a range sort follow each other, so a row's sum is that of its partition
+    so far plus all of the partitions before. Only the starts pass a single task, one row
+    per shuffle partition. Rows that tie in ``order`` follow each other in some order. The
     sort looks at a sample of ``df`` first, so ``df`` should be a stored table.
     """
     spread = df.repartitionByRange(*order).sortWithinPartitions(*order)
     # the id holds the partition above 33 bits of the row's place in it
     placed = stage(spread.withColumn("__id", F.monotonically_increasing_id()), "sorted")
-    part, place = F.shiftrightunsigned("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    part = F.shiftrightunsigned("__id", 33)
+    if amount is None:
+        size, so_far = F.count(F.lit(1)), F.col("__id").bitwiseAND((1 << 33) - 1)
+    else:
+        size = F.sum(amount)
+        inside = Window.partitionBy(part).orderBy("__id").rowsBetween(Window.unboundedPreceding, -1)
+        so_far = F.coalesce(F.sum(amount).over(inside), F.lit(0))
     earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+        placed.groupBy(part.alias("__part")).agg(size.alias("__n"))
         .select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
     )
     return (
-        placed.join(F.broadcast(starts), part == F.col("__part"))
-        .withColumn(position, F.col("__start") + place)
-        .drop("__id", "__part", "__start")
+        placed.withColumn("__so_far", so_far)
+        .join(F.broadcast(starts), part == F.col("__part"))
+        .withColumn(before, F.col("__start") + F.col("__so_far"))
+        .drop("__id", "__part", "__start", "__so_far")
     )
 
 
+def positions(
+    df: DataFrame, order: Sequence[Column | str], position: str = "position"
+) -> DataFrame:
+    """``df`` with its 0-based position in ``order``; see ``running_totals``."""
+    return running_totals(df, order, None, position)
+
+
 def ranks(
     df: DataFrame,
     order: Sequence[str],

@@ -80,7 +80,7 @@ def weigh(
     no known term has no row, that is, it is the zero vector.
     """
     keys = [id_col] if blocks == 1 else [id_col, "block"]
-    raw = counts.join(vocab.select("term", "idf", *carry), "term").withColumn(
+    raw = _with_vocabulary(counts, vocab, id_col, carry).withColumn(
         "raw", (1.0 + F.log("tf")) * F.col("idf")
     )
     if blocks > 1:
@@ -91,6 +91,40 @@ def weigh(
     )
 
 
+#: a term in more than this share of all postings is joined by broadcast
+HEAD_SHARE = 1e-4
+
+
+def _with_vocabulary(
+    counts: DataFrame, vocab: DataFrame, id_col: str, carry: tuple[str, ...]
+) -> DataFrame:
+    """``counts`` with the vocabulary's columns, without a hot key.
+
+    Terms with more than ``HEAD_SHARE`` of the postings number at most 1 / ``HEAD_SHARE``,
+    so they are broadcast whatever the vocabulary's size. What is left has no term of many
+    rows and is joined by term; rows that are settled go along dealt by their document.
+    """
+    columns = list(dict.fromkeys(["idf", *carry]))
+    if "postings" not in vocab.columns:
+        return counts.join(vocab.select("term", *columns), "term")
+    total = vocab.agg(F.sum("postings").cast("double").alias("n")).scalar()
+    facts = F.struct(*columns)
+    is_head = F.col("postings") > F.lit(HEAD_SHARE) * total
+    head = F.broadcast(vocab.where(is_head).select("term", facts.alias("__head")))
+    tail = vocab.where(~is_head).select(F.col("term").alias("__key"), facts.alias("__tail"))
+    # no term holds a line feed, so a settled row meets nothing
+    settled = F.concat(F.lit("\n"), F.col(id_col).cast("string"))
+    known = F.coalesce("__head", "__tail")
+    return (
+        counts.join(head, "term", "left")
+        .withColumn("__key", F.when(F.col("__head").isNull(), F.col("term")).otherwise(settled))
+        .join(tail, "__key", "left")
+        .withColumn("__facts", known)
+        .where(F.col("__facts").isNotNull())
+        .select(*counts.columns, "__facts.*")
+    )
+
+
 def document_norms(raw: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Vector length per document from un-normalised (id, term, raw) rows."""
     return raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
@@ -108,3 +142,44 @@ def fit_transform(
     n_docs = docs.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
     vocab = stage(vocabulary(counts, n_docs, features.min_df), "vocab")
     return vocab, weigh(counts, vocab, features.blocks, id_col)
+
+
+# --- without a vocabulary ---------------------------------------------------------------
+
+def _hashed(bits: int) -> Column:
+    if not 1 <= bits <= 30:
+        raise ValueError("bits must lie between 1 and 30")
+    digits = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("bigint")
+    return F.pmod(digits, F.lit(1 << bits)).cast("int")
+
+
+def hashed_weights(
+    counts: DataFrame, bits: int = 20, id_col: str = "doc_id"
+) -> DataFrame:
+    """(id, index, weight) of signed feature hashing: a term goes to one of 2 ** bits
+    indexes and adds or takes away 1 + ln tf there, so that terms that share an index cancel
+    on average. Unit length per id; a document whose terms all cancel has no row.
+
+    There is no vocabulary, no document frequency and no pass over the corpus: a model's
+    memory is classes x 2 ** bits numbers whatever the corpus holds. Index and sign are
+    digits of the term's md5, so they are the same in every engine.
+    """
+    sign = F.when(F.substring(F.md5("term"), 9, 1) < "8", 1.0).otherwise(-1.0)
+    sums = (
+        counts.groupBy(id_col, _hashed(bits).alias("index"))
+        .agg(F.sum(sign * (1.0 + F.log("tf"))).alias("raw"))
+        .where(F.abs("raw") > 1e-12)
+    )
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col)))
+    return sums.select(id_col, "index", (F.col("raw") / norm).alias("weight"))
+
+
+def hash_collisions(counts: DataFrame, bits: int = 20) -> DataFrame:
+    """(terms, indexes, shared): distinct terms, indexes they use, terms that share one."""
+    per_index = counts.select("term").distinct().groupBy(_hashed(bits).alias("index")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    return per_index.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("terms"), F.count(F.lit(1)).alias("indexes"),
+        F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("shared"),
+    )

@@ -33,7 +33,7 @@ from ..streaming import score_stream
 from . import evaluation as EV
 from . import experiments as EX
 from .full import full_run
-from .prepare import build_pools, event_pairs, kept_pairs, pooled_pairs, stage_counts
+from .prepare import build_pools, event_pairs, kept_pairs, pooled_pairs, prepare, stage_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -577,7 +577,7 @@ def _(spark, sf):
 @query("f18_document_norms")
 def _(spark, sf):
     docs = _docs(spark, sf)
-    counts = TF.term_counts(docs, Features((1, 1), None, 1))
+    counts = stage(TF.term_counts(docs, Features((1, 1), None, 1)), "term_counts")
     n_docs = docs.agg(F.count(F.lit(1)).cast("double")).scalar()
     vocab = TF.vocabulary(counts, n_docs, 1)
     raw = counts.join(vocab, "term").select(
@@ -618,6 +618,45 @@ def _(spark, sf):
     return kappa.join(rank, "n")
 
 
+@query("f21_spearman_long_scale")
+def _(spark, sf):
+    """Two scales of very many distinct values."""
+    rows = read_table(spark, sf, "lineitem").select(
+        F.col("l_extendedprice").alias("a"), (F.col("l_quantity") * F.col("l_discount")).alias("b")
+    )
+    return M.spearman(rows, "a", "b").select("n", F.round("spearman", 6).alias("spearman"))
+
+
+@query("f2_vocab_sketch")
+def _(spark, sf):
+    """Sketches of two halves of the transcripts, merged, against the exact numbers."""
+    raw = stage(_raw(spark, sf), "transcripts")
+    halves = [raw.where(F.pmod(F.xxhash64("conversation_id"), F.lit(2)) == i) for i in (0, 1)]
+    sketches = PF.word_sketches(halves[0]).unionByName(PF.word_sketches(halves[1]))
+    estimated = PF.sketched_diversity(PF.merge_sketches(sketches))
+    words = raw.select(
+        F.col("company").alias("brand"),
+        F.explode(X.split_words(F.lower("conversation"))).alias("word"),
+    )
+    exact = words.groupBy("brand", "word").count().groupBy("brand").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    near = F.abs(F.col("distinct_words") - F.col("n")) <= 0.04 * F.col("n")
+    return estimated.join(exact, "brand").select("brand", "words", near.alias("within_4_percent"))
+
+
+@query("f16_observed_counts")
+def _(spark, sf):
+    return prepare(_raw(spark, sf), "brand_1").counts
+
+
+@query("d3_prepared_pools")
+def _(spark, sf):
+    """One company's transcripts through the whole preparation."""
+    pooled = prepare(_raw(spark, sf), "brand_1", _new_path(spark, "prepared")).pools.pooled
+    return pooled.select("pair_id", "conversation_id", "customer_msg", "support_reply", "pool")
+
+
 # --- H: sort, limit, sampling ---------------------------------------------------------
 
 @query("h1_brands_by_volume")
@@ -797,6 +836,22 @@ def _(spark, sf):
     return before.join(after, "pair_id").select("pair_id", same.alias("same"))
 
 
+@query("k5_hashed_features")
+def _(spark, sf):
+    """Signed hashing of word and character n-grams, without a vocabulary."""
+    docs = kept_pairs(spark, sf).select(F.col("pair_seq").alias("doc_id"), msg().alias("text"))
+    counts = TF.term_counts(docs, EX.WORD_CHAR)
+    return TF.hashed_weights(counts, 12).select(
+        "doc_id", "index", F.round("weight", 6).alias("weight")
+    )
+
+
+@query("k5_hash_collisions")
+def _(spark, sf):
+    docs = kept_pairs(spark, sf).select(F.col("pair_seq").alias("doc_id"), msg().alias("text"))
+    return TF.hash_collisions(TF.term_counts(docs, EX.WORD_CHAR), 12)
+
+
 @query("k5_logistic_regression")
 def _(spark, sf):
     return _quality(spark, sf, EX.WORD_CHAR, EX.BASE_LEARNER, 0.8)

@@ -301,6 +301,25 @@ tp AS (SELECT pair_seq, customer_msg, {intent()} AS label FROM pooled WHERE pool
 dl AS (SELECT customer_msg, {intent()} AS label FROM dev),
 {naive_bayes('', 'tp', 'dl')}"""
 
+HASHED = f"""{PAIRS},
+ht AS (SELECT pair_seq, term, count(*) AS tf FROM ({terms('kept', 'pair_seq', 'customer_msg', prefix='w:')}
+  UNION ALL {char_terms('kept', 'pair_seq', 'customer_msg', 3, 5, 'c:')}) GROUP BY ALL),
+hx AS (SELECT *, CAST(CAST('0x' || left(md5(term), 8) AS BIGINT) % 4096 AS INT) AS index,
+  CASE WHEN substring(md5(term), 9, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign FROM ht)"""
+
+TRANSCRIPT_POOLS = f"""{TRANSCRIPTS},
+tcl AS (SELECT p.conversation_id, turn, {clean('customer_msg')} AS customer_msg, {clean('support_reply')} AS support_reply
+  FROM tpairs p JOIN tr USING (conversation_id) WHERE company = 'brand_1'),
+tok AS (SELECT * FROM tcl WHERE length(customer_msg) >= 15 AND length(support_reply) >= 10),
+tkept AS (SELECT * FROM (SELECT * FROM tok QUALIFY row_number() OVER (PARTITION BY customer_msg, support_reply
+    ORDER BY conversation_id, turn) = 1)
+  WHERE lower(support_reply) NOT IN ({', '.join(q(b) for b in P.BOILERPLATE_REPLIES)})),
+tplaced AS (SELECT conversation_id, row_number() OVER (ORDER BY md5('42:' || conversation_id), conversation_id) AS place,
+  CAST(count(*) OVER () AS DOUBLE) AS n FROM (SELECT DISTINCT conversation_id FROM tkept)),
+tpooled AS (SELECT k.*, CASE WHEN place <= least(250, floor(n * CAST(0.08 AS DOUBLE))) THEN 'eval'
+  WHEN place <= least(250, floor(n * CAST(0.08 AS DOUBLE))) + least(400, floor(n * CAST(0.1 AS DOUBLE))) THEN 'dev'
+  ELSE 'retrieval' END AS pool FROM tkept k JOIN tplaced USING (conversation_id))"""
+
 # the dev pool cut 80 : 20 within every label, and the same with the retrieval pool to train
 SPLIT = f"""{PAIRS},
 dk AS (SELECT pair_id, pair_seq, customer_msg, {intent()} AS label FROM dev),
@@ -595,6 +614,11 @@ e AS (SELECT avg(power(a.quality - b.toxic, 2)) AS expected FROM labels a CROSS
 r AS (SELECT rank() OVER (ORDER BY quality) + (count(*) OVER (PARTITION BY quality) - 1) / 2.0 AS rq,
   rank() OVER (ORDER BY toxic) + (count(*) OVER (PARTITION BY toxic) - 1) / 2.0 AS rt FROM labels)
 SELECT n, round(1 - seen / expected, 6) AS kappa, (SELECT round(corr(rq, rt), 6) FROM r) AS spearman FROM c, e""",
+        "f21_spearman_long_scale": """
+WITH r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra,
+  rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb
+  FROM (SELECT l_extendedprice AS a, l_quantity * l_discount AS b FROM lineitem))
+SELECT count(*) AS n, round(corr(ra, rb), 6) AS spearman FROM r""",
         "h3_seeded_shuffle":
             "SELECT event_id, row_number() OVER (ORDER BY md5('42:' || event_id), event_id) AS place FROM events",
         "h4_seeded_sample": with_(
@@ -700,6 +724,33 @@ SELECT n, round(1 - seen / expected, 6) AS kappa, (SELECT round(corr(rq, rt), 6)
             "CASE WHEN system <> 'system_full' THEN round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) END "
             "AS escalation_f1 FROM sys",
         ),
+        "k5_hashed_features": with_(
+            HASHED,
+            "SELECT pair_seq AS doc_id, index, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY pair_seq)), 6) AS weight "
+            "FROM (SELECT pair_seq, index, sum(sign * (1 + ln(tf))) AS raw FROM hx GROUP BY ALL) WHERE abs(raw) > 1e-12",
+        ),
+        "k5_hash_collisions": with_(
+            HASHED,
+            "SELECT CAST(sum(n) AS BIGINT) AS terms, count(*) AS indexes, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS shared "
+            "FROM (SELECT index, count(DISTINCT term) AS n FROM hx GROUP BY index)",
+        ),
+        "d3_prepared_pools": with_(
+            TRANSCRIPT_POOLS,
+            "SELECT 'p_' || md5(conversation_id || ':' || turn) AS pair_id, conversation_id, customer_msg, support_reply, pool FROM tpooled",
+        ),
+        "f16_observed_counts": with_(
+            TRANSCRIPT_POOLS,
+            "SELECT 'raw_conversations' AS step, count(*) AS n FROM tr WHERE company = 'brand_1' "
+            "UNION ALL SELECT 'extracted_pairs', count(*) FROM tok UNION ALL SELECT 'deduped_pairs', count(*) FROM tkept "
+            "UNION ALL SELECT 'eval_pool', count(DISTINCT conversation_id) FROM tpooled WHERE pool = 'eval' "
+            "UNION ALL SELECT 'dev_pool', count(*) FROM tpooled WHERE pool = 'dev' "
+            "UNION ALL SELECT 'retrieval_corpus', count(*) FROM tpooled WHERE pool = 'retrieval'",
+        ),
+        "f2_vocab_sketch": with_(
+            TRANSCRIPTS,
+            f"SELECT company AS brand, count(*) AS words, true AS within_4_percent FROM (SELECT company, "
+            f"unnest(string_split_regex(lower(conversation), {q(X.SPACES_PATTERN)})) AS w FROM tr) WHERE w <> '' GROUP BY 1",
+        ),
         "k14_training_pool": with_(
             PAIRS, f"SELECT {intent()} AS intent_label, count(*) AS n FROM pooled WHERE pool <> 'eval' GROUP BY 1"
         ),

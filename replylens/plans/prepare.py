@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import pairing as P
 from ..operators import splits as S
+from ..operators.ranking import positions
 from ..session import stage
-from ..sources import read_table, spread, support_pairs
+from ..sources import read_table, spread, support_pairs, write_pools
+from ..sources.tables import write_json_report
 
 
 def event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,14 +38,63 @@ class Pools:
     dev: DataFrame
     retrieval: DataFrame
 
+    @classmethod
+    def of(cls, pooled: DataFrame) -> Pools:
+        def pool(name: str) -> DataFrame:
+            return pooled.where(F.col("pool") == name).drop("pool")
+
+        return cls(pooled, S.eval_pool(pooled), pool(S.DEV), pool(S.RETRIEVAL))
+
 
 def build_pools(spark: SparkSession, sf_dir: str) -> Pools:
-    pooled = stage(pooled_pairs(spark, sf_dir), "pooled")
+    return Pools.of(stage(pooled_pairs(spark, sf_dir), "pooled"))
 
-    def of(pool: str) -> DataFrame:
-        return pooled.where(F.col("pool") == pool).drop("pool")
 
-    return Pools(pooled, S.eval_pool(pooled), of(S.DEV), of(S.RETRIEVAL))
+@dataclass(frozen=True)
+class Prepared:
+    pools: Pools
+    counts: DataFrame  # step, n
+
+
+def prepare(raw: DataFrame, company: str | None = None, out: str | None = None) -> Prepared:
+    """The whole preparation of one's own table of raw transcripts (conversation_id, company,
+    conversation [, part]): parse, clean, de-duplicate, split into pools without leakage.
+
+    Rows per step are observed while the steps run, so nothing is read again to be counted:
+    one run up to the kept pairs, one over these for the pools. If executors are lost and
+    part of a step runs again, its observed number can be too high; the results cannot.
+    With ``out``, the pools, the eval pool and the counts are written there.
+    """
+    spark = raw.sparkSession
+    seen = {x: Observation(x) for x in ("raw", "extracted", "kept", "pools", "eval")}
+    one = F.count(F.lit(1))
+    rows = raw if company is None else raw.where(F.col("company") == company)
+    is_first = F.col("part") == 0 if "part" in raw.columns else F.lit(True)
+    rows = rows.observe(seen["raw"], F.count_if(is_first).alias("n"))
+    extracted = P.clean_and_filter(P.pair_transcripts(rows)).observe(seen["extracted"], one.alias("n"))
+    kept = stage(P.keep_transcript_pairs(extracted).observe(seen["kept"], one.alias("n")), "kept")
+    numbered = positions(kept, ["conversation_id", "turn"], "pair_seq").drop("turn")
+    is_pool = {p: F.count_if(F.col("pool") == p).alias(p) for p in (S.DEV, S.RETRIEVAL)}
+    pooled = stage(
+        S.assign_pools(numbered).observe(seen["pools"], *is_pool.values()), "pooled"
+    )
+    pools = Pools.of(pooled)
+    evaluation = stage(pools.evaluation.observe(seen["eval"], one.alias("n")), "eval_pool")
+    counts = spark.createDataFrame(
+        [
+            ("raw_conversations", seen["raw"].get["n"]),
+            ("extracted_pairs", seen["extracted"].get["n"]),
+            ("deduped_pairs", seen["kept"].get["n"]), ("eval_pool", seen["eval"].get["n"]),
+            ("dev_pool", seen["pools"].get[S.DEV]),
+            ("retrieval_corpus", seen["pools"].get[S.RETRIEVAL]),
+        ],
+        "step string, n bigint",
+    )
+    if out:
+        write_pools(pooled, f"{out}/pools")
+        evaluation.write.mode("overwrite").parquet(f"{out}/eval_pool")
+        write_json_report(counts, f"{out}/counts")
+    return Prepared(Pools(pooled, evaluation, pools.dev, pools.retrieval), counts)
 
 
 def stage_counts(raw: DataFrame, kept: DataFrame, pooled: DataFrame) -> DataFrame:
