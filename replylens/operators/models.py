@@ -188,6 +188,10 @@ def _one_vs_rest(
     """One binary fit per class. A balanced class weight raises the class's own rows in its
     own fit; as a row of the rest, a message counts once, whatever its class."""
     total = sum(sizes)
+    solver = LinearSVC(
+        featuresCol="features", labelCol="label", weightCol="weight", standardization=False,
+        maxIter=max_iter, tol=learner.tol,
+    )
 
     def fit(k: int) -> Model:
         raised = total / (len(sizes) * sizes[k]) if learner.balanced else 1.0
@@ -198,10 +202,7 @@ def _one_vs_rest(
         )
         # the solver divides by the sum of the weights
         weight_sum = total - sizes[k] + raised * sizes[k]
-        return LinearSVC(
-            featuresCol="features", labelCol="label", weightCol="weight", standardization=False,
-            regParam=1.0 / (learner.c * weight_sum), maxIter=max_iter, tol=learner.tol,
-        ).fit(binary)
+        return solver.copy({solver.regParam: 1.0 / (learner.c * weight_sum)}).fit(binary)
 
     data = data.cache()
     try:
@@ -210,7 +211,9 @@ def _one_vs_rest(
         )
     finally:
         data.unpersist()
-    return OneVsRestModel(models=models).setFeaturesCol("features")
+    model = OneVsRestModel(models=models).setFeaturesCol("features")
+    model.set(model.classifier, solver)  # saving a model writes its solver as well
+    return model
 
 
 def solver_steps(model: Model) -> int:
