@@ -26,7 +26,9 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixture(_documents(spark, sf_dir))
+    return mixing.mixture(_documents(spark, sf_dir)).select(
+        "doc_id", "size", "source_size", "target", "taken", "source", "copies"
+    )
 
 
 #: every control string of the template inside texts
