@@ -134,6 +134,17 @@ def test_language_model_counts_and_gain(spark, docs, monkeypatch, known):
             assert sum(r.score for r in part) > sum(r.base_score for r in part)
 
 
+def test_number_of_held_words_changes_no_score(spark, docs, monkeypatch):
+    scores = []
+    for known in (1 << 17, 300, 0):
+        monkeypatch.setattr(maxent_lm.known_words, "__defaults__", (known,))
+        rows = maxent_lm.score_documents(docs.where("doc_id < 60")).collect()
+        scores.append({r.doc_id: r.score for r in rows})
+    assert len(scores[0]) == 60
+    for other in scores[1:]:
+        assert other == pytest.approx(scores[0])
+
+
 def test_model_probabilities_sum_to_one():
     draw = np.random.Generator(np.random.PCG64(4))
     hashes = np.sort(draw.integers(1, 1 << 63, 90, dtype=np.uint64))
