@@ -14,6 +14,10 @@ FAST = [
     "f21_weighted_kappa_spearman", "h5_prefix_fraction", "j1_pools", "j2_stratified_split",
     "k1_tfidf_documents", "k3_feature_union", "k6_naive_bayes", "k8_override",
     "l2_decisions_all_events", "l5_judge", "l7_l8_three_systems", "s1_score_stream",
+    "a6_index_round_trip", "c22_prompts", "d3_prepared_pools", "f2_vocab_sketch",
+    "f16_observed_counts", "f21_spearman_long_scale", "k5_hash_collisions", "k5_hashed_features",
+    "k8_override_report", "k9_gap_classes", "k9_gap_matrix", "k9_gap_report",
+    "k10_learning_curve", "k10_prefix_vocabulary", "k11_shared_grams", "k13_word_or_char",
 ]
 
 
