@@ -156,9 +156,19 @@ def test_building_a_query_runs_no_job_over_the_table(spark, sf):
 
     tracker = spark.sparkContext.statusTracker()
     context = spark.sparkContext
-    for name in ("b1_brand_filter", "c2_transcript_lines", "d1_pairs_from_transcripts", "c1_clean_documents"):
+    for name in ("b1_brand_filter", "c1_clean_documents", "b3_min_length", "c5_intent_rules"):
         context.setJobGroup(f"build {name}", name)
         QUERIES[name](spark, sf)
         stages = [s for j in tracker.getJobIdsForGroup(f"build {name}") for s in tracker.getJobInfo(j).stageIds]
         assert len(stages) <= 1, name
     context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_transcripts_in_parts_are_parsed_once(spark, sf):
+    """Turns of transcripts that come in parts are written once; numbering and pairing read
+    the written table, not the transcripts."""
+    from replylens.plans.catalog import QUERIES
+
+    for name in ("c2_transcript_lines", "d1_pairs_from_transcripts", "d3_pairs_per_conversation"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "/turns]" in plan and "conversations.parquet" not in plan, name
