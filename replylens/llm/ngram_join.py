@@ -266,10 +266,9 @@ def join_unit(residents, guests: Iterable, percent: int, inside: bool) -> list[t
 
 
 def _profile(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Staged: (pos, doc_id, n, d1, d2, keys) per row, and mark if ``docs`` has one; keys is
+    """Staged: (pos, doc_id, mark, n, d1, d2, keys) per row of (doc_id, text, mark); keys is
     null for empty sets."""
     bands, rows = routing(percent)
-    marks = [c for c in docs.columns if c == "mark"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -282,15 +281,16 @@ def _profile(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 pa.array(np.cumsum(ends).astype(np.int32)), pa.array(keys.ravel().view(np.int64))
             )
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(d1), pa.array(d2), lists]
-                + [part.column(c) for c in marks],
-                ["doc_id", "n", "d1", "d2", "keys", *marks],
+                [
+                    part.column("doc_id"), part.column("mark"),
+                    pa.array(np.diff(bounds)), pa.array(d1), pa.array(d2), lists,
+                ],
+                ["doc_id", "mark", "n", "d1", "d2", "keys"],
             )
 
     rows_ = docs.mapInArrow(
         run,
-        "doc_id bigint, n bigint, d1 bigint, d2 bigint, keys array<bigint>"
-        + "".join(f", {c} bigint" for c in marks),
+        "doc_id bigint, mark bigint, n bigint, d1 bigint, d2 bigint, keys array<bigint>",
     )
     return stage(rows_.withColumn("pos", F.monotonically_increasing_id()), "profiles")
 
@@ -301,7 +301,7 @@ def _members(classes: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
     # the smallest class of a block has no label of its own
     first = blocks.select(F.col("label").alias("block"), F.col("label").alias("node")).distinct()
     placed = blocks.select(F.col("label").alias("block"), "node").union(first)
-    placed = placed.join(classes.select("node", "n", "d1", "d2", "rep_id"), "node")
+    placed = placed.join(classes.select("node", "n", "d1", "d2", "rep_mark"), "node")
     placed = stage(placed.withColumn("band", band), "placed")
     total = stage(placed.groupBy("block").agg(F.count(F.lit(1)).alias("total")), "block_sizes")
     large = total.where(F.col("total") > UNIT)
@@ -313,7 +313,7 @@ def _members(classes: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
     )
     return stage(
         placed.join(salts, ["block", "band"], "left").select(
-            "node", "block", "n", "d1", "d2", "rep_id",
+            "node", "block", "n", "d1", "d2", "rep_mark",
             F.when(F.col("salts").isNull(), -1).otherwise(F.col("band")).alias("band"),
             F.coalesce("salts", F.lit(0)).alias("salts"),
             F.when(F.col("salts").isNull(), 0)
@@ -326,19 +326,22 @@ def _members(classes: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
 def _run_units(
     docs: DataFrame, rows: DataFrame, k: int, percent: int, inside: bool
 ) -> DataFrame:
-    """Staged links (u, v) found in units. ``rows``: node, part, d1, d2, rep_id, block,
+    """Staged links (u, v) found in units. ``rows``: node, part, d1, d2, rep_mark, block,
     band, salt, guest; a row says that a class takes part in a unit."""
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # units of one block lie on neighbouring tasks, so a large block spreads evenly
     task = F.pmod(F.xxhash64("block", "band") + F.col("salt"), F.lit(tasks)).cast("int")
-    texts = docs.select(F.col("doc_id").alias("rep_id"), "text")
-    ids = stage(rows.select("rep_id").distinct(), "unit_ids")
+    texts = docs.select(F.col("mark").alias("rep_mark"), "text")
+    ids = stage(rows.select("rep_mark").distinct(), "unit_ids")
     if ids.count() <= BROADCAST_IDS:
         # texts that no unit needs stay where they are
-        texts = texts.join(F.broadcast(ids), "rep_id", "left_semi")
+        texts = texts.join(F.broadcast(ids), "rep_mark", "left_semi")
+    # one text per mark: rows of one id, or without ids, do not meet each other's classes,
+    # and equal rows meet their class once
+    texts = texts.groupBy("rep_mark").agg(F.first("text").alias("text"))
     joined = (
-        rows.join(texts, "rep_id")
+        rows.join(texts, "rep_mark")
         .select("node", "part", "d1", "d2", "block", "band", "salt", "guest", "text", task.alias("task"))
         .repartitionById(tasks, F.col("task"))
         .sortWithinPartitions("block", "band", "salt", "guest")
@@ -349,7 +352,7 @@ def _run_units(
             for part in slices(batches):
                 tokens, bounds = shingle_sets(part.column("text"), k)
                 d1, d2 = set_digests(tokens, bounds)
-                # a repeated doc_id may bring other texts along
+                # marks are 64-bit hashes; a text of another set is not the one
                 right = (d1 == part.column("d1").to_numpy()) & (d2 == part.column("d2").to_numpy())
                 names = ("node", "part", "block", "band", "salt", "guest")
                 lists = [part.column(x).to_pylist() for x in names]
@@ -399,6 +402,7 @@ def link_components(
     smallest number for reaching, and comes back null.
     """
     docs = docs.select(_number(F.col(doc_id)).alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.withColumn("mark", F.xxhash64("doc_id", "text"))
     out = _linked_profiles(docs, k, percent)
     none = F.lit(_LOWEST).cast("bigint")
     return out.select(
@@ -414,18 +418,21 @@ def _number(doc_id: Column) -> Column:
 
 
 def _linked_profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, component_id) per row of (doc_id, text), and mark if ``docs`` has one; no
-    id is null."""
+    """(doc_id, mark, n, component_id) per row of (doc_id, text, mark); no id is null, and
+    mark is a hash of both."""
     profiles = _profile(docs, k, percent)
     classes = stage(
         profiles.where("n > 0").groupBy("n", "d1", "d2").agg(
             F.min("pos").alias("node"),
-            F.min("doc_id").alias("rep_id"),
+            F.min(F.struct("doc_id", "mark")).alias("rep"),
             F.min("keys").alias("keys"),
+        ).select(
+            "n", "d1", "d2", "node", "keys",
+            F.col("rep.doc_id").alias("rep_id"), F.col("rep.mark").alias("rep_mark"),
         ),
         "classes",
     )
-    labels = components(_links(docs.select("doc_id", "text"), classes, k, percent))
+    labels = components(_links(docs.select("mark", "text"), classes, k, percent))
     named = classes.select("n", "d1", "d2", "node", "rep_id").join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", "node")
     )
@@ -434,9 +441,9 @@ def _linked_profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
     parts = stage(named.join(least, "label").select("n", "d1", "d2", "component_id"), "parts")
     return profiles.join(parts, ["n", "d1", "d2"], "left").select(
         "doc_id",
+        "mark",
         "n",
         F.coalesce("component_id", "doc_id").alias("component_id"),
-        *(c for c in docs.columns if c == "mark"),
     )
 
 
@@ -456,15 +463,15 @@ def _links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFra
     blocks = components(stars.select(F.col("hub").alias("u"), F.col("node").alias("v")))
     members = _members(classes, blocks, percent)
     unit = ["block", "band", "salt"]
-    own = members.select("node", F.col("node").alias("part"), "d1", "d2", "rep_id", *unit, F.lit(False).alias("guest"))
+    own = members.select("node", F.col("node").alias("part"), "d1", "d2", "rep_mark", *unit, F.lit(False).alias("guest"))
     # the smallest hub of each class in a large block visits its unit
     visits = (
         stars.groupBy("node").agg(F.min("hub").alias("hub"))
         .join(members.where("salts > 0").select("node", *unit), "node")
         .select(F.col("hub").alias("node"), *unit)
         .distinct()
-        .join(members.select("node", "d1", "d2", "rep_id"), "node")
-        .select("node", F.col("node").alias("part"), "d1", "d2", "rep_id", *unit, F.lit(True).alias("guest"))
+        .join(members.select("node", "d1", "d2", "rep_mark"), "node")
+        .select("node", F.col("node").alias("part"), "d1", "d2", "rep_mark", *unit, F.lit(True).alias("guest"))
     )
     links = _run_units(docs, own.unionByName(visits), k, percent, True)
     large = members.where("salts > 0")
@@ -496,10 +503,10 @@ def _links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFra
         .join(units, ["block", "to_band"])
         .withColumn("to", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
         .where((F.col("to_band") != F.col("band")) | (F.col("to") != F.col("salt")))
-        .select("node", "part", "d1", "d2", "rep_id", "block", F.col("to_band").alias("band"),
+        .select("node", "part", "d1", "d2", "rep_mark", "block", F.col("to_band").alias("band"),
                 F.col("to").alias("salt"), F.lit(True).alias("guest"))
     )
-    residents = open_.select("node", "part", "d1", "d2", "rep_id", *unit, F.lit(False).alias("guest"))
+    residents = open_.select("node", "part", "d1", "d2", "rep_mark", *unit, F.lit(False).alias("guest"))
     return links.union(_run_units(docs, residents.unionByName(visitors), k, percent, False))
 
 
@@ -512,8 +519,7 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
         _number(F.col("doc_id")).alias("doc_id"),
         F.col("text"),
-        F.xxhash64("text").alias("mark"),
-    )
+    ).withColumn("mark", F.xxhash64("doc_id", "text"))
     found = _linked_profiles(marked.drop("_row"), k, percent)
     gone = found.where("component_id <> doc_id").select("doc_id", "mark")
     return marked.drop("text").join(gone, ["doc_id", "mark"], "left_anti").select("_row.*")
