@@ -163,11 +163,10 @@ def _settle(rows: DataFrame, kind, length: int) -> DataFrame:
             ids = part.column("doc_id").to_pylist()
             for doc_id, text, found in zip(ids, texts, part.column("found").to_pylist()):
                 text = (text or "").encode()
-                # a repeated row says everything twice
-                found = {r["place"]: r for r in found or ()}.values()
-                done = [divmod(r["place"], _COUNT) for r in found if r["settled"]]
-                unsettled = [divmod(r["place"], _COUNT) for r in found if not r["settled"]]
-                standing = [divmod(r["place"], _COUNT) for r in found if r["settled"] and r["open"]]
+                said = [(*divmod(e >> 2, _COUNT), e & 2, e & 1) for e in found or ()]
+                done = [(s, c) for s, c, is_settled, _ in said if is_settled]
+                unsettled = [(s, c) for s, c, is_settled, _ in said if not is_settled]
+                standing = [(s, c) for s, c, is_settled, is_first in said if is_settled and is_first]
                 starts, counts = [s for s, _ in done], [c for _, c in done]
                 removed = spans = digest = body = names = None
                 if unsettled:
@@ -281,14 +280,15 @@ def remove_repeats(
         "judged_groups",
     )
     # a run that is neither settled nor mixed cannot be: its anchor repeats
+    # equal rows say the same of one mark: what they say is merged before the shuffle, and
+    # a mark's entries are as many as its text has runs, however often the row comes
+    is_first = F.coalesce(F.struct("mark", "place") == F.col("first"), F.lit(False))
+    entry = F.col("place") * 4 + F.col("settled").cast("int") * 2 + is_first.cast("int")
     found = (
         located.join(groups, ["anchor", "whole"])
-        .select(
-            "mark", "place", "settled",
-            F.coalesce(F.struct("mark", "place") == F.col("first"), F.lit(False)).alias("open"),
-        )
+        .select("mark", entry.alias("entry"))
         .groupBy("mark")
-        .agg(F.collect_list(F.struct("place", "settled", "open")).alias("found"))
+        .agg(F.collect_set("entry").alias("found"))
     )
     settled = _settle(rows.join(found, "mark", "left").select("doc_id", "text", "found"), kind, length)
     settled = stage(settled.withColumn("row", F.monotonically_increasing_id()), "settled")
