@@ -132,6 +132,21 @@ def test_join_on_hard_rows(hard, nothing):
     assert ngram_join.drop_near_duplicates(nothing).count() == 0
 
 
+@pytest.mark.parametrize("same_text", [False, True])
+def test_ten_thousand_rows_without_id(spark, same_text):
+    """Rows of one id do not meet each other's classes: 10,000 of them are no 10^8 pairs."""
+    base = [" ".join(f"g{g}w{i}" for i in range(40)) for g in range(2500)]
+    text = lambda i: base[0] if same_text else base[i % 2500] + (" more" if i % 4 == 1 else "")
+    rows = [(None, text(i)) for i in range(10_000)] + [(7, base[0] + " end")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = ngram_join.link_components(table).collect()
+    assert len(got) == 10_001
+    assert {r.component_id for r in got} == {None}
+    assert {r.n_shingles for r in got if r.doc_id == 7} == {39}
+    stays = ngram_join.drop_near_duplicates(table).collect()
+    assert {r.doc_id for r in stays} == {None} and len(stays) == 10_000
+
+
 def test_near_copies_are_decided_row_by_row(spark):
     text, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
     rows = [
@@ -228,6 +243,20 @@ def test_repeated_strings_on_hard_rows(hard, nothing):
     assert substring_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_ten_thousand_equal_rows(spark):
+    """An equal row adds no runs to the others': 10,000 of them are no 10^8 runs."""
+    draw = random.Random(4)
+    noise = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    text, other = noise(700), noise(300)
+    rows = [(5, text)] * 10_000 + [(None, text[:250] + other), (6, other[:150] + text[300:600])]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = _found(substring_dedup.remove_repeats(table))
+    whole = (700, 700, 1, hashlib.sha256(b"").hexdigest())
+    assert got[5] == [whole] * 10_000
+    assert got[None] == [(550, 250, 1, hashlib.sha256(other.encode()).hexdigest())]
+    assert got[6] == [(450, 300, 1, hashlib.sha256(other[:150].encode()).hexdigest())]
+
+
 def test_sliding_minimum():
     draw = np.random.Generator(np.random.PCG64(2))
     values = draw.integers(0, 50, 300, dtype=np.uint64)
