@@ -8,6 +8,10 @@ A conversation is rendered whole and encoded once. Token offsets are the running
 of token lengths in bytes; the spans of the turns are known from rendering. Binary
 search in the sorted offsets finds the tokens of each span. A token that sticks out of
 a span (white space may join text and markup) is in the mask with the bytes inside.
+
+Conversations stream through their task. One that is longer than ``PIECE`` becomes several
+rows, cut between turns where tokens part anyway, so its pieces joined are what encoding
+it in one go gives.
 """
 
 from __future__ import annotations
@@ -19,16 +23,17 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .bpe import ByteBPE, shared_encoder
 
 OPEN, CLOSE = "### ", " </turn>\n"
 LEARNED = "assistant"
-#: code points of a conversation that are encoded at once; the cut is at a turn's end,
-#: where a line feed and "#" always part tokens
+#: code points that are encoded at once; a conversation is cut at a turn's end, where a
+#: line feed and "#" always part tokens
 PIECE = 1 << 20
+#: conversations that are encoded together
+HELD = 1 << 9
 _ESCAPE = re.compile(r"\\|###|</turn>")
 _ESCAPE_ROLE = re.compile(r"\\|###|</turn>|:")
 _UNESCAPE = re.compile(r"\\(.)", re.DOTALL)
@@ -87,11 +92,15 @@ def loss_mask(lengths: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
     )
 
 
-def encode(bpe: ByteBPE, text: str, spans: list[tuple[int, int]]) -> tuple[list[int], np.ndarray]:
-    """(ids, loss mask) of a rendered conversation."""
-    ids = bpe.encode([text])[0]
-    lengths = np.fromiter((len(bpe.tokens[i]) for i in ids), np.int64, len(ids))
-    return ids, loss_mask(lengths, spans)
+def encode(
+    bpe: ByteBPE, rendered: list[tuple[str, list[tuple[int, int]]]]
+) -> list[tuple[list[int], np.ndarray]]:
+    """(ids, loss mask) of each of some rendered conversations."""
+    out = []
+    for ids, (_, spans) in zip(bpe.encode([text for text, _ in rendered]), rendered):
+        lengths = np.fromiter((len(bpe.tokens[i]) for i in ids), np.int64, len(ids))
+        out.append((ids, loss_mask(lengths, spans)))
+    return out
 
 
 def masked_bytes(bpe: ByteBPE, ids: list[int], mask: np.ndarray) -> bytes:
@@ -102,122 +111,144 @@ def masked_bytes(bpe: ByteBPE, ids: list[int], mask: np.ndarray) -> bytes:
     )
 
 
-class _Conversation:
-    """One conversation as it streams by: rendered, encoded and read back in pieces."""
-
-    def __init__(self, bpe: ByteBPE, conv_id):
-        self.bpe, self.conv_id = bpe, conv_id
-        self.turns, self.loss_chars, self.formatted, self.n_turns, self.n_tokens = [], 0, 0, 0, 0
-        self.size = 0
-        self.all, self.loss = hashlib.sha256(), hashlib.sha256()
-
-    def add(self, role, text) -> None:
-        self.turns.append((role, text))
-        self.size += len(text or "")
-        if self.size >= PIECE:
-            self.flush()
-
-    def flush(self) -> None:
-        text, spans = render(self.turns)
-        ids, mask = encode(self.bpe, text, spans)
-        back = self.bpe.decode(ids).decode()
-        for role, said in parse(back):
-            self.all.update(f"{role}\n{said}\n".encode())
-            self.n_turns += 1
-        learned = unescape(masked_bytes(self.bpe, ids, mask).decode())
-        self.loss.update(learned.encode())
-        self.loss_chars += len(learned)
-        self.formatted += len(back)
-        self.n_tokens += len(ids)
-        self.turns, self.size = [], 0
-
-    def row(self) -> tuple:
-        self.flush()
-        return (self.conv_id, self.n_turns, self.all.hexdigest(), self.loss_chars,
-                self.loss.hexdigest(), self.formatted, self.n_tokens)
-
-
-def _ordered(turns: DataFrame) -> DataFrame:
-    return (
-        turns.select("conv_id", "turn", "role", "text")
-        .repartition("conv_id")
-        .sortWithinPartitions("conv_id", "turn", "role", "text")
-    )
+def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """(conv_id, number, its turns, their size) of the pieces of sorted conversations."""
+    now, number, turns, size = None, 0, [], 0
+    for batch in batches:
+        for conv_id, role, text in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "role", "text"))):
+            if turns and (conv_id != now or size >= PIECE):
+                yield now, number, turns, size
+                number, turns, size = number + 1, [], 0
+            if conv_id != now:
+                now, number = conv_id, 0
+            turns.append((role, text))
+            size += len(text or "")
+    if turns:
+        yield now, number, turns, size
 
 
 def format_conversations(turns: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """One row per conv_id: conv_id, formatted (text), ids, and the loss mask as
-    mask_tokens (places in ids) with mask_starts and mask_ends (bytes of formatted).
+    """One row per conversation, or several for long ones: conv_id, piece (from 0),
+    formatted (text), ids, and the loss mask as mask_tokens (places in ids) with
+    mask_starts and mask_ends (bytes of formatted).
 
     Rows are ordered by turn, then role and text (ties, repeated rows all count); nulls
     come first. A null role or text is empty; null conv_ids are one conversation. Only
-    texts of role ``assistant`` are in the mask. An empty table gives no rows. The whole
-    conversation is one row, so it must fit into memory; ``check_conversations`` streams.
+    texts of role ``assistant`` are in the mask. Extra columns are ignored, an empty table
+    gives no rows. A piece ends with the turn that brings it to ``PIECE`` code points, so
+    a row holds that and one text at most. Pieces come out in order, those of one
+    conversation next to each other in one partition.
     """
     encoder = shared_encoder(turns.sparkSession, rank_path, pattern)
-    rows = turns.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
+    rows = (
+        turns.select("conv_id", "turn", "role", "text")
+        .repartition("conv_id")
+        .sortWithinPartitions("conv_id", "turn", "role", "text")
     )
+    kinds = [
+        to_arrow_type(rows.schema["conv_id"].dataType),
+        *(pa.int32(), pa.string(), pa.list_(pa.int32())),
+        *[pa.list_(pa.int64())] * 3,
+    ]
+    names = ["conv_id", "piece", "formatted", "ids", "mask_tokens", "mask_starts", "mask_ends"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder.load()
-        for batch in batches:
-            out = []
-            for said in batch.column("turns").to_pylist():
-                text, spans = render([(t["role"], t["text"]) for t in said])
-                ids, mask = encode(bpe, text, spans)
-                out.append((text, ids, *mask.T.tolist()) if len(mask) else (text, ids, [], [], []))
-            kinds = [pa.string(), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 3]
-            columns = [pa.array(x, k) for x, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *columns], names)
-
-    names = ["conv_id", "formatted", "ids", "mask_tokens", "mask_starts", "mask_ends"]
+
+        def flush(held: list[tuple]) -> pa.RecordBatch:
+            rendered = [render(said) for _, _, said in held]
+            out = [
+                (conv_id, piece, text, ids, *mask.T)
+                for (conv_id, piece, _), (text, _), (ids, mask) in zip(held, rendered, encode(bpe, rendered))
+            ]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
+
+        held, total = [], 0
+        for conv_id, number, said, size in _pieces(batches):
+            held.append((conv_id, number, said))
+            total += size
+            if total >= PIECE or len(held) >= HELD:
+                yield flush(held)
+                held, total = [], 0
+        if held:
+            yield flush(held)
+
     kind = rows.schema["conv_id"].dataType.simpleString()
     return rows.mapInArrow(
         run,
-        f"conv_id {kind}, formatted string, ids array<int>, mask_tokens array<bigint>, "
+        f"conv_id {kind}, piece int, formatted string, ids array<int>, mask_tokens array<bigint>, "
         "mask_starts array<bigint>, mask_ends array<bigint>",
     )
 
 
-def check_conversations(turns: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """What comes back out of the formatted conversations, one row per conv_id: n_turns,
-    turns_sha256 (role, line feed, text, line feed per turn), loss_chars, loss_sha256
-    (text under the mask, unescaped), formatted_chars, n_tokens.
+class _Digests:
+    """What the pieces of one conversation say, as they pass by."""
+
+    def __init__(self, conv_id):
+        self.conv_id = conv_id
+        self.loss_chars = self.formatted = self.n_turns = self.n_tokens = 0
+        self.all, self.loss = hashlib.sha256(), hashlib.sha256()
 
-    Conversations are as in ``format_conversations``; long ones stream through in pieces
-    of about ``PIECE`` code points, cut between turns where tokens part anyway.
+    def add(self, bpe: ByteBPE, ids: list[int], mask: np.ndarray) -> None:
+        back = bpe.decode(ids).decode()
+        for role, said in parse(back):
+            self.all.update(f"{role}\n{said}\n".encode())
+            self.n_turns += 1
+        learned = unescape(masked_bytes(bpe, ids, mask).decode())
+        self.loss.update(learned.encode())
+        self.loss_chars += len(learned)
+        self.formatted += len(back)
+        self.n_tokens += len(ids)
+
+    def row(self) -> tuple:
+        return (self.conv_id, self.n_turns, self.all.hexdigest(), self.loss_chars,
+                self.loss.hexdigest(), self.formatted, self.n_tokens)
+
+
+def read_back(formatted: DataFrame, rank_path: str, pattern: str, in_order: bool = False) -> DataFrame:
+    """What the token ids and loss masks of formatted conversations say, one row per
+    conv_id: n_turns, turns_sha256 (role, line feed, text, line feed per turn), loss_chars,
+    loss_sha256 (text under the mask, unescaped), formatted_chars, n_tokens.
+
+    ``formatted`` has the columns of ``format_conversations``; its texts are not read, only
+    ids and masks. With ``in_order`` the rows are as that function gives them, otherwise
+    they are sorted first. Null conv_ids are one conversation; no rows give no rows.
     """
-    encoder = shared_encoder(turns.sparkSession, rank_path, pattern)
-    rows = _ordered(turns)
+    encoder = shared_encoder(formatted.sparkSession, rank_path, pattern)
+    masks = ["mask_tokens", "mask_starts", "mask_ends"]
+    rows = formatted.select("conv_id", "piece", "ids", *masks)
+    if not in_order:
+        rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "piece")
     kind = rows.schema["conv_id"].dataType.simpleString()
-    id_type = rows.schema["conv_id"].dataType
+    id_type = to_arrow_type(rows.schema["conv_id"].dataType)
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens"]
+    kinds = [id_type, *[pa.int64(), pa.string()] * 2, pa.int64(), pa.int64()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder.load()
-        now: _Conversation | None = None
+        now: _Digests | None = None
+        done: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*done), kinds)], names)
+
         for batch in batches:
-            done = []
-            lists = (batch.column(x).to_pylist() for x in ("conv_id", "role", "text"))
-            for conv_id, role, text in zip(*lists):
+            for i, conv_id in enumerate(batch.column("conv_id").to_pylist()):
                 if now is None or conv_id != now.conv_id:
                     if now is not None:
                         done.append(now.row())
-                    now = _Conversation(bpe, conv_id)
-                now.add(role, text)
+                    now = _Digests(conv_id)
+                mask = np.stack([batch.column(x)[i].values.to_numpy() for x in masks], 1)
+                now.add(bpe, batch.column("ids")[i].values.to_pylist(), mask)
             if done:
-                yield _rows(done, id_type)
+                yield out()
+                done = []
         if now is not None:
-            yield _rows([now.row()], id_type)
+            done.append(now.row())
+            yield out()
 
     return rows.mapInArrow(
         run,
         f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, "
         "loss_sha256 string, formatted_chars bigint, n_tokens bigint",
     )
-
-
-def _rows(done: list[tuple], id_type) -> pa.RecordBatch:
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens"]
-    kinds = [to_arrow_type(id_type), *[pa.int64(), pa.string()] * 2, pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*done), kinds)], names)

@@ -4,7 +4,8 @@ A task encodes its documents and packs them in windows of about ``WINDOW_TOKENS`
 window the segments are taken longest first, each into the open row with the least
 capacity that still holds it; a segment tree over capacities finds that row. Documents
 longer than a row are cut into full rows and a rest, so nothing is lost. Windows bound a
-task's memory; each ends with few rows that are not full.
+task's memory; each ends with few rows that are not full. Which documents share a row
+depends on the partitions of the input; what a document's pieces say does not.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..session import stage
 from .arrays import slices
 from .bpe import read_ranks
 
@@ -96,43 +98,53 @@ def pack_documents(
 ) -> DataFrame:
     """One row per packed row: ids (``length`` little-endian numbers of 2 or 4 bytes, by
     the size of the vocabulary, padded with ``eos_id``), n_tokens, cu_seqlens (0 and the
-    end of every segment), doc_ids and pieces (which part of which document a segment
-    is), and with ``positions`` position_ids (2-byte numbers up to a length of 65,536).
+    end of every segment), doc_ids, doc_rows and pieces (which part of which document a
+    segment is), and with ``positions`` position_ids (2-byte numbers up to a length of
+    65,536).
 
     Every document ends with ``eos_id``; a null or empty text is that one token. Positions
-    restart at 0 with every segment. Repeated rows are packed as often as they come, extra
-    columns are ignored, an empty table gives no rows.
+    restart at 0 with every segment. Repeated rows are packed as often as they come, told
+    apart by doc_rows, a number of its own for every input row. Extra columns are ignored,
+    an empty table gives no rows. Another layout of the input packs other rows together.
     """
     held = docs.sparkSession.sparkContext.broadcast(
         {"ranks": read_ranks(rank_path), "pattern": pattern}
     )
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(
+        F.col(doc_id).alias("doc_id"),
+        F.col(text).alias("text"),
+        F.monotonically_increasing_id().alias("row"),
+    )
     kind = rows.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
     place = "<u2" if length <= 1 << 16 else "<u4"
 
     def pack(segments: list[tuple], dtype) -> pa.RecordBatch:
-        packed = best_fit_decreasing([len(s[2]) for s in segments], length)
+        packed = best_fit_decreasing([len(s[3]) for s in segments], length)
         out: dict[str, list] = {name: [] for name in names}
         for members in packed:
             row = np.full(length, eos_id, dtype)
-            ends = np.cumsum([0, *(len(segments[i][2]) for i in members)]).tolist()
+            ends = np.cumsum([0, *(len(segments[i][3]) for i in members)]).tolist()
             for i, a, b in zip(members, ends[:-1], ends[1:]):
-                row[a:b] = segments[i][2]
+                row[a:b] = segments[i][3]
             out["ids"].append(row.tobytes())
             out["n_tokens"].append(ends[-1])
             out["cu_seqlens"].append(ends)
             out["doc_ids"].append([segments[i][0] for i in members])
-            out["pieces"].append([segments[i][1] for i in members])
+            out["doc_rows"].append([segments[i][1] for i in members])
+            out["pieces"].append([segments[i][2] for i in members])
             if positions:
                 out["position_ids"].append(position_ids(ends, length).astype(place).tobytes())
         return pa.RecordBatch.from_arrays([pa.array(out[n], k) for n, k in names.items()], list(names))
 
     names = {
         "ids": pa.binary(), "n_tokens": pa.int64(), "cu_seqlens": pa.list_(pa.int32()),
-        "doc_ids": pa.list_(id_type), "pieces": pa.list_(pa.int32()),
+        "doc_ids": pa.list_(id_type), "doc_rows": pa.list_(pa.int64()), "pieces": pa.list_(pa.int32()),
     }
-    schema = f"ids binary, n_tokens bigint, cu_seqlens array<int>, doc_ids array<{kind.simpleString()}>, pieces array<int>"
+    schema = (
+        f"ids binary, n_tokens bigint, cu_seqlens array<int>, doc_ids array<{kind.simpleString()}>, "
+        "doc_rows array<bigint>, pieces array<int>"
+    )
     if positions:
         names["position_ids"] = pa.binary()
         schema += ", position_ids binary"
@@ -151,11 +163,11 @@ def pack_documents(
         encode, dtype = known["encoding"].encode_ordinary, known["width"]
         segments, held_tokens = [], 0
         for part in slices(batches):
-            ids = part.column("doc_id").to_pylist()
-            for name, said in zip(ids, part.column("text").to_pylist()):
+            lists = (part.column(x).to_pylist() for x in ("doc_id", "row", "text"))
+            for name, number, said in zip(*lists):
                 tokens = np.array([*encode(said or ""), eos_id], dtype)
                 for piece, at in enumerate(range(0, len(tokens), length)):
-                    segments.append((name, piece, tokens[at : at + length]))
+                    segments.append((name, number, piece, tokens[at : at + length]))
                 held_tokens += len(tokens)
                 if held_tokens >= WINDOW_TOKENS:
                     yield pack(segments, dtype)
@@ -167,31 +179,41 @@ def pack_documents(
 
 
 def unpack_documents(packed: DataFrame, width: int = 2) -> DataFrame:
-    """(doc_id, ids) of the documents in packed rows, their pieces joined in order."""
+    """(doc_id, ids) of every packed document, its pieces joined in order: one row per
+    row that was packed, repeated and null doc_ids included. No packed rows, no rows."""
     kind = packed.schema["doc_ids"].dataType.elementType
     id_type, dtype = to_arrow_type(kind), np.dtype(f"<u{width}")
+    parts = ["ids", "cu_seqlens", "doc_ids", "doc_rows", "pieces"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            lists = [batch.column(x).to_pylist() for x in ("ids", "cu_seqlens", "doc_ids", "pieces")]
-            for raw, ends, names, pieces in zip(*lists):
+            for raw, ends, *lists in zip(*(batch.column(x).to_pylist() for x in parts)):
                 ids = np.frombuffer(raw, dtype)
-                for name, piece, a, b in zip(names, pieces, ends[:-1], ends[1:]):
-                    out.append((name, piece, ids[a:b].tolist()))
-            columns = zip(*out) if out else ([], [], [])
-            kinds = (id_type, pa.int32(), pa.list_(pa.int32()))
+                for name, number, piece, a, b in zip(*lists, ends[:-1], ends[1:]):
+                    out.append((name, number, piece, ids[a:b].tolist()))
+            columns = zip(*out) if out else ([], [], [], [])
+            kinds = (id_type, pa.int64(), pa.int32(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, k) for x, k in zip(columns, kinds)], ["doc_id", "piece", "ids"]
+                [pa.array(x, k) for x, k in zip(columns, kinds)], ["doc_id", "row", "piece", "ids"]
             )
 
-    pieces = packed.select("ids", "cu_seqlens", "doc_ids", "pieces").mapInArrow(
-        run, f"doc_id {kind.simpleString()}, piece int, ids array<int>"
+    pieces = packed.select(*parts).mapInArrow(
+        run, f"doc_id {kind.simpleString()}, row bigint, piece int, ids array<int>"
     )
     joined = F.array_sort(F.collect_list(F.struct("piece", "ids")))
-    return pieces.groupBy("doc_id").agg(F.flatten(joined.getField("ids")).alias("ids"))
+    return (
+        pieces.groupBy("row")
+        .agg(F.first("doc_id").alias("doc_id"), F.flatten(joined.getField("ids")).alias("ids"))
+        .select("doc_id", "ids")
+    )
 
 
-def write_packed(packed: DataFrame, path: str) -> None:
-    """The packed rows as Parquet files, one fixed-size binary row per id row."""
+def write_packed(packed: DataFrame, path: str | None = None) -> DataFrame:
+    """Write the packed rows as Parquet files (ids and position resets as rows of a fixed
+    number of bytes, cumulative lengths as lists) and return the written table. Without
+    ``path`` the files are a stage table; an existing ``path`` is an error."""
+    if path is None:
+        return stage(packed, "packed")
     packed.write.parquet(path)
+    return packed.sparkSession.read.schema(packed.schema).parquet(path)

@@ -39,11 +39,13 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     turns = turns.select("conv_id", "turn", "role", "text")
     hard = [(-7, 0, "user", _HARD), (-7, 1, "assistant", _HARD)]
-    return chat_format.check_conversations(
+    formatted = chat_format.format_conversations(
         turns.unionByName(spark.createDataFrame(hard, turns.schema)),
         public_tokenizers.path(RANKS),
         public_tokenizers.PATTERN,
-    ).drop("n_tokens")
+    )
+    ranks = public_tokenizers.path(RANKS)
+    return chat_format.read_back(formatted, ranks, public_tokenizers.PATTERN, in_order=True).drop("n_tokens")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,13 +65,14 @@ END_OF_TEXT = 50256
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(
+    packed = packing.pack_documents(
         _documents(spark, sf_dir),
         public_tokenizers.path(RANKS),
         public_tokenizers.PATTERN,
         END_OF_TEXT,
         positions=True,
     )
+    return packing.write_packed(packed)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

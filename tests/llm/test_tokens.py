@@ -105,6 +105,21 @@ def test_packing_hard_rows(hard, nothing):
     assert packing.pack_documents(nothing, RANKS, P.PATTERN, 0).count() == 0
 
 
+def test_unpacking_repeated_and_missing_ids(hard, nothing, public, tmp_path):
+    packed = packing.pack_documents(hard, RANKS, P.PATTERN, queries.END_OF_TEXT, length=16, positions=True)
+    written = packing.write_packed(packed, str(tmp_path / "packed"))
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    want = [(r.doc_id, [*public.encode_ordinary(r.text or ""), queries.END_OF_TEXT]) for r in hard.collect()]
+    for table in (packed, written):
+        got = [(r.doc_id, r.ids) for r in packing.unpack_documents(table).collect()]
+        assert sorted(got, key=key) == sorted(want, key=key)
+    for r in written.collect():
+        assert len(r.ids) == 32 and len(r.position_ids) == 32
+        assert list(r.position_ids[:: 2]) == packing.position_ids(r.cu_seqlens, 16).tolist()
+    none = packing.pack_documents(nothing, RANKS, P.PATTERN, 0)
+    assert packing.unpack_documents(packing.write_packed(none)).count() == 0
+
+
 def _expected(turns):
     said = "".join(f"{role or ''}\n{text or ''}\n" for role, text in turns)
     learned = "".join(text or "" for role, text in turns if role == "assistant")
@@ -131,7 +146,7 @@ def test_conversations_come_back(spark, sf):
 
 
 @pytest.mark.parametrize("piece", [1 << 20, 5])
-def test_hard_conversations(spark, monkeypatch, piece):
+def test_hard_conversations(spark, public, monkeypatch, piece):
     monkeypatch.setattr(chat_format, "PIECE", piece)
     rows = [
         (1, 0, None, "x"), (1, 1, "assistant", None), (1, 1, "assistant", " \n"),
@@ -140,12 +155,33 @@ def test_hard_conversations(spark, monkeypatch, piece):
         (3, 2, "assistant", "trail \n\n"), (3, 2, "assistant", "trail \n\n"), (4, 0, "system", ""),
     ]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-    got = {r.conv_id: r for r in chat_format.check_conversations(turns, RANKS, P.PATTERN).collect()}
-    whole = {r.conv_id: r for r in chat_format.format_conversations(turns, RANKS, P.PATTERN).collect()}
+    formatted = chat_format.format_conversations(turns, RANKS, P.PATTERN)
+    pieces = defaultdict(list)
+    for r in formatted.collect():
+        pieces[r.conv_id].append(r)
+    assert all([r.piece for r in p] == list(range(len(p))) for p in pieces.values())
+    assert len(pieces[3]) == (3 if piece == 5 else 1)
+    got = {r.conv_id: r for r in chat_format.read_back(formatted, RANKS, P.PATTERN, in_order=True).collect()}
+    shuffled = chat_format.read_back(formatted.repartition(5, "formatted"), RANKS, P.PATTERN)
+    assert {r.conv_id: r for r in shuffled.collect()} == got
     for conv_id in (1, 2, 3, 4, None):
         mine = [x[2:] for x in rows if x[0] == conv_id]
         r = got[conv_id]
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == _expected(mine)
-        assert chat_format.parse(whole[conv_id].formatted) == [(a or "", b or "") for a, b in mine]
-        assert len(whole[conv_id].formatted) == r.formatted_chars
-    assert chat_format.check_conversations(turns.limit(0), RANKS, P.PATTERN).count() == 0
+        text = "".join(p.formatted for p in pieces[conv_id])
+        assert chat_format.parse(text) == [(a or "", b or "") for a, b in mine]
+        assert len(text) == r.formatted_chars
+        # pieces joined are the conversation encoded in one go
+        assert [i for p in pieces[conv_id] for i in p.ids] == public.encode_ordinary(text)
+    nothing = chat_format.format_conversations(turns.limit(0), RANKS, P.PATTERN)
+    assert nothing.count() == 0 and chat_format.read_back(nothing, RANKS, P.PATTERN).count() == 0
+
+
+def test_conversation_beyond_a_piece_with_a_turn_beyond_it(spark, public):
+    long = "word \\ ### é </turn>\n" * 80_000
+    rows = [(1, i, ("user", "assistant")[i % 2], said) for i, said in enumerate([long, "a", long, long, "", "z"])]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    formatted = chat_format.format_conversations(turns, RANKS, P.PATTERN)
+    assert len(long) > chat_format.PIECE and formatted.count() == 4
+    (r,) = chat_format.read_back(formatted, RANKS, P.PATTERN).collect()
+    assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == _expected([x[2:] for x in rows])
