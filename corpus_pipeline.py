@@ -19,9 +19,12 @@ SHINGLE_WORDS, PERCENT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language go: those without a text or without a letter."""
+    """Documents in no language go: those without a text or without a letter, and those
+    that the network holds for unreadable, in scripts or letters of no labelled language.
+    Where no row has a label, all texts with a letter stay. Repeated rows are decided
+    alike, an empty table stays empty."""
     arrays.small_batches(spark)
-    model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
+    model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))), background=True)
     return language_id.keep_identified(docs, model)
 
 

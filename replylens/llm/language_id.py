@@ -7,6 +7,10 @@ end and every window is scored; a document's prediction weighs its windows by le
 A filter over one-hot bytes is a sum of table rows, one per offset. For scoring the rows
 of two neighbouring bytes are added up beforehand, so a filter of width w costs w / 2
 look-ups a position.
+
+A softmax over languages is sure of itself on text in no language at all. ``fit`` with
+``background`` therefore trains one more output on texts made unreadable: letters
+exchanged at random, moved to other scripts, or replaced by random bytes.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ DOCS_PER_LANGUAGE = 1500
 WINDOWS_PER_DOC = 4
 BROADCAST_LABELS = 1 << 12
 UNKNOWN = "und"
+#: probability of the background from which ``keep_identified`` rejects a text
+REJECT = 0.9
 _PAD = 256
 _CODES = 257
 _SCORE_ROWS = 1 << 9
@@ -38,13 +44,15 @@ _SCORE_ROWS = 1 << 9
 
 @dataclass
 class ByteCNN:
-    """``filters[w]`` has shape (w, 257, FILTERS); code 256 pads short windows."""
+    """``filters[w]`` has shape (w, 257, FILTERS); code 256 pads short windows. With
+    ``background`` there is an output more than there are languages."""
 
     languages: list[str]
     filters: list[np.ndarray]
     bias: np.ndarray
     weights: np.ndarray
     offset: np.ndarray
+    background: bool = False
 
     def features(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(maximum, its position) of every filter over each row of ``codes``."""
@@ -71,7 +79,7 @@ class ByteCNN:
         return tables
 
     def log_probabilities(self, codes: np.ndarray, tables: list[list[np.ndarray]]) -> np.ndarray:
-        out = np.empty((len(codes), len(self.languages)), np.float32)
+        out = np.empty((len(codes), len(self.offset)), np.float32)
         for at in range(0, len(codes), _SCORE_ROWS):
             part = codes[at : at + _SCORE_ROWS]
             pairs = part[:, :-1] * _CODES + part[:, 1:]
@@ -91,17 +99,24 @@ class ByteCNN:
 
 
 def train(
-    codes: np.ndarray, labels: np.ndarray, languages: list[str], epochs: int = 8, seed: int = 3
+    codes: np.ndarray,
+    labels: np.ndarray,
+    languages: list[str],
+    epochs: int = 8,
+    seed: int = 3,
+    background: bool = False,
 ) -> ByteCNN:
-    """Mini-batch Adam on cross-entropy; languages weigh alike whatever their share."""
+    """Mini-batch Adam on cross-entropy; languages weigh alike whatever their share. With
+    ``background``, label ``len(languages)`` is that of the background."""
     draw = np.random.Generator(np.random.PCG64(seed))
-    n_out, n_hidden = len(languages), FILTERS * len(WIDTHS)
+    n_out, n_hidden = len(languages) + background, FILTERS * len(WIDTHS)
     model = ByteCNN(
         languages,
         [draw.normal(0, 0.05, (w, _CODES, FILTERS)).astype(np.float32) for w in WIDTHS],
         np.full(n_hidden, 0.1, np.float32),
         draw.normal(0, 0.3, (n_hidden, n_out)).astype(np.float32),
         np.zeros(n_out, np.float32),
+        background,
     )
     values = [*model.filters, model.bias, model.weights, model.offset]
     first = [np.zeros_like(v) for v in values]
@@ -152,6 +167,37 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return codes, row, length
 
 
+def unreadable(codes: np.ndarray, seed: int = 5) -> np.ndarray:
+    """Each window made unreadable in one of four ways, in turn: Latin letters exchanged
+    among themselves, written as letters of a two-byte script or as signs of a three-byte
+    script (an alphabet of its own for each window), and all bytes replaced by random ones.
+    Lengths stay or are cut to the window; padding stays."""
+    draw = np.random.Generator(np.random.PCG64(seed))
+    upper = np.arange(65, 91)
+    out = np.full_like(codes, _PAD)
+    for i, window in enumerate(codes):
+        raw = window[window != _PAD]
+        if i % 4 == 3:
+            new = draw.integers(0, 256, len(raw))
+        else:
+            # one row of bytes for each byte value; -1 is no byte
+            table = np.full((256, 3), -1)
+            table[:, 0] = np.arange(256)
+            if i % 4 == 0:
+                table[upper, 0] = draw.permutation(upper)
+                table[upper + 32, 0] = draw.permutation(upper) + 32
+            else:
+                letters = np.concatenate([upper, upper + 32])
+                signs = draw.integers(0x80, 0xC0, (52, 3))
+                signs[:, 0] = draw.integers(0xCE, 0xDA) if i % 4 == 1 else draw.integers(0xE1, 0xED, 52)
+                signs[:, 2] = -1 if i % 4 == 1 else signs[:, 2]
+                table[letters] = signs
+            new = table[raw].ravel()
+            new = new[new >= 0][: codes.shape[1]]
+        out[i, : len(new)] = new
+    return out
+
+
 def fit(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -159,8 +205,10 @@ def fit(
     label: str = "lang",
     docs_per_language: int = DOCS_PER_LANGUAGE,
     seed: int = 11,
+    background: bool = False,
 ) -> ByteCNN:
-    """A network trained on a bounded sample of labelled rows.
+    """A network trained on a bounded sample of labelled rows; with ``background``, also on
+    as many ``unreadable`` windows as a language has on average.
 
     Per label about ``docs_per_language`` documents, chosen by a hash of doc_id and text,
     give up to ``WINDOWS_PER_DOC`` evenly spaced windows each. Rows with a null label, a
@@ -207,7 +255,13 @@ def fit(
     codes = codes.reshape(-1, WINDOW).astype(np.int32)
     known = {x: i for i, x in enumerate(languages)}
     labels = np.array([known[r["lang"]] for r in rows], int)
-    return train(codes, labels, languages)
+    if not background or not languages:
+        return train(codes, labels, languages)
+    draw = np.random.Generator(np.random.PCG64(seed))
+    some = draw.permutation(len(codes))[: -(-len(codes) // len(languages))]
+    codes = np.concatenate([codes, unreadable(codes[some])])
+    labels = np.append(labels, np.full(len(some), len(languages)))
+    return train(codes, labels, languages, background=True)
 
 
 def has_letter(text: Column) -> Column:
@@ -219,21 +273,24 @@ class _Scorer:
 
     def __init__(self, spark: SparkSession, model: ByteCNN):
         self._held = spark.sparkContext.broadcast(
-            (model.languages, model.filters, model.bias, model.weights, model.offset)
+            (model.languages, model.filters, model.bias, model.weights, model.offset, model.background)
         )
 
-    def load(self) -> Callable[[pa.Array, pa.Array], tuple[np.ndarray, np.ndarray]]:
+    def load(self) -> Callable[[pa.Array, pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """A function of texts and whether they have a letter: (language, its probability,
+        that of the background)."""
         net = ByteCNN(*self._held.value)
         names = np.array([*net.languages, UNKNOWN], dtype=object)
         tables = net.paired()
         step = _SCORE_ROWS * 8
 
-        def score(texts: pa.Array, lettered: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        def score(texts: pa.Array, lettered: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             has = lettered.to_numpy(zero_copy_only=False).astype(bool)
             best, top = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
+            none = np.zeros(len(texts))
             codes, row, length = windows(*text_bytes(texts))
             if net.languages and len(row):
-                sums = np.zeros((len(texts), len(net.languages)))
+                sums = np.zeros((len(texts), len(net.offset)))
                 for at in range(0, len(row), step):
                     span = slice(at, at + step)
                     logs = net.log_probabilities(codes[span], tables)
@@ -244,7 +301,9 @@ class _Scorer:
                 p /= p.sum(1, keepdims=True)
                 best = np.where(has, p.argmax(1), best)
                 top = np.where(has, p.max(1), 0.0)
-            return names[best], top
+                if net.background:
+                    none = np.where(has, p[:, -1], 0.0)
+            return names[best], top, none
 
         return score
 
@@ -255,7 +314,8 @@ def predict(
     """One row per input row: doc_id, lang_pred, score (probability of lang_pred).
 
     ``und`` with score 0 where the text is null, empty or has no letter, or the model
-    knows no language. The whole text is read, in windows. Equal texts get equal
+    knows no language; a model with background says ``und`` also where that is likeliest.
+    The whole text is read, in windows. Equal texts get equal
     predictions; extra columns are ignored; an empty table gives no rows.
     """
     scorer = _Scorer(docs.sparkSession, model)
@@ -263,7 +323,7 @@ def predict(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer.load()
         for cut in slices(batches):
-            names, top = score(cut.column("text"), cut.column("lettered"))
+            names, top, _ = score(cut.column("text"), cut.column("lettered"))
             yield pa.RecordBatch.from_arrays(
                 [cut.column("doc_id"), pa.array(names, pa.string()), pa.array(top)],
                 ["doc_id", "lang_pred", "score"],
@@ -278,18 +338,24 @@ def predict(
     return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: ByteCNN, min_score: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, columns unchanged. Rejected are rows
-    that ``predict`` calls ``und`` and those whose score is below ``min_score``."""
+def keep_identified(docs: DataFrame, model: ByteCNN, reject: float = REJECT) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, columns unchanged.
+
+    Rejected are texts that are null, empty or without a letter, and, by a model with
+    background, those whose background has a probability of ``reject`` or more. Short texts
+    give little evidence and stay. A model that knows no language rejects no text with a
+    letter. Whole texts are read, equal texts are decided alike; an empty table stays empty.
+    """
     scorer = _Scorer(docs.sparkSession, model)
     place = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer.load()
         for cut in slices(batches, f"c{place}"):
-            names, top = score(cut.column(place), cut.column("lettered"))
-            stays = (names != UNKNOWN) & (top >= min_score)
-            yield cut.select(cut.schema.names[:-1]).filter(pa.array(stays.astype(bool)))
+            lettered = cut.column("lettered")
+            _, _, none = score(cut.column(place), lettered)
+            stays = lettered.to_numpy(zero_copy_only=False).astype(bool) & (none < reject)
+            yield cut.select(cut.schema.names[:-1]).filter(pa.array(stays))
 
     rows = docs.select(
         *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)),

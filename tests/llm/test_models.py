@@ -53,6 +53,44 @@ def test_language_id_on_hard_rows(hard, nothing, docs):
     assert {r.lang_pred for r in language_id.predict(hard, none).collect()} == {"und"}
 
 
+def test_texts_in_no_language_are_rejected(spark, docs, hard):
+    train = docs.where(~language_id.held_out(docs.doc_id))
+    model = language_id.fit(train, background=True)
+    assert len(model.offset) == len(model.languages) + 1
+    stays = language_id.keep_identified(docs, model)
+    assert stays.columns == docs.columns and stays.exceptAll(docs).count() == 0
+    assert stays.count() >= 0.995 * docs.count()
+    cipher = str.maketrans("abcdefghijklmnopqrstuvwxyz", "qxzjkvwyphgubfmdcltrsnoaie")
+    text = docs.where("lang = 'en'").orderBy("doc_id").first().text
+    odd = [
+        "дом и сад у реки стоят давно и никто их не видел " * 4, "これは日本語で書かれた文章です。" * 8,
+        "Ελληνικά κείμενα γράφονται εδώ και αιώνες " * 4, text.lower().translate(cipher), text, "a", None, "12 3",
+    ]
+    rows = spark.createDataFrame(list(enumerate(odd)), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in language_id.keep_identified(rows, model).collect()) == [4, 5]
+    assert {r.lang_pred for r in language_id.predict(rows, model).where("doc_id < 4").collect()} == {"und"}
+    # a probability of 0 or more rejects all, one above 1 only what has no letter
+    assert language_id.keep_identified(rows, model, 0.0).count() == 0
+    assert language_id.keep_identified(rows, model, 1.1).count() == 6
+
+
+def test_without_labels_texts_with_a_letter_stay(spark, hard):
+    model = language_id.fit(hard.where("lang is null"), background=True)
+    assert model.languages == []
+    assert language_id.keep_identified(hard, model).count() == hard.count() - 4
+
+
+def test_scoring_by_byte_pairs_equals_training_features():
+    draw = np.random.Generator(np.random.PCG64(2))
+    codes = draw.integers(0, 257, (700, language_id.WINDOW)).astype(np.int32)
+    net = language_id.train(codes[:64], draw.integers(0, 3, 64), ["a", "b", "c"], epochs=1)
+    hidden = np.maximum(net.features(codes)[0], 0)
+    logits = hidden @ net.weights + net.offset
+    want = logits - logits.max(1, keepdims=True)
+    want = want - np.log(np.exp(want).sum(1, keepdims=True))
+    assert np.allclose(net.log_probabilities(codes, net.paired()), want, atol=1e-4)
+
+
 def test_phrases_are_those_of_lz78():
     for data in (b"", b"a", b"abababab", b"the cat the cat the cat sat"):
         seen, at, ends = {b""}, 0, []
