@@ -64,6 +64,7 @@ class IntentModel:
     labels: tuple[str, ...]
     classifier: Model
     margin_shift: tuple[float, ...] = field(default=())
+    scorer: Model | None = None  # the classifier without the summary of its training
 
 
 def distinct_messages(messages: DataFrame, label: str | None = None) -> DataFrame:
@@ -177,9 +178,20 @@ def fit_classifier(table: DataFrame, fitted: FittedFeatures, learner: Learner) -
         )
     else:
         raise ValueError(f"unknown learner {learner.kind!r}")
-    if learner.kind != "nb" and (steps := solver_steps(model)) >= max_iter:
+    if learner.kind == "nb":
+        return IntentModel(fitted, labels, model, shift)
+    if (steps := solver_steps(model)) >= max_iter:
         raise RuntimeError(f"{learner.name} did not converge in {steps} steps; raise max_iter")
-    return IntentModel(fitted, labels, model, shift)
+    return IntentModel(fitted, labels, model, scorer=_without_summary(model))
+
+
+def _without_summary(model: Model) -> Model:
+    """The model as it is read from its files. A model just fitted holds a summary with the
+    session inside; it goes along to the executors with every prediction, which fails once
+    the session has observed a metric."""
+    path = f"{stage_root(SparkSession.active())}/{uuid.uuid4().hex}/classifier"
+    model.write().save(path)
+    return type(model).load(path)
 
 
 def _one_vs_rest(
@@ -257,7 +269,8 @@ def score_table(model: IntentModel, table: DataFrame) -> DataFrame:
     """Predictions for a vectorised table: intent, confidence, probabilities. The
     confidence is a softmax over margins, for display only."""
     kept = [c for c in table.columns if c != "features"]
-    scored = model.classifier.transform(table).select(*kept, margins(model).alias("margins"))
+    scored = (model.scorer or model.classifier).transform(table)
+    scored = scored.select(*kept, margins(model).alias("margins"))
     scored = scored.withColumn("probabilities", softmax(F.col("margins")))
     best = F.array_position("margins", F.array_max("margins")).cast("int")
     return scored.select(

@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from replylens.functions import rules as R
@@ -85,6 +86,18 @@ def test_models_learn_and_reload(spark, pools, tmp_path, learner):
     assert right >= (0.5 if learner.kind == "nb" else 0.8)
 
 
+@pytest.mark.parametrize("kind", ["svc", "lr"])
+def test_models_predict_in_a_session_that_has_observed(spark, tmp_path, kind):
+    rows = [(f"play song {i % 3} now", "playback") for i in range(9)]
+    rows += [(f"refund card {i % 3} please", "billing") for i in range(9)]
+    train = spark.createDataFrame(rows, "customer_msg string, intent_label string")
+    seen = Observation()
+    train.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(str(tmp_path / "t"))
+    assert seen.get == {"n": 18}
+    model = ML.fit_intent_model(train, EX.WORD, Learner(kind))
+    assert ML.predict(model, train).where("intent = intent_label").count() == 18
+
+
 def test_stream_equals_batch_over_two_steps(spark, pools, sf, tmp_path):
     """All decision columns, in two micro-batches that share their stage folders."""
     index = RT.build_index(pools.retrieval)
