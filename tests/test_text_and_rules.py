@@ -130,3 +130,15 @@ def test_char_ngrams(spark):
     for low, high in ((3, 5), (4, 6), (3, 7)):
         got = apply(spark, lambda t: N.char_ngrams(t, (low, high)), texts)
         assert [sorted(g) for g in got] == [sorted(brute_char_grams(t, low, high)) for t in texts]
+
+
+def test_char_ngram_totals_spell_each_word_once(spark):
+    texts = ["To be, to BE", "be a Bee\tbee", "", "  ", None, "中文 to"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    direct = N.gram_rows(df, N.char_ngrams(F.col("text"), (3, 5))).groupBy("term").count()
+    totals = N.char_ngram_totals(df, F.col("text"), (3, 5))
+    assert sorted(map(tuple, totals.collect())) == sorted(map(tuple, direct.collect()))
+    assert {r.term: r.n for r in totals.collect()}[" to"] == 3
+    # words are merged before any n-gram of theirs is a row
+    plan = totals._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2
