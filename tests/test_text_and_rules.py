@@ -1,8 +1,13 @@
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from replylens.functions import ngrams as N
 from replylens.functions import rules as R
 from replylens.functions import text as X
+from replylens.operators import tfidf as TF
+from replylens.operators.tfidf import Features
 
 
 def apply(spark, fn, values):
@@ -142,3 +147,43 @@ def test_char_ngram_totals_spell_each_word_once(spark):
     # words are merged before any n-gram of theirs is a row
     plan = totals._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 2
+
+
+def _windows(words, low, high):
+    return [" ".join(words[i:i + n]) for n in range(low, high + 1) for i in range(len(words) - n + 1)]
+
+
+def test_word_ngrams_are_counted_in_batches(spark):
+    rows = [(1, ["b", "a", "b", "a", "b"]), (2, []), (3, None), (4, ["a"]), (1, ["a", "b"]), (None, ["é", "b"])]
+    df = spark.createDataFrame(rows, "id bigint, tokens array<string>")
+    got = N.counted_word_ngrams(df, "tokens", (1, 3), "id").collect()
+    want = [
+        (i, term, n) for i, words in rows for term, n in Counter(_windows(words or [], 1, 3)).items()
+    ]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    totals = Counter(term for _i, words in rows for term in _windows(words or [], 1, 3))
+    got = N.word_ngram_totals(df, "tokens", (1, 3)).collect()
+    assert sorted(map(tuple, got)) == sorted(totals.items())
+
+
+def test_term_counts_take_no_step_per_token_in_expressions(spark):
+    docs = spark.createDataFrame([(1, "The cat the cat")], "doc_id bigint, text string")
+    counts = TF.term_counts(docs, Features((1, 2), None, 2))
+    assert sorted((r.term, r.tf) for r in counts.collect()) == [
+        ("cat", 2), ("cat the", 1), ("the", 2), ("the cat", 2)
+    ]
+    assert "lambdafunction" not in counts._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_are_counted_in_runs_and_long_ngrams_fit(monkeypatch):
+    lists = [[f"w{i % 700}x{i}" for i in range(3000)], ["a", "b"] * 4, None, ["a"] * 9]
+    batch = pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.string()))], ["tokens"])
+    monkeypatch.setattr(N, "TOKENS_AT_A_TIME", 10)
+    parts = list(N._parts([batch]))
+    assert [p.num_rows for p in parts] == [1, 2, 1]
+    for by_row in (True, False):
+        found = Counter()
+        for _rows, terms, counts in N._count_ngrams(batch.column(0), (6, 7), by_row):
+            for term, n in zip(terms.to_pylist(), counts.to_pylist()):
+                found[term] += n
+        assert found == Counter(t for words in lists for t in _windows(words or [], 6, 7))
