@@ -9,6 +9,7 @@ from replylens.operators import decide as D
 from replylens.operators import judge as J
 from replylens.operators import retrieval as RT
 from replylens.operators.tfidf import Features
+from replylens.plans.catalog import QUERIES
 from replylens.plans.prepare import build_pools
 from replylens.session import stage
 
@@ -184,3 +185,13 @@ def test_prompts(spark):
     [row] = df.select(D.reply_prompt(m, e), D.review_prompt(m, F.col("r"), e)).collect()
     assert "the sound is off" in row[0] and "Try restarting" in row[0] and "REPLY\nok\n" in row[1]
     assert scored(spark, 0.01).select(D.reply_prompt(m, e)).first()[0] is None
+
+
+def test_search_queries_are_every_fiftieth_row_against_all(spark, sf, pools):
+    asked = {r.customer_msg for r in pools.pooled.collect() if r.pair_seq % 50 == 0}
+    whole = RT.retrieve(pools.pooled, RT.build_index(pools.retrieval)).select(
+        "customer_msg", "rank", "pair_id", "similarity"
+    )
+    wanted = [tuple(r) for r in whole.collect() if r.customer_msg in asked]
+    got = QUERIES["e4_topk_all_messages"](spark, sf).collect()
+    assert wanted and sorted(map(tuple, got)) == sorted(wanted)
