@@ -80,7 +80,8 @@ def failure_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labels say nothing. Extra columns are ignored; empty tables give no rows.
 
     Texts never move: a row is a digest, a part, an id and a few bits. Copies merge before
-    every shuffle, so the largest group of equal texts is a few rows per task.
+    every shuffle, so the largest group of equal texts is a few rows per task. Labels are
+    never gathered in the driver.
     """
     bits = sum(
         (F.when(fails, _bit(name)).otherwise(0) for name, fails in _failures().items()), F.lit(0)
@@ -109,7 +110,9 @@ def failure_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
             F.lit(0).cast("bigint").alias("spread"),
         )
     )
-    known = rows.join(said, ["doc_id", "salt", "spread"], "left")
+    # Files of numbers pack to a few bytes a row, so the planner takes millions of labels, eight
+    # times over, for small enough to be gathered in the driver; they are dealt instead.
+    known = rows.join(said.hint("merge"), ["doc_id", "salt", "spread"], "left")
     # rows of one id and text were merged, so the smallest id's number of rows is min_by
     per_text = known.groupBy(
         "digest", "part", "cell",

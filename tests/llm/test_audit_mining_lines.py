@@ -342,3 +342,20 @@ def test_filters_never_forget():
     assert bloom.knows(names).all() and folded.knows(names).all()
     others = np.setdiff1d(rng.integers(0, 1 << 32, 50_000, dtype=np.uint32), names)
     assert folded.knows(others).mean() < 0.02
+
+
+def test_labels_are_not_gathered_in_the_driver(spark, monkeypatch, tmp_path):
+    docs = spark.createDataFrame(
+        [(i, f"word {i}", "s") for i in range(20)], "doc_id bigint, text string, source string"
+    )
+    labels = spark.createDataFrame(
+        [(i, i % 2, 0) for i in range(10)], "doc_id bigint, quality int, toxic int"
+    )
+    labels.write.parquet(f"{tmp_path}/labels")  # a file's size is known to the planner
+    labels, staged, whole = spark.read.parquet(f"{tmp_path}/labels"), [], filter_audit.stage
+    monkeypatch.setattr(filter_audit, "stage", lambda df, name: staged.append(df) or whole(df, name))
+    rows = filter_audit.failure_counts(docs, labels).collect()
+    assert sum(r.n for r in rows) == 20 and sum(r.good for r in rows) == 5
+    # a few rows, which the planner would broadcast if it were let
+    plan = staged[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
