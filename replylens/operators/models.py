@@ -13,23 +13,29 @@ import math
 import uuid
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml.base import Model
 from pyspark.ml.classification import (
     LinearSVC, LogisticRegression, NaiveBayes, NaiveBayesModel, OneVsRestModel,
     LogisticRegressionModel,
 )
+from pyspark.ml.common import _py2java
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.linalg import DenseMatrix, DenseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import rules as R
 from ..session import side_by_side, stage, stage_root
+from . import solver
 from .ranking import positions
 from .tfidf import Features, hashed_weights, term_counts, vocabulary, weigh
 
 DOCS_PER_PARTITION = 20_000
+#: Spark's solvers send a gradient to the driver in every step, of one class (svc) or of all;
+#: models with more coefficients are fitted by ``solver``, which sends none
+DRIVER_COEFFICIENTS = 1 << 16
 FINAL_FEATURES = Features(word=(1, 2), char=(3, 7), min_df=2)
 
 
@@ -162,8 +168,12 @@ def fit_classifier(table: DataFrame, fitted: FittedFeatures, learner: Learner) -
         featuresCol="features", labelCol="label", weightCol="weight",
     )
     shift: tuple[float, ...] = ()
-    if learner.kind == "svc":
-        model: Model = _one_vs_rest(data, [r["n"] for r in rows.values()], learner, max_iter)
+    sizes = [r["n"] for r in rows.values()]
+    if learner.kind in ("svc", "lr") and _leaves_driver(data.sparkSession, fitted, labels):
+        raised = [r["class_weight"] if learner.balanced else 1.0 for r in rows.values()]
+        model: Model = _fit_in_tasks(table, index, weight, fitted, sizes, raised, learner, max_iter)
+    elif learner.kind == "svc":
+        model = _one_vs_rest(data, sizes, learner, max_iter)
     elif learner.kind == "lr":
         model = LogisticRegression(
             **common, family="multinomial", elasticNetParam=0.0, standardization=False,
@@ -182,7 +192,60 @@ def fit_classifier(table: DataFrame, fitted: FittedFeatures, learner: Learner) -
         return IntentModel(fitted, labels, model, shift)
     if (steps := solver_steps(model)) >= max_iter:
         raise RuntimeError(f"{learner.name} did not converge in {steps} steps; raise max_iter")
-    return IntentModel(fitted, labels, model, scorer=_without_summary(model))
+    scorer = None if hasattr(model, "steps") else _without_summary(model)
+    return IntentModel(fitted, labels, model, scorer=scorer)
+
+
+def _leaves_driver(spark: SparkSession, fitted: FittedFeatures, labels: tuple[str, ...]) -> bool:
+    """Whether a linear model has too many coefficients for steps through the driver, and
+    tasks can exchange files in the stage folder."""
+    many = len(labels) > 1 and fitted.size * len(labels) > DRIVER_COEFFICIENTS
+    return many and solver.shared_folder(spark) is not None and solver.slots(spark) > 0
+
+
+def _fit_in_tasks(
+    table: DataFrame, index: Column, weight: Column, fitted: FittedFeatures, sizes: list[int],
+    raised: list[float], learner: Learner, max_iter: int,
+) -> Model:
+    """The model that Spark's solver would fit, from coefficients that stay in the tasks
+    until they are final."""
+    data = table.select(index.alias("label"), weight.alias("weight"), "features")
+    total, k = sum(sizes), len(sizes)
+    softmax = learner.kind == "lr"
+    if softmax:  # weights are in the rows; balanced ones sum to the number of rows as well
+        sums = [float(total)] * k
+        shares = np.array([n * r / total for n, r in zip(sizes, raised)])
+        intercept = np.log(shares) - np.log(shares).mean()
+    else:
+        sums, intercept = [total - n + r * n for n, r in zip(sizes, raised)], np.zeros(k)
+    found = solver.solve(
+        data, table.count(),
+        solver.Problem(
+            fitted.size, k, softmax, tuple(1.0 / (learner.c * x) for x in sums), tuple(raised),
+            tuple(sums), tuple(intercept), max_iter, learner.tol,
+        ),
+    )
+    jvm = SparkSession.active()._jvm.org.apache.spark.ml.classification
+    java = lambda x: _py2java(table.sparkSession.sparkContext, x)
+    if softmax:
+        lr = LogisticRegression(
+            featuresCol="features", labelCol="label", family="multinomial", standardization=False
+        )
+        matrix = DenseMatrix(k, fitted.size, found.coefficients.ravel(), True)
+        centred = DenseVector(found.intercepts - found.intercepts.mean())
+        made = jvm.LogisticRegressionModel(lr.uid, java(matrix), java(centred), k, True)
+        model: Model = lr._copyValues(lr._create_model(made))
+    else:
+        svc = LinearSVC(featuresCol="features", labelCol="label", standardization=False)
+        models = []
+        for w, b in zip(found.coefficients, found.intercepts):
+            binary = svc.copy()
+            made = jvm.LinearSVCModel(f"{svc.uid}_{len(models)}", java(DenseVector(w)), float(b))
+            models.append(binary._copyValues(binary._create_model(made)))
+        model = OneVsRestModel(models=models).setFeaturesCol("features")
+        model.set(model.classifier, svc)  # saving a model writes its solver as well
+    model.steps = found.steps
+    return model
 
 
 def _without_summary(model: Model) -> Model:
@@ -230,6 +293,8 @@ def _one_vs_rest(
 
 def solver_steps(model: Model) -> int:
     """Steps of a linear model just fitted; the most of any class for one-vs-rest."""
+    if hasattr(model, "steps"):
+        return model.steps
     if isinstance(model, OneVsRestModel):
         return max(m.summary().totalIterations for m in model.models)
     return model.summary.totalIterations

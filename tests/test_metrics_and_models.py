@@ -1,5 +1,8 @@
+import math
 import os
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -9,10 +12,11 @@ from replylens.operators import decide as D
 from replylens.operators import metrics as M
 from replylens.operators import models as ML
 from replylens.operators import retrieval as RT
+from replylens.operators import solver
 from replylens.operators.models import Learner
 from replylens.plans import experiments as EX
 from replylens.plans.prepare import build_pools
-from replylens.session import stage_root
+from replylens.session import stage, stage_root
 from replylens.sources import support_pairs
 from replylens.streaming import score_stream
 
@@ -169,3 +173,121 @@ def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
     assert run() == [1, 2]
     put("b", (3, "z"))
     assert run() == [1, 2, 3]
+
+
+def _words(spark):
+    """75 messages of nine common words, which no model separates, and five easy ones."""
+    state, rows = 7, []
+    for i in range(75):
+        words = []
+        for _ in range(6):
+            state = (state * 1103515245 + 12345) % (1 << 31)
+            words.append(f"word{state // 65536 % 9}")
+        rows.append((" ".join(words), f"label{state // 65536 % 3}"))
+    rows += [(f"label{i % 3} only{i % 3} text {i}", f"label{i % 3}") for i in range(5)]
+    return spark.createDataFrame(rows, "customer_msg string, intent_label string")
+
+
+@pytest.mark.parametrize(
+    "learner",
+    [Learner("svc"), Learner("svc", 2.0, False), Learner("lr", 2.0), Learner("lr", 5.0, False)],
+    ids=lambda x: x.name,
+)
+def test_large_models_send_no_gradients_to_the_driver(spark, tmp_path, monkeypatch, learner):
+    docs = stage(ML.distinct_messages(_words(spark), "intent_label"), "docs")
+    fitted = ML.fit_features(docs, EX.WORD)
+    table = ML.vectorise(docs, fitted)
+    plain = ML.fit_classifier(table, fitted, learner)
+
+    def refuse(*_args):
+        raise AssertionError("a solver that steps through the driver")
+
+    monkeypatch.setattr(ML, "DRIVER_COEFFICIENTS", 0, raising=False)
+    monkeypatch.setattr(ML.LogisticRegression, "fit", refuse)
+    monkeypatch.setattr(ML.LinearSVC, "fit", refuse)
+    monkeypatch.setattr(solver, "ROWS_PER_TASK", 25)  # four tasks
+    model = ML.fit_classifier(table, fitted, learner)
+    assert ML.solver_steps(model.classifier) > 0
+
+    rows = table.withColumn("f", F.unwrap_udt("features")).collect()
+    n = {k: sum(r.copies for r in rows if r.label == k) for k in model.labels}
+    total = sum(n.values())
+
+    def values(fit):
+        """The objective, per class for the linear SVC."""
+        if learner.kind == "lr":
+            w, b = fit.classifier.coefficientMatrix.toArray(), fit.classifier.interceptVector.toArray()
+        else:
+            w = [x.coefficients.toArray() for x in fit.classifier.models]
+            b = [x.intercept for x in fit.classifier.models]
+        lost, weights = [0.0] * len(n), [0.0] * len(n)
+        for r in rows:
+            at = model.labels.index(r.label)
+            m = [sum(w[k][j] * x for j, x in zip(r.f.indices, r.f["values"])) + b[k] for k in range(len(n))]
+            for k in range(len(n)):
+                raised = total / (len(n) * n[r.label]) if learner.balanced else 1.0
+                if learner.kind == "lr":
+                    weight, own = r.copies * raised, math.log(sum(math.exp(x - m[at]) for x in m))
+                else:
+                    weight = r.copies * (raised if k == at else 1.0)
+                    own = max(0.0, 1 - (1 if k == at else -1) * m[k])
+                lost[k] += weight * own
+                weights[k] += weight
+        squares = [float((x**2).sum()) for x in w]
+        if learner.kind == "lr":
+            return [(lost[0] + sum(squares) / 2 / learner.c) / total]
+        return [(a + s / 2 / learner.c) / c for a, s, c in zip(lost, squares, weights)]
+
+    for mine, theirs in zip(values(model), values(plain)):
+        assert mine <= theirs + 2e-4
+    ML.save_model(model, f"{tmp_path}/model")
+    again = ML.load_model(spark, f"{tmp_path}/model")
+    first, second = (
+        {r.doc_id: (r.intent, round(r.confidence, 9)) for r in ML.score_table(x, table).collect()}
+        for x in (model, again)
+    )
+    assert first == second and len(first) == len(rows)
+    easy = [r for r in rows if "only" in r.customer_msg]
+    assert easy and all(first[r.doc_id][0] == r.label for r in easy)
+
+
+def test_large_model_that_does_not_converge_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(ML, "DRIVER_COEFFICIENTS", 0, raising=False)
+    for kind in ("svc", "lr"):
+        with pytest.raises(RuntimeError, match="converge"):
+            ML.fit_intent_model(_words(spark), EX.WORD, Learner(kind, max_iter=3))
+
+
+class OneTask:
+    def partitionId(self):
+        return 0
+
+    def getTaskInfos(self):
+        return [self]
+
+    def allGather(self, message):
+        return [message]
+
+
+@pytest.mark.parametrize("chunk", [3, 10, 1 << 17])
+def test_products_of_the_solver(tmp_path, monkeypatch, chunk):
+    monkeypatch.setattr(solver, "CHUNK", chunk)
+    rows = [[0, 3], [], [1, 2, 3, 4, 5, 6], [6], [], [0, 6]]
+    batch = pa.RecordBatch.from_arrays(
+        [
+            pa.array([0, 1, 1, 0, 1, 0], pa.int32()), pa.array([1.0] * 6),
+            pa.array(rows, pa.list_(pa.int32())),
+            pa.array([[j + 0.5 for j in r] for r in rows], pa.list_(pa.float64())),
+        ],
+        ["label", "weight", "indices", "values"],
+    )
+    problem = solver.Problem(8, 2, False, (1.0,) * 2, (1.0,) * 2, (6.0,) * 2, (0.0,) * 2, 10, 1e-4)
+    parts = [batch.slice(0, 2), batch.slice(2, 4)]
+    task = solver._Task(OneTask(), str(tmp_path / "x"), problem, parts)
+    dense = np.zeros((6, 9))
+    dense[:, 8] = 1  # the intercept
+    for i, r in enumerate(rows):
+        dense[i, r] = [j + 0.5 for j in r]
+    w, r = np.arange(18.0).reshape(2, 9), np.array([[1.0, 0, 2, 0, 3, 4], [0, 0, 0, 0, 5, -1]])
+    assert np.allclose(task.products(task.spread(w)), w @ dense.T)
+    assert np.allclose(task.collect(task.transposed(r)), r @ dense)
